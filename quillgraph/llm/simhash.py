@@ -156,6 +156,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3) -> DataFram
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = 3, reach: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group; rows without doc_id stay if no row of the group has one."""
+    kept = near_duplicates(docs, words, reach).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs.doc_id.cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

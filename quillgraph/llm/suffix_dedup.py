@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.arrays import byte_values, flat_text, mix64, run_starts
-from quillgraph.scratch import discard, free_shuffles, materialize
+from quillgraph.scratch import free_shuffles, materialize
 
 LENGTH = 50
 GRAM = 20
@@ -338,22 +339,16 @@ def merged(spans: list, size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) for each row of ``docs``.
-
-    Texts are judged as UTF-8 bytes, null as empty. A document is compared with smaller
-    ids only: rows that repeat a doc_id never remove each other's bytes; a row with a null
-    doc_id loses nothing. Of a character that loses only some of its bytes, kept_text drops
-    the rest, while kept_sha256 covers the exact bytes. An empty table gives an empty one.
-    """
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+def _cut(docs: DataFrame, finish, schema: str | None = None) -> DataFrame:
+    """``docs`` with their spans through ``finish(batch, removed runs of each row, rest of each row)``."""
+    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("_span_id")).agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat_text(batch.column(1))
+            data, offsets = flat_text(batch.column("text"))
             raw = data.tobytes()
-            rows = []
-            for i, spans in enumerate(batch.column(2).to_pylist()):
+            cuts, rests = [], []
+            for i, spans in enumerate(batch.column("_spans").to_pylist()):
                 text = raw[offsets[i] : offsets[i + 1]]
                 runs = merged(spans, len(text))
                 kept, at = [], 0
@@ -361,15 +356,62 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                     kept.append(text[at:a])
                     at = b
                 kept.append(text[at:])
-                left = b"".join(kept)
-                rows.append((len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest(), b"".join(x.decode("utf-8", "ignore").encode() for x in kept).decode()))
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["doc_id", *names])
+                cuts.append(runs)
+                rests.append(kept)
+            yield from finish(batch, np.diff(offsets), cuts, rests)
+
+    own = docs.withColumn("_own_id", F.col("doc_id").cast("long"))
+    joined = own.join(spans, own["_own_id"] == spans["_span_id"], "left").drop("_span_id", "_own_id")
+    return joined.mapInArrow(run, schema or docs.schema)
+
+
+def suffix_dedup(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs`` (doc_id, text).
+
+    Texts are judged as UTF-8 bytes, null as empty. A document is compared with smaller
+    ids only: rows that repeat a doc_id never remove each other's bytes; a row with a null
+    doc_id loses nothing. An empty table gives an empty one; further columns are not read.
+    """
+
+    def finish(batch: pa.RecordBatch, sizes: np.ndarray, cuts: list, rests: list) -> Iterator[pa.RecordBatch]:
+        columns = {
+            "n_bytes": pa.array(sizes, pa.int64()),
+            "n_removed": pa.array([sum(b - a for a, b in runs) for runs in cuts], pa.int64()),
+            "n_spans": pa.array([len(runs) for runs in cuts], pa.int64()),
+            "kept_sha256": pa.array([hashlib.sha256(b"".join(kept)).hexdigest() for kept in rests], pa.string()),
+        }
+        yield pa.record_batch([batch.column("doc_id"), *columns.values()], names=["doc_id", *columns])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.join(spans, "doc_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return _cut(own, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of text (and n_chars, if there, brought up to date).
+
+    A character that loses some of its bytes goes whole. A text that loses everything goes
+    with its row; one that was null or empty before stays.
+    """
+
+    def finish(batch: pa.RecordBatch, sizes: np.ndarray, cuts: list, rests: list) -> Iterator[pa.RecordBatch]:
+        texts = ["".join(x.decode("utf-8", "ignore") for x in kept) if runs else None for runs, kept in zip(cuts, rests, strict=True)]
+        old = batch.column("text")
+        changed = pa.array([bool(runs) for runs in cuts])
+        new = pc.if_else(changed, pa.array(texts, old.type), old)
+        out = []
+        for field in batch.schema:
+            if field.name == "text":
+                out.append(new)
+            elif field.name == "n_chars":
+                out.append(pc.if_else(changed, pc.utf8_length(new).cast(field.type), batch.column("n_chars")))
+            elif field.name != "_spans":
+                out.append(batch.column(field.name))
+        names = [f.name for f in batch.schema if f.name != "_spans"]
+        keep = pa.array([not runs or bool(t.strip()) for runs, t in zip(cuts, texts, strict=True)])
+        yield pa.record_batch(out, names=names).filter(keep)
+
+    return _cut(docs, finish)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
