@@ -2,7 +2,8 @@
 
 Fixed rules (host and path prefix, longest wins) decide first. Their decisions, or a table
 of labels, are what FP-growth learns from: each labelled URL is a basket of its tokens and
-its label. Rules whose conclusion is a label are pruned by support, confidence and lift,
+its label, and an undecided URL counts with its tokens alone, so that confidence is a
+share of all URLs, not only of those that a rule's author looked at. Rules whose conclusion is a label are pruned by support, confidence and lift,
 and where a shorter rule says the same as surely. A URL finds its rules by an inverted
 index from each rule's rarest token; the surest rule that holds whole decides.
 
@@ -21,7 +22,7 @@ from quillgraph.scratch import materialize
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 BASKET = 8
 MIN_SUPPORT = 0.02
-MIN_CONFIDENCE = 0.8
+MIN_CONFIDENCE = 0.7
 DEFAULT = "allow"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,8 +65,8 @@ def url_tokens() -> Column:
 
 
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(tokens, label, confidence, support) from rows (tokens, label); empty without labels."""
-    baskets = labelled.where("label is not null and size(tokens) > 0").select(F.concat("tokens", F.array(F.concat(F.lit("label="), "label"))).alias("items"))
+    """(tokens, label, confidence, support) from rows (tokens, label or null); empty without labels."""
+    baskets = labelled.where("size(tokens) > 0").select(F.concat("tokens", F.array_compact(F.array(F.concat(F.lit("label="), "label")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     says = F.element_at("consequent", 1)
     none = F.forall("antecedent", lambda t: ~t.startswith("label="))
