@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: The word separators [\x20\x09-\x0D].
@@ -50,3 +51,23 @@ def run_starts(keys: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.empty(0, np.int64)
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Compressed byte planes of 8-byte or 4-byte values."""
+    flat = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(level=1).compress(flat.view(np.uint8).reshape(len(flat), flat.itemsize).T.tobytes())
+
+
+def unpacked(block: bytes, kind: type) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(block: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(block, np.uint64), dtype=np.uint64)

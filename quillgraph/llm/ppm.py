@@ -21,11 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.arrays import LOWER, byte_values, flat_text, mix64, run_starts
+from quillgraph.llm.arrays import LOWER, byte_values, flat_text, mix64, packed, packed_keys, run_starts, unpacked, unpacked_keys
 from quillgraph.scratch import discard, free_shuffles, materialize, shuffle_partitions
 
 ORDER = 5
@@ -144,26 +143,6 @@ def _split(keys: np.ndarray, kind: int, parts: int) -> np.ndarray:
     return (branch % np.uint64(parts)).astype(np.int64)
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Compressed byte planes of 8-byte or 4-byte values."""
-    flat = np.ascontiguousarray(values)
-    return zstandard.ZstdCompressor(level=1).compress(flat.view(np.uint8).reshape(len(flat), flat.itemsize).T.tobytes())
-
-
-def _unpacked(block: bytes, kind: type) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def _packed_keys(keys: np.ndarray) -> bytes:
-    return _packed(np.diff(keys, prepend=np.uint64(0)))
-
-
-def _unpacked_keys(block: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(block, np.uint64), dtype=np.uint64)
-
-
 def _merge(store: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return _counted(np.concatenate([x[0] for x in store]), np.concatenate([x[1] for x in store]))
 
@@ -196,7 +175,7 @@ def _bucket_blocks(parts: int):
             starts = run_starts(part[order])
             for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
                 at = order[a:b]
-                rows.append((int(part[at[0]]), bucket, kind, _packed_keys(keys[at]), _packed(n[at]), int(n[at].sum()), None))
+                rows.append((int(part[at[0]]), bucket, kind, packed_keys(keys[at]), packed(n[at]), int(n[at].sum()), None))
         pair, n = _counted(grams[0] & np.uint64(0xFFFF), grams[1])
         some = n > 0
         rows.append((0, bucket, PAIR, b"", b"", 0, [{"pair": int(p), "n": int(c)} for p, c in zip(pair[some], n[some], strict=True)]))
@@ -277,11 +256,11 @@ def _answers(pairs: tuple[np.ndarray, np.ndarray]):
             own = [r for r in rows if r["kind"] == kind]
             if not own:
                 continue
-            keys = [_unpacked_keys(r["keys"]) for r in own]
-            all_keys, n = _counted(np.concatenate(keys), np.concatenate([_unpacked(r["counts"], np.int64) for r in own]))
+            keys = [unpacked_keys(r["keys"]) for r in own]
+            all_keys, n = _counted(np.concatenate(keys), np.concatenate([unpacked(r["counts"], np.int64) for r in own]))
             values = n if kind == WORD else code_lengths(all_keys, n, pairs).astype(np.float32)
             for i, (r, k) in enumerate(zip(own, keys, strict=True)):
-                out.append({"bucket": r["bucket"], "kind": kind, "part": r["part"], "values": _packed(values[np.searchsorted(all_keys, k)]), "known": int((n > 0).sum()) if i == 0 and kind == WORD else 0})
+                out.append({"bucket": r["bucket"], "kind": kind, "part": r["part"], "values": packed(values[np.searchsorted(all_keys, k)]), "known": int((n > 0).sum()) if i == 0 and kind == WORD else 0})
         return pa.Table.from_pylist(out, _ANSWER)
 
     return run
@@ -302,7 +281,7 @@ def _scored(n_train: int, n_tokens: int, n_distinct: int, parts: int):
             part = _split(keys, kind, parts)
             order = np.argsort(part, kind="stable")
             starts = run_starts(part[order])
-            got = [_unpacked(blocks[kind, int(part[order[a]])], np.int64 if kind == WORD else np.float32) for a in starts]
+            got = [unpacked(blocks[kind, int(part[order[a]])], np.int64 if kind == WORD else np.float32) for a in starts]
             values = np.empty(len(keys))
             values[order] = np.concatenate(got) if got else np.empty(0)
             tables.append((keys, values))

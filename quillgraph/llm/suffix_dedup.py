@@ -2,11 +2,13 @@
 
 1. Every 50-byte window has an anchor, the 20-byte gram of least hash in it; equal
    windows have equal anchors. Runs of windows with one anchor are the unit of work, so
-   about one row for 16 bytes is shuffled instead of one for each byte.
-2. Anchors that occur in two documents are aggregated natively; a bit table of fixed
-   size holds them. It only saves work: an anchor it passes wrongly costs a little sorting.
-3. The byte strings of the passing runs are dealt out by anchor, equal strings of a task
-   combined first (smallest and largest doc_id). Each task sorts the suffixes that begin
+   about one key for 11 bytes is shuffled instead of one for each byte. A run's key is its
+   anchor with the next bytes on the side where its windows reach further.
+2. Keys that occur in two documents are found by parts of the key space, whose tasks give
+   their stretch of a bit table of fixed size. The table only saves work: a key that it
+   passes wrongly costs a little sorting.
+3. The byte strings of the passing runs are dealt out by anchor in compressed blocks, equal
+   strings of a task combined first (smallest and largest doc_id). Each part sorts the suffixes that begin
    a window to depth 50 by deep-shallow sorting: multikey quicksort on eight-byte digits
    to a shallow depth, then blind tries for the groups that still agree. A group of
    suffixes equal to depth 50 is one repeated string; its smallest doc_id is its owner.
@@ -26,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.arrays import byte_values, flat_text, mix64, run_starts
-from quillgraph.scratch import free_shuffles, materialize
+from quillgraph.llm.arrays import byte_values, flat_text, mix64, packed, packed_keys, run_starts, unpacked, unpacked_keys
+from quillgraph.scratch import free_shuffles, materialize, shuffle_partitions
 
 LENGTH = 50
 GRAM = 20
+#: Bytes beside an anchor that a run's key also covers: half of what a window has beside it.
+SIDE = (LENGTH - GRAM) // 2
 #: Bytes hashed at once; positions within fit 24 bits.
 PIECE = 1 << 20
 #: Bits of the table of shared anchors (16 MB, whatever the input).
@@ -42,6 +46,8 @@ SORT_BYTES = 8 << 20
 SORT_WINDOWS = 4 << 20
 #: Distinct strings that a map task combines before it sends them on.
 COMBINE = 1 << 19
+#: Keys of a map task that are sorted and sent on together.
+KEYS_AT_ONCE = 1 << 21
 
 _VALUES = byte_values(20)
 _BASE = 0x9E3779B97F4A7C15
@@ -59,9 +65,8 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix64(h16[:n] * power(4) + h4[16 : 16 + n])
 
 
-def window_runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first window, number of windows, anchor hash, row) of the runs of windows with one anchor; windows stay within a row."""
-    lengths = np.diff(offsets)
+def window_runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """first window, number of windows, key, anchor hash, row: runs of windows with one anchor and side; windows stay within a row."""
     for begin in range(0, max(0, len(data) - LENGTH + 1), PIECE):
         piece = data[begin : begin + PIECE + LENGTH - 1]
         n = len(piece) - LENGTH + 1
@@ -77,17 +82,21 @@ def window_runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndar
         row_hi = int(np.searchsorted(offsets, begin + n - 1, "right"))
         ends = offsets[row_lo + 1 : row_hi + 1]
         cuts = np.diff(np.clip(np.concatenate(([begin], ends)), begin, begin + n))
-        valid = np.repeat(ends, cuts) - np.arange(begin, begin + n) >= LENGTH
+        places = np.arange(n)
+        valid = np.repeat(ends, cuts) - begin - places >= LENGTH
+        left = anchor - places >= SIDE  # windows that reach SIDE bytes to the left of the anchor
         change = np.empty(n, bool)
         change[0] = True
-        change[1:] = (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1])
+        change[1:] = (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1]) | (left[1:] != left[:-1])
         starts = np.flatnonzero(change)
         sizes = np.diff(np.append(starts, n))
         keep = valid[starts]
         starts, sizes = starts[keep], sizes[keep]
+        at, side = anchor[starts], left[starts]
+        other = hashes[np.where(side, at - SIDE, at + SIDE + 1)]
+        keys = mix64(hashes[at] + other * np.where(side, np.uint64(3), np.uint64(5)))
         rows = np.searchsorted(offsets, starts + begin, "right") - 1
-        yield starts + begin, sizes, hashes[anchor[starts]], rows
-    assert len(lengths) + 1 == len(offsets)
+        yield starts + begin, sizes, keys, hashes[at], rows
 
 
 def _words(buffer: np.ndarray) -> np.ndarray:
@@ -166,41 +175,102 @@ def _leading_bytes(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shared_table(docs: DataFrame) -> np.ndarray:
-    """Bits of the anchors that occur in two documents or more."""
+def _parts_of(slots: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the key space that a table word belongs to: equal stretches of the table."""
+    return ((slots >> np.uint64(6)) * np.uint64(parts) >> np.uint64(TABLE_BITS - 6)).astype(np.int64)
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return keys >> np.uint64(64 - TABLE_BITS)
+
+
+def _key_blocks(parts: int):
+    """Keys with the smallest and largest document of a stretch of input, a block for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((docs, keys))
+            keys, docs = keys[order], docs[order]
+            starts = run_starts(keys)
+            last = np.append(starts[1:], len(keys)) - 1
+            keys, low, high = keys[starts], docs[starts], docs[last]
+            cuts = run_starts(_parts_of(_slots(keys), parts))
+            for a, b in zip(cuts, np.append(cuts[1:], len(keys)), strict=True):
+                part = int(_parts_of(_slots(keys[a : a + 1]), parts)[0])
+                row = {"part": part, "keys": packed_keys(keys[a:b]), "low": packed(low[a:b]), "more": packed(high[a:b] - low[a:b])}
+                yield pa.RecordBatch.from_pylist([row], _KEYS)
+
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for _, _, anchors, rows in window_runs(*flat_text(batch.column(1))):
-                yield pa.record_batch([pa.array(anchors.view(np.int64)), pa.array(ids[rows], pa.int64())], names=["anchor", "doc_id"])
+            for _, _, keys, _, rows in window_runs(*flat_text(batch.column(1))):
+                held.append((keys, ids[rows]))
+                if sum(len(x[0]) for x in held) > KEYS_AT_ONCE:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+_KEYS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("low", pa.binary()), ("more", pa.binary())])
 
-    anchors = docs.mapInArrow(run, "anchor long, doc_id long")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    slot = F.shiftrightunsigned("anchor", 64 - TABLE_BITS)
-    words = shared.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - TABLE_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+def _shared_bits(parts: int):
+    """The part's stretch of the table: bits of keys that two documents or more have."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        part = blocks.column("part")[0].as_py()
+        read = lambda c, f: np.concatenate([f(x) for x in blocks.column(c).to_pylist()])
+        keys = read("keys", unpacked_keys)
+        low = read("low", lambda x: unpacked(x, np.int64))
+        high = low + read("more", lambda x: unpacked(x, np.int64))
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts = run_starts(keys)
+        shared = keys[starts][np.minimum.reduceat(low[order], starts) < np.maximum.reduceat(high[order], starts)]
+        first = -(-(part << (TABLE_BITS - 6)) // parts)
+        bits = np.zeros(-(-((part + 1) << (TABLE_BITS - 6)) // parts) - first, np.uint64)
+        slot = _slots(shared)
+        np.bitwise_or.at(bits, (slot >> np.uint64(6)).astype(np.int64) - first, np.uint64(1) << (slot & np.uint64(63)))
+        return pa.table({"first": pa.array([first], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    return run
+
+
+def _shared_table(docs: DataFrame, parts: int) -> np.ndarray:
+    """Bits of the keys that occur in two documents or more."""
+    blocks = docs.mapInArrow(_key_blocks(parts), "part int, keys binary, low binary, more binary")
+    got = blocks.groupBy("part").applyInArrow(_shared_bits(parts), "first long, bits binary").toArrow()
     table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
-    got = words.toArrow()
-    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    for first, bits in zip(got.column("first").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        part = np.frombuffer(bits, np.uint64)
+        table[first : first + len(part)] = part
     return table
 
 
-def _in_table(table: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    slot = anchors >> np.uint64(64 - TABLE_BITS)
+def _in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = _slots(keys)
     return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
 def _passing(batch: pa.RecordBatch, table: np.ndarray) -> Iterator[tuple]:
-    """doc_id, position, length, anchor and string of the runs whose anchor may be shared."""
+    """doc_id, position, anchor and string of the runs whose key may be shared."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     data, offsets = flat_text(batch.column(1))
     raw = data.tobytes()
-    for starts, sizes, anchors, rows in window_runs(data, offsets):
-        keep = np.flatnonzero(_in_table(table, anchors))
+    for starts, sizes, keys, anchors, rows in window_runs(data, offsets):
+        keep = np.flatnonzero(_in_table(table, keys))
         if len(keep):
-            starts, lengths = starts[keep], sizes[keep] + LENGTH - 1
-            strings = [raw[a:b] for a, b in zip(starts.tolist(), (starts + lengths).tolist(), strict=True)]
-            yield ids[rows[keep]], starts - offsets[rows[keep]], lengths, anchors[keep].view(np.int64), strings
+            starts, sizes, anchors, rows = starts[keep], sizes[keep], anchors[keep], rows[keep]
+            # neighbours with one anchor: one string
+            fresh = np.flatnonzero(np.concatenate(([True], (starts[1:] != (starts + sizes)[:-1]) | (anchors[1:] != anchors[:-1]))))
+            starts, sizes, anchors, rows = starts[fresh], np.add.reduceat(sizes, fresh), anchors[fresh], rows[fresh]
+            strings = [raw[a:b] for a, b in zip(starts.tolist(), (starts + sizes + LENGTH - 1).tolist(), strict=True)]
+            yield ids[rows], starts - offsets[rows], anchors, strings
 
 
 def _string_keys(strings: list[bytes]) -> np.ndarray:
@@ -208,21 +278,28 @@ def _string_keys(strings: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(s) for s in strings]), np.int64).reshape(-1, 2)
 
 
-def _combined(table_ref):
+def _combined(table_ref, parts: int):
+    """Distinct strings of a stretch of input with their smallest and largest document, a block for each part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_ref.value
         held: dict[bytes, list[int]] = {}
 
-        def flush() -> pa.RecordBatch:
-            out = pa.record_batch(
-                [pa.array([x[2] for x in held.values()], pa.int64()), pa.array(list(held), pa.binary()), pa.array([x[0] for x in held.values()], pa.int64()), pa.array([x[1] for x in held.values()], pa.int64())],
-                names=["anchor", "string", "low", "high"],
-            )
+        def flush() -> Iterator[pa.RecordBatch]:
+            strings = list(held)
+            low, high, anchors = (np.array(x, t) for x, t in zip(zip(*held.values(), strict=True), (np.int64, np.int64, np.uint64), strict=True))
             held.clear()
-            return out
+            part = (anchors % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((anchors, part))
+            cuts = run_starts(part[order])
+            for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+                at = order[a:b]
+                own = [strings[k] for k in at]
+                row = {"part": int(part[at[0]]), "anchors": packed_keys(anchors[at]), "sizes": packed(np.array([len(x) for x in own], np.int32)), "low": packed(low[at]), "more": packed(high[at] - low[at]), "strings": packed(np.frombuffer(b"".join(own), np.uint8))}
+                yield pa.RecordBatch.from_pylist([row], _STRINGS)
 
         for batch in batches:
-            for ids, _, _, anchors, strings in _passing(batch, table):
+            for ids, _, anchors, strings in _passing(batch, table):
                 for d, a, s in zip(ids.tolist(), anchors.tolist(), strings, strict=True):
                     x = held.get(s)
                     if x is None:
@@ -232,55 +309,54 @@ def _combined(table_ref):
                     elif d > x[1]:
                         x[1] = d
                 if len(held) > COMBINE:
-                    yield flush()
+                    yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
 
+_STRINGS = pa.schema([("part", pa.int32()), ("anchors", pa.binary()), ("sizes", pa.binary()), ("low", pa.binary()), ("more", pa.binary()), ("strings", pa.binary())])
+
+
 def _places(table_ref):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, at, _, _, strings in _passing(batch, table_ref.value):
+            for ids, at, _, strings in _passing(batch, table_ref.value):
                 keys = _string_keys(strings)
                 yield pa.record_batch([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(ids, pa.int64()), pa.array(at, pa.int64())], names=["k1", "k2", "doc_id", "at"])
 
     return run
 
 
-def _sorted_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: whole anchors are taken together, about SORT_BYTES at once."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if table.num_rows:
-            yield from _owner_rows(table)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.nbytes
-        if size < SORT_BYTES:
-            continue
-        table = pa.Table.from_batches(held)
-        anchors = table.column("anchor").to_numpy()
-        cut = int(np.searchsorted(anchors, anchors[-1]))
-        if cut:
-            yield from flush(table.slice(0, cut))
-            held = table.slice(cut).combine_chunks().to_batches()
-            size = sum(b.nbytes for b in held)
-    if held:
-        yield from flush(pa.Table.from_batches(held))
-
-
-def _owner_rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    strings = table.column("string").combine_chunks()
-    strings = strings.chunk(0) if isinstance(strings, pa.ChunkedArray) else strings
-    buffer, offsets = flat_text(strings)
-    low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
+def _part_owners(blocks: pa.Table) -> pa.Table:
+    """Owners of the strings of one part: whole anchors are sorted together, about SORT_BYTES at once."""
+    read = lambda c, f: np.concatenate([f(x) for x in blocks.column(c).to_pylist()])
+    anchors = read("anchors", unpacked_keys)
+    sizes = read("sizes", lambda x: unpacked(x, np.int32)).astype(np.int64)
+    low = read("low", lambda x: unpacked(x, np.int64))
+    high = low + read("more", lambda x: unpacked(x, np.int64))
+    buffer = read("strings", lambda x: unpacked(x, np.uint8))
+    begins = np.cumsum(sizes) - sizes
+    order = np.argsort(anchors, kind="stable")
+    heads = run_starts(anchors[order])
+    reach = np.concatenate(([0], np.cumsum(sizes[order])))
+    out, a = [_OWNERS.empty_table()], 0
+    while a < len(order):
+        k = int(np.searchsorted(heads, max(a + 1, int(np.searchsorted(reach, reach[a] + SORT_BYTES))), "left"))
+        b = int(heads[k]) if k < len(heads) else len(order)
+        at = order[a:b]
+        lengths = sizes[at]
+        take = np.repeat(begins[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        out.append(_owner_rows(buffer[take], np.concatenate(([0], np.cumsum(lengths))), low[at], high[at]))
+        a = b
+    return pa.concat_tables(out)
+
+
+_OWNERS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("offset", pa.int64()), ("windows", pa.int64()), ("owner", pa.int64())])
+
+
+def _owner_rows(buffer: np.ndarray, offsets: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Table:
     counts = np.diff(offsets) - (LENGTH - 1)
     firsts = np.cumsum(counts) - counts
     row = np.repeat(np.arange(len(counts)), counts)
@@ -302,23 +378,23 @@ def _owner_rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(np.append(starts, len(row)))
     keep = wanted[starts]
     starts, sizes = starts[keep], sizes[keep]
-    if len(starts):
-        rows, inverse = np.unique(row[starts], return_inverse=True)
-        keys = _string_keys(strings.take(pa.array(rows)).to_pylist())[inverse]
-        yield pa.record_batch([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(within[starts]), pa.array(sizes), pa.array(least[starts])], names=["k1", "k2", "offset", "windows", "owner"])
-
-
+    if not len(starts):
+        return _OWNERS.empty_table()
+    rows, inverse = np.unique(row[starts], return_inverse=True)
+    raw = buffer.tobytes()
+    keys = _string_keys([raw[offsets[r] : offsets[r + 1]] for r in rows.tolist()])[inverse]
+    return pa.table([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(within[starts]), pa.array(sizes), pa.array(least[starts])], schema=_OWNERS)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, begin, end): stretches of 50-byte strings of a document that also start in one with a smaller id; they may overlap."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    table = spark.sparkContext.broadcast(_shared_table(texts))
+    parts = shuffle_partitions(spark)
+    table = spark.sparkContext.broadcast(_shared_table(texts, parts))
     free_shuffles(spark)
-    strings = texts.mapInArrow(_combined(table), "anchor long, string binary, low long, high long")
-    schema = "k1 long, k2 long, offset long, windows long, owner long"
-    found = strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_owners, schema)
+    blocks = texts.mapInArrow(_combined(table, parts), "part int, anchors binary, sizes binary, low binary, more binary, strings binary")
+    found = blocks.groupBy("part").applyInArrow(_part_owners, "k1 long, k2 long, offset long, windows long, owner long")
     found = materialize(found, "suffix-owners").distinct()
     free_shuffles(spark)
     places = texts.mapInArrow(_places(table), "k1 long, k2 long, doc_id long, at long")
