@@ -36,18 +36,18 @@ GRAM = 20
 #: Bytes beside an anchor that a run's key also covers: half of what a window has beside it.
 SIDE = (LENGTH - GRAM) // 2
 #: Bytes hashed at once; positions within fit 24 bits.
-PIECE = 1 << 20
+PIECE = 1 << 16
 #: Bits of the table of shared anchors (16 MB, whatever the input).
 TABLE_BITS = 27
 #: Depth of the multikey quicksort; deeper groups go to the blind tries.
 SHALLOW = 16
 #: Bytes of run strings sorted at once, and windows of one anchor sorted at once.
-SORT_BYTES = 8 << 20
+SORT_BYTES = 4 << 20
 SORT_WINDOWS = 4 << 20
 #: Distinct strings that a map task combines before it sends them on.
-COMBINE = 1 << 19
+COMBINE = 1 << 18
 #: Keys of a map task that are sorted and sent on together.
-KEYS_AT_ONCE = 1 << 21
+KEYS_AT_ONCE = 1 << 20
 
 _VALUES = byte_values(20)
 _BASE = 0x9E3779B97F4A7C15
@@ -338,6 +338,16 @@ def _part_owners(blocks: pa.Table) -> pa.Table:
     high = low + read("more", lambda x: unpacked(x, np.int64))
     buffer = read("strings", lambda x: unpacked(x, np.uint8))
     begins = np.cumsum(sizes) - sizes
+    # equal strings of several tasks are one
+    raw = buffer.tobytes()
+    keys = _string_keys([raw[a:b] for a, b in zip(begins.tolist(), (begins + sizes).tolist(), strict=True)])
+    del raw
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    pair = keys[order]
+    same = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]).any(1))))
+    low, high = np.minimum.reduceat(low[order], same), np.maximum.reduceat(high[order], same)
+    first = order[same]
+    anchors, sizes, begins, keys = anchors[first], sizes[first], begins[first], keys[first]
     order = np.argsort(anchors, kind="stable")
     heads = run_starts(anchors[order])
     reach = np.concatenate(([0], np.cumsum(sizes[order])))
@@ -348,7 +358,7 @@ def _part_owners(blocks: pa.Table) -> pa.Table:
         at = order[a:b]
         lengths = sizes[at]
         take = np.repeat(begins[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-        out.append(_owner_rows(buffer[take], np.concatenate(([0], np.cumsum(lengths))), low[at], high[at]))
+        out.append(_owner_rows(buffer[take], np.concatenate(([0], np.cumsum(lengths))), low[at], high[at], keys[at]))
         a = b
     return pa.concat_tables(out)
 
@@ -356,7 +366,8 @@ def _part_owners(blocks: pa.Table) -> pa.Table:
 _OWNERS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("offset", pa.int64()), ("windows", pa.int64()), ("owner", pa.int64())])
 
 
-def _owner_rows(buffer: np.ndarray, offsets: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Table:
+def _owner_rows(buffer: np.ndarray, offsets: np.ndarray, low: np.ndarray, high: np.ndarray, keys: np.ndarray) -> pa.Table:
+    """Of distinct strings: the stretches of windows with one owner that another of the string's documents follows."""
     counts = np.diff(offsets) - (LENGTH - 1)
     firsts = np.cumsum(counts) - counts
     row = np.repeat(np.arange(len(counts)), counts)
@@ -380,9 +391,7 @@ def _owner_rows(buffer: np.ndarray, offsets: np.ndarray, low: np.ndarray, high:
     starts, sizes = starts[keep], sizes[keep]
     if not len(starts):
         return _OWNERS.empty_table()
-    rows, inverse = np.unique(row[starts], return_inverse=True)
-    raw = buffer.tobytes()
-    keys = _string_keys([raw[offsets[r] : offsets[r + 1]] for r in rows.tolist()])[inverse]
+    keys = keys[row[starts]]
     return pa.table([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(within[starts]), pa.array(sizes), pa.array(least[starts])], schema=_OWNERS)
 
 
@@ -395,7 +404,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     free_shuffles(spark)
     blocks = texts.mapInArrow(_combined(table, parts), "part int, anchors binary, sizes binary, low binary, more binary, strings binary")
     found = blocks.groupBy("part").applyInArrow(_part_owners, "k1 long, k2 long, offset long, windows long, owner long")
-    found = materialize(found, "suffix-owners").distinct()
+    found = materialize(found, "suffix-owners")
     free_shuffles(spark)
     places = texts.mapInArrow(_places(table), "k1 long, k2 long, doc_id long, at long")
     hits = places.join(found, ["k1", "k2"]).where("owner < doc_id")
