@@ -127,6 +127,25 @@ def _looked_up(table: np.ndarray, values: np.ndarray, keys: np.ndarray, default:
     return np.where(table[at] == keys, values[at], default)
 
 
+def _places_of(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key stands in the sorted ``table`` (it is there); looked up in sorted pieces, which stay in the cache."""
+    out = np.empty(len(keys), np.int64)
+    narrow = ORDER < 6 and (not len(table) or int(table[-1]) < 1 << 48)
+    for at in range(0, len(keys), 1 << 16):
+        part = keys[at : at + (1 << 16)]
+        if narrow:  # key and position fit one word
+            line = np.sort(part << np.uint64(16) | np.arange(len(part), dtype=np.uint64))
+            order = (line & np.uint64(0xFFFF)).astype(np.int64)
+            line >>= np.uint64(16)
+        else:
+            order = np.argsort(part)
+            line = part[order]
+        starts = run_starts(line)
+        found = np.searchsorted(table, line[starts])
+        out[at + order] = np.repeat(found, np.diff(np.append(starts, len(line))))
+    return out
+
+
 def _strides(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of whole rows of about STRIDE bytes."""
     a = 0
@@ -289,7 +308,7 @@ def _scored(n_train: int, n_tokens: int, n_distinct: int, parts: int):
         for a, b in _strides(data, offsets):
             part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             keys, per_row = word_keys(part, at)
-            c = tables[WORD][1][np.searchsorted(tables[WORD][0], keys)]
+            c = tables[WORD][1][_places_of(tables[WORD][0], keys)]
             some = np.flatnonzero(per_row)
             begins = (np.cumsum(per_row) - per_row)[some]
             sums, hits = np.zeros(len(per_row)), np.zeros(len(per_row), np.int64)
@@ -297,7 +316,7 @@ def _scored(n_train: int, n_tokens: int, n_distinct: int, parts: int):
                 sums[some] = np.add.reduceat(np.log10((c + 0.5) / scale), begins)
                 hits[some] = np.add.reduceat((c > 0).astype(np.int64), begins)
             keys, grams = gram_keys(part, at)
-            found = tables[GRAM][1][np.searchsorted(tables[GRAM][0], keys)]
+            found = tables[GRAM][1][_places_of(tables[GRAM][0], keys)]
             n_words.append(per_row)
             known.append(hits)
             base.append(sums)
