@@ -33,7 +33,7 @@ EDITS = 0.10
 MAX_GRAMS = 2_000_000
 #: Bits of the bytewise prefilter.
 FILTER_BITS = 22
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 _VALUES = byte_values(8)
 _BASE = 0x9E3779B97F4A7C15
