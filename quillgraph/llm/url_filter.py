@@ -105,7 +105,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labels:
         labelled = parsed(labels.select("url", "label")).select(url_tokens().alias("tokens"), F.col("label").cast("string").alias("label"))
     mined = mined_rules(labelled, min_support, min_confidence)
     open_ones = seen.where("rule is null and size(tokens) > 0")
-    best = matched(open_ones, mined)
+    best = materialize(matched(open_ones, mined), "url-verdicts")  # a table of its own, so that Spark may split a hot basket of the other side
     joined = seen.join(best, seen.rule.isNull() & (seen.tokens == best.basket), "left")
     by = F.when(F.col("rule").isNotNull(), "rule").when(F.col("found").isNotNull(), "mined").otherwise("default")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", "found", F.lit(DEFAULT)).alias("verdict"), by.alias("by"))
