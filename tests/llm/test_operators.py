@@ -1,0 +1,357 @@
+"""The ten operators against brute-force versions on small tables with every awkward row."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+
+from quillgraph.llm import decontaminate, mixing, ppm, quality_knn, quality_rules, simhash, suffix_dedup, tokens, toxicity, url_filter
+from quillgraph.llm.arrays import LOWER
+
+WORDS = [f"w{k}{c}" for k in range(60) for c in "abé"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, fp string, copies int"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(4)
+    base = [prose(rng, 70) for _ in range(12)]
+    passage = prose(rng, 55)
+    texts = [*base, base[3], base[3], base[4] + " tail", base[5][:200] + "\n" + passage, passage + " " + base[6], "ab " * 90, "AB " * 90, "x" * 300, "y" + "x" * 300, "", "  \n", None, "é" * 80, "a\té\x0bb", base[7].upper(), prose(rng, 4000), "one", "One two"]
+    found = [(k, t, rng.choice(["en", "fr", None]), rng.choice(["s0", "s0", "s1", None]), None if t is None else len(t), 0.5, "x", "y", 3) for k, t in enumerate(texts)]
+    rng.shuffle(found)
+    return [*found, found[0], (None, base[0], "en", "s0", 5, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def raw(text):
+    return (text or "").encode()
+
+
+def test_suffix_dedup(docs, rows, nothing):
+    got = sorted((r.asDict() for r in suffix_dedup.suffix_dedup(docs).collect()), key=repr)
+    starts = {}
+    for d, t, *_ in rows:
+        b = raw(t)
+        for p in range(len(b) - 49):
+            if d is not None:
+                starts.setdefault(b[p : p + 50], set()).add(d)
+    want = []
+    for d, t, *_ in rows:
+        b = raw(t)
+        cut = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if d is not None and min(starts[b[p : p + 50]]) < d:
+                cut[p : p + 50] = True
+        edges = np.diff(np.concatenate(([0], cut.astype(int), [0])))
+        left = np.frombuffer(b, np.uint8)[~cut].tobytes()
+        want.append({"doc_id": d, "n_bytes": len(b), "n_removed": int(cut.sum()), "n_spans": int((edges == 1).sum()), "kept_sha256": hashlib.sha256(left).hexdigest()})
+    assert got == sorted(want, key=repr)
+    assert suffix_dedup.suffix_dedup(nothing).count() == 0
+    kept = suffix_dedup.without_repeats(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} >= {None, 0, 1, 2}
+
+
+def test_owners_by_many_passes(monkeypatch, docs):
+    whole = sorted(map(tuple, suffix_dedup.suffix_dedup(docs).collect()), key=repr)
+    monkeypatch.setattr(suffix_dedup, "SORT_WINDOWS", 40)
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 300)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 97)
+    rng = np.random.default_rng(1)
+    buffer = rng.integers(97, 99, 4000).astype(np.uint8)
+    suffixes = np.arange(3900)
+    ids = rng.integers(0, 1000, 3900)
+    least = {}
+    for p in suffixes.tolist():
+        key = buffer[p : p + 50].tobytes()
+        least[key] = min(least.get(key, 10**9), int(ids[p]))
+    assert suffix_dedup.owners(buffer, suffixes, ids).tolist() == [least[buffer[p : p + 50].tobytes()] for p in suffixes.tolist()]
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs).collect()), key=repr) == whole
+
+
+def slow_fingerprint(text):
+    w = raw(text).translate(LOWER).split()
+    if not w:
+        return 0
+    shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(docs, rows, nothing, monkeypatch):
+    def check():
+        got = sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=repr)
+        fps = [slow_fingerprint(t) for _, t, *_ in rows]
+        parts = list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= 3:
+                    a, b = parts[i], parts[j]
+                    parts = [b if p == a else p for p in parts]
+        least = {p: min((r[0] for r, q in zip(rows, parts) if q == p and r[0] is not None), default=None) for p in parts}
+        assert got == sorted(((r[0], f, least[p]) for r, f, p in zip(rows, fps, parts)), key=repr)
+
+    check()
+    monkeypatch.setattr(simhash, "SMALL", 2)
+    check()
+    assert simhash.near_duplicates(nothing).count() == 0
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+
+
+def test_simhash_forest():
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 2**63, 5, dtype=np.uint64)
+    fps = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for c in centre]))
+    a, b = simhash._forest(fps, np.zeros(len(fps), bool), 3)
+    label = {f: f for f in fps.tolist()}
+    near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 3
+
+    def parts(pairs):
+        label = {f: f for f in fps.tolist()}
+        for x, y in pairs:
+            p, q = label[x], label[y]
+            label = {k: q if v == p else v for k, v in label.items()}
+        groups = {}
+        for k, v in label.items():
+            groups.setdefault(v, set()).add(k)
+        return sorted(map(sorted, groups.values()))
+
+    assert len(label) == len(fps)
+    assert parts(zip(a.tolist(), b.tolist())) == parts((int(fps[i]), int(fps[j])) for i, j in zip(*np.nonzero(near)))
+
+
+def test_quality_rules(docs, rows, nothing):
+    got = {}
+    for r in quality_rules.quality_rules(docs).collect():
+        got.setdefault(r.doc_id, r)
+    for d, t, *_ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = list(zip(words, words[1:], words[2:]))
+        covered = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)} if len(words) < 1000 else None
+        r = got[d]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)))
+        if covered is not None:
+            assert r.n_repeat_words == len(covered)
+            assert r.base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
+        assert not (r.kept and r.base_failed)
+    assert quality_rules.quality_rules(nothing).count() == 0
+
+
+def test_quality_votes(spark, nothing):
+    rng = random.Random(8)
+    good = [(k, prose(rng, 60)) for k in range(60)]
+    bad = [(100 + k, " ".join(f"{w}%%%" for w in prose(rng, 40).split())) for k in range(60)]
+    docs = spark.createDataFrame([*good, *bad, (500, None), (501, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, None) for k, _ in good] + [(k, 0, None) for k, _ in bad] + [(None, 1, 1), (7, None, 0)], "doc_id long, quality int, toxic int")
+    space = quality_knn.quality_space(docs, labels, train="doc_id % 2 = 0")
+    scores = {r.doc_id: r.score for r in quality_knn.quality_scores(docs, space).collect()}
+    assert all(scores[k] > 0.7 for k, _ in good) and all(scores[k] < 0.3 for k, _ in bad)
+    assert 0 <= scores[500] == scores[501] <= 1
+    assert quality_knn.good_documents(docs, space).columns == docs.columns
+    empty = quality_knn.quality_space(docs, labels.limit(0))
+    assert {r.score for r in quality_knn.quality_scores(docs, empty).collect()} == {0.5}
+    assert quality_knn.quality_scores(nothing, space).count() == 0
+
+
+def test_segments():
+    rng = random.Random(2)
+    for _ in range(200):
+        s = [rng.choice([-2, -1, 1, 2]) + rng.random() * 0.01 for _ in range(rng.randint(0, 12))]
+
+        def best(a, b, s=s):
+            found = max(((sum(s[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+            return [] if found[0] <= 0 else best(a, found[1]) + [(found[1], found[2])] + best(found[2], b)
+
+        assert [(a, b) for a, b, _ in toxicity.maximal_segments(s)] == best(0, len(s))
+
+
+def test_toxicity(spark, nothing):
+    rng = random.Random(9)
+    clean = [(k, prose(rng, 80)) for k in range(200)]
+    toxic = [(1000 + k, prose(rng, 40) + " vile nasty rotten " + prose(rng, 40)) for k in range(40)]
+    docs = spark.createDataFrame([*clean, *toxic, (5000, None), (5001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0) for k, _ in clean] + [(k, 1) for k, _ in toxic], "doc_id long, toxic int")
+    odds = toxicity.toxic_odds(docs, labels, train="doc_id % 2 = 0")
+    got = {r.doc_id: r for r in toxicity.toxic_passages(docs, odds).collect()}
+    assert all(got[k].score >= 0.3 and [(p.begin, p.end) for p in got[k].passages] == [(40, 43)] for k, _ in toxic)
+    assert sum(got[k].score >= 0.3 for k, _ in clean) <= 2
+    assert got[5000].score == got[5001].score < 0.3
+    blind = toxicity.toxic_odds(docs, labels.limit(0))
+    assert all(r.score < 0.3 for r in toxicity.toxic_passages(docs, blind).collect())
+    assert toxicity.toxic_passages(nothing, odds).count() == 0
+
+
+def slow_distance(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != t)))
+        row = new
+    return min(row)
+
+
+def test_decontaminate(spark, nothing):
+    rng = random.Random(6)
+    items = [(k, prose(rng, 30)) for k in range(6)] + [(90, "tiny"), (91, None)]
+
+    def edited(text, n):
+        text = list(text)
+        for _ in range(n):
+            text[rng.randrange(len(text))] = rng.choice("qzj")
+        return "".join(text)
+
+    leaky = {10: items[0][1].upper().replace(" ", "\n\n"), 11: prose(rng, 30) + " " + edited(items[1][1], 4) + " " + prose(rng, 50), 12: items[2][1][:130], 13: prose(rng, 9000) + items[3][1]}
+    docs = [*leaky.items(), (20, prose(rng, 100)), (21, None), (22, ""), (23, "tiny")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(frame, bench).collect()}
+    assert set(got) == set(leaky)
+    assert {k: got[k].item_id for k in leaky} == {10: 0, 11: 1, 12: 2, 13: 3}
+    assert {r.doc_id for r in decontaminate.without_leaks(frame, bench).collect()} == {20, 21, 22, 23}
+    assert decontaminate.contaminated(nothing, bench).count() == 0 == decontaminate.contaminated(frame, bench.limit(0)).count()
+    for _ in range(50):
+        p, t = prose(rng, 5), prose(rng, 9)
+        want = slow_distance(p.encode(), t.encode())
+        assert decontaminate.aligned(p.encode(), t.encode(), 10**6)[0] == want
+        assert (decontaminate.aligned(p.encode(), t.encode(), want - 1) is None) or want == 0
+
+
+def test_ppm(docs, rows, nothing):
+    got = {}
+    for r in ppm.ppm_scores(docs, "crc32(cast(doc_id as string)) % 5 <> 1").collect():
+        got.setdefault(r.doc_id, r)
+    train = [raw(t) for d, t, *_ in rows if d is not None and zlib.crc32(str(d).encode()) % 5 != 1]
+    words = [[*t.translate(LOWER).split(), "end"] for t in train]
+    counts = {}
+    for w in sum(words, []):
+        counts[w] = counts.get(w, 0) + 1
+    total, distinct = sum(counts.values()), len(counts)
+    top = ppm.ORDER
+    line = lambda t: bytes([ppm.START]) * top + b" ".join(t.translate(LOWER).split()) + bytes([ppm.END])
+    trie = [{} for _ in range(top + 1)]
+
+    def add(k, context, symbol, n=1):
+        node = trie[k].setdefault(context, {})
+        node[symbol] = node.get(symbol, 0) + n
+
+    for t in map(line, train):
+        for i in range(top, len(t)):
+            for k in (top, 1, 0):
+                add(k, t[i - k : i], t[i])
+    for k in range(top - 1, 1, -1):
+        for context, node in list(trie[k + 1].items()):
+            for s in node:
+                add(k, context[1:], s)
+    for d, t, *_ in rows:
+        own = [*raw(t).translate(LOWER).split(), "end"]
+        r = got[d]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in counts for w in own), total)
+        assert r.base_score == pytest.approx(sum(math.log10((counts.get(w, 0) + 0.5) / (total + 0.5 * (distinct + 1))) for w in own))
+        if len(own) > 500:
+            continue
+        x, score = line(raw(t)), 0.0
+        for i in range(top, len(x)):
+            gone = set()
+            for k in range(top, -1, -1):
+                node = {s: n for s, n in trie[k].get(x[i - k : i], {}).items() if s not in gone}
+                if not node:
+                    continue
+                if x[i] in node:
+                    score += math.log10((2 * node[x[i]] - 1) / (2 * sum(node.values())))
+                    break
+                score += math.log10(len(node) / (2 * sum(node.values())))
+                gone |= set(node)
+            else:
+                score -= math.log10(ppm.SYMBOLS - len(gone))
+        assert r.score == pytest.approx(score, rel=1e-5)
+    assert ppm.ppm_scores(nothing).count() == 0
+    assert ppm.ppm_scores(docs, "false").count() == len(rows)
+
+
+def test_token_counts(docs, rows, nothing):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path("word_bpe_49k.json"))
+    want = sorted(((d, len(raw(t)), len(whole.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in rows), key=repr)
+    for chunk, overlap in ((1 << 18, 1 << 10), (400, 30)):
+        got = sorted((tuple(r) for r in tokens.token_counts(docs, chunk=chunk, overlap=overlap).collect()), key=repr)
+        assert got == want
+    assert tokens.token_counts(nothing).count() == 0
+    rng = random.Random(1)
+    alphabet = [*"abZ09 \n\t\r\x0b\u0301\u00e9\u2003'sdt!?", "<|endoftext|>", "'re", " \u0301"]
+    for _ in range(300):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 400)))
+        want = len(whole.encode(text, add_special_tokens=False).ids)
+        assert tokens._count_batch("word_bpe_49k.json", [text]) == [want]
+        assert tokens.count_long("word_bpe_49k.json", text, 60, 12) == want
+
+
+def test_url_filter(spark):
+    urls = [(1, "http://A.net/x"), (2, "https://b.example.net/en/1"), (3, "x://example.com/de/"), (4, "http://q.org/fr/2?a=1"), (5, None), (6, "no host"), (7, "http://net"), (8, "http://notnet/x"), (9, "http://example.net?x"), (9, "http://example.net?x"), (10, "a://b://c.net/")]
+    pages = spark.createDataFrame([(*u, "x", "y") for u in urls], "page_id long, url string, host string, rule string")
+    got = {r.page_id: r for r in url_filter.url_verdicts(pages).collect()}
+    assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.net", "/x", "net/", "block")
+    assert [got[k].rule for k in range(2, 11)] == ["example.net/en/", "example.com/de/", "org/fr/", None, None, None, None, None, None]
+    assert (got[5].host, got[5].path, got[6].host) == ("", "", "") and (got[10].host, got[10].path) == ("b:", "//c.net/")
+    marks = spark.createDataFrame([(f"http://spam-{k}.info/a/{k}", "block") for k in range(20)] + [(f"http://good{k}.info/b/{k}", "allow") for k in range(20)], "url string, label string")
+    asked = spark.createDataFrame([(1, "http://spam-99.info/z/1"), (2, "http://other.info/b/7")], "page_id long, url string")
+    found = {r.page_id: (r.verdict, r.by) for r in url_filter.url_verdicts(asked, labels=marks).collect()}
+    assert found == {1: ("block", "mined"), 2: ("allow", "mined")}
+    assert url_filter.url_verdicts(pages.limit(0)).count() == 0
+
+
+def test_mixing(spark, docs, rows, nothing):
+    rng = random.Random(5)
+    made = [(k, prose(rng, rng.randint(1, 40)), "big" if k % 10 else f"s{k % 3}") for k in range(2000)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, source string")
+    got = mixing.mixed(frame, entropy=0.9, max_repeat=3.0).collect()
+    size, taken, weight = {}, {}, {}
+    for r in got:
+        size[r.source] = size.get(r.source, 0) + r.n_tokens
+        taken[r.source] = taken.get(r.source, 0) + r.n_tokens * r.copies
+        weight[r.source] = r.weight
+    whole = sum(size.values())
+    assert len(got) == 2000 and sum(weight.values()) == pytest.approx(1)
+    assert max(weight[s] * whole / size[s] for s in size) <= 3.0 + 1e-4
+    for s in size:
+        assert weight[s] * whole - 45 <= taken[s] <= weight[s] * whole + 1e-6
+    ratio = [math.log(weight[s] / weight["big"]) / math.log(size[s] / size["big"]) for s in size if s != "big"]
+    assert max(ratio) - min(ratio) < 1e-9 and 0 <= ratio[0] <= 1
+    assert mixing.realised(mixing.mixed(frame)).where("epoch >= 0").count() > 0
+    odd = mixing.mixed(docs).collect()
+    assert len(odd) == len(rows) and all(r.copies >= 0 for r in odd)
+    assert mixing.mixed(nothing).count() == 0
+
+
+def test_flat_text():
+    from quillgraph.llm.arrays import flat_text, packed, packed_keys, unpacked, unpacked_keys
+
+    data, offsets = flat_text(pa.array(["x", None, "", "é"]).slice(1))
+    assert data.tobytes() == "é".encode() and offsets.tolist() == [0, 0, 0, 2]
+    keys = np.array([3, 9, 2**63], np.uint64)
+    assert unpacked_keys(packed_keys(keys)).tolist() == keys.tolist()
+    assert unpacked(packed(np.array([1, -5])), np.int64).tolist() == [1, -5]
