@@ -47,6 +47,8 @@ def attached_versionless(claims: DataFrame) -> DataFrame:
 def folded(claims: DataFrame) -> DataFrame:
     """One row a root: name and purl of the best claim, hashes of all (later ids win), last known licence."""
     best = F.max_by(F.struct("name", "version", "purl"), F.struct("tier", "version", "purl", "name"))
-    entries = F.array_sort(F.collect_list(F.struct("id", "hashes")))
-    merged = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda acc, e: F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_contains_key(F.coalesce(e.hashes, F.create_map().cast("map<string,string>")), k)), F.coalesce(e.hashes, F.create_map().cast("map<string,string>"))))
-    return claims.groupBy("root").agg(best.alias("b"), merged.alias("hashes"), F.max_by("license", F.when(F.col("license").isNotNull(), F.col("id"))).alias("license")).select("root", "b.name", "b.version", "b.purl", "hashes", "license")
+    per_key = claims.select("root", "id", F.explode("hashes").alias("k", "v")).groupBy("root", "k").agg(F.max_by("v", "id").alias("v"))
+    hashes = per_key.groupBy("root").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("hashes"))
+    licences = F.max_by("license", F.when(F.col("license").isNotNull(), F.col("id")))
+    found = claims.groupBy("root").agg(best.alias("b"), licences.alias("license"))
+    return found.join(hashes, "root", "left").select("root", "b.name", "b.version", "b.purl", "hashes", "license")
