@@ -26,11 +26,11 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: Ratio: (floor, ceiling) of its cutoff.
+#: Ratio: (floor, ceiling) of its cutoff. A short text may end with the line it began with.
 RATIOS = {
     "symbol_ratio": (0.05, 0.30),
-    "dup_line_ratio": (0.30, 0.60),
-    "repeat_ratio": (0.20, 0.50),
+    "dup_line_ratio": (0.40, 0.60),
+    "repeat_ratio": (0.30, 0.50),
     "upper_ratio": (0.30, 0.60),
     "bang_ratio": (0.10, 0.30),
 }
