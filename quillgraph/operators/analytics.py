@@ -172,7 +172,7 @@ def instance_paths(evidence: DataFrame) -> DataFrame:
 
 
 def fleet_merge(rows: DataFrame) -> DataFrame:
-    """One row an identity over all hosts: the best claim (tier, confidence, first host) and where it was seen.
+    """One row an identity over all hosts: the best claim (tier, confidence; ties: a hash of the host) and on how many hosts.
 
     ``rows`` has host, identity, name, version, tier, confidence, observed.
     """
