@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.sources import grammars_declared, grammars_infra, grammars_locks
 from quillgraph.sources.lockfiles import FINDINGS
 
 Row = tuple[str, str | None]
@@ -156,6 +157,10 @@ GRAMMARS: list[tuple[str, str, str, int, Callable[[str], list[Row]]]] = [
     ("jvm/maven-pom", "pom.xml", "maven", 2, pom),
     ("jvm/gradle-lockfile", "gradle.lockfile", "maven", 3, gradle_lock),
     ("elixir/mix-lock", "mix.lock", "hex", 3, mix_lock),
+    ("js/npm-lock", "npm-shrinkwrap.json", "npm", 3, package_lock),
+    *grammars_locks.GRAMMARS,
+    *grammars_declared.GRAMMARS,
+    *grammars_infra.GRAMMARS,
 ]
 
 
