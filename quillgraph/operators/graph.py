@@ -117,3 +117,65 @@ def scopes_by_reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return plain.unionByName(gated)
 
 
+
+
+def resolved_ranges(declared: DataFrame, published: DataFrame, dependencies: DataFrame, max_depth: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Dependency ranges resolved breadth first, a level a round: edges (parent, name, wanted, version) and what is incomplete (name, wanted, reason).
+
+    ``declared`` has name, wanted; ``published`` name, versions (an array); ``dependencies``
+    name, version, dep_name, dep_wanted. The first request in order (level, then the names
+    on its way) decides a name's version; a later one takes that if it fits its range,
+    else its own highest. Each (name, version) is expanded once.
+    """
+    from quillgraph.functions.versions import semver_max_satisfying, semver_satisfies
+
+    spark = declared.sparkSession
+    asked = declared.select(F.lit("").alias("parent"), "name", "wanted", F.array("name").alias("way"))
+    chosen = spark.createDataFrame([], "name string, main string")
+    grown = spark.createDataFrame([], "name string, version string")
+    edges, gaps = None, None
+    for depth in range(max_depth + 1):
+        asked = materialize(asked, "ranges")
+        if asked.isEmpty():
+            break
+        picked = materialize(asked.join(published, "name", "left").withColumn("own", semver_max_satisfying("versions", "wanted")).withColumn("known", F.coalesce(F.size("versions"), F.lit(0)) > 0).drop("versions"), "ranges-own")
+        first = picked.where("own is not null").groupBy("name").agg(F.min_by("own", "way").alias("main")).join(chosen, "name", "left_anti")
+        chosen = materialize(chosen.unionByName(first), "ranges-chosen")
+        both = picked.join(chosen, "name", "left").withColumn("fits", F.coalesce(semver_satisfies("main", "wanted"), F.lit(False)))
+        version = F.when(F.col("fits"), F.col("main")).otherwise(F.col("own"))
+        done = materialize(both.withColumn("version", version), "ranges-done")
+        found = done.where("version is not null").select("parent", "name", "wanted", "version")
+        missing = done.where("version is null").select("name", "wanted", F.when(F.col("known"), "no published version fits").otherwise("no metadata").alias("reason"))
+        edges = found if edges is None else edges.unionByName(found)
+        gaps = missing if gaps is None else gaps.unionByName(missing)
+        fresh = done.where("version is not null").groupBy("name", "version").agg(F.min("way").alias("way")).join(grown, ["name", "version"], "left_anti")
+        fresh = materialize(fresh, "ranges-new")
+        grown = grown.unionByName(fresh.select("name", "version"))
+        asked = fresh.join(dependencies, ["name", "version"]).select(F.col("name").alias("parent"), F.col("dep_name").alias("name"), F.col("dep_wanted").alias("wanted"), F.concat("way", F.array("dep_name")).alias("way"))
+    else:
+        gaps = gaps.unionByName(asked.select("name", "wanted", F.lit("deeper than the limit").alias("reason")))
+    if edges is None:
+        return spark.createDataFrame([], "parent string, name string, wanted string, version string"), spark.createDataFrame([], "name string, wanted string, reason string")
+    return edges.distinct(), gaps.distinct()
+
+
+def explained(components: DataFrame, edges: DataFrame, evidence: DataFrame, ref: str, most: int = 5, most_paths: int = 8) -> DataFrame:
+    """(id, kind, place, text): why components are there: their ways from roots (shortest first), then their evidence (highest tier first).
+
+    The first ``most`` components that ``ref`` finds, by name, version and id, and up to
+    ``most_paths`` ways of more than one node for each.
+    """
+    from pyspark.sql import Window
+
+    from quillgraph.operators.analytics import display_ref, find_component
+
+    chosen = materialize(find_component(components, ref).orderBy("name", "version", "id").limit(most).select("id", display_ref().alias("ref")), "explain")
+    labels = components.select(F.col("id").alias("node"), display_ref().alias("label"))
+    ways = paths_to_roots(edges, chosen).where(F.size("path") > 1).withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(F.size("path"), "path"))).where(F.col("place") <= most_paths)
+    steps = ways.select("target", "place", F.posexplode("path").alias("step", "node")).join(labels, "node", "left")
+    named = F.struct("step", F.coalesce("label", F.concat(F.lit("project:"), F.col("node").cast("string"))).alias("label"))
+    told = steps.groupBy("target", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(named)), lambda x: x.label), " > ").alias("text")).select(F.col("target").alias("id"), F.lit("path").alias("kind"), "place", "text")
+    order = Window.partitionBy("component_id").orderBy(F.desc("tier"), F.desc("confidence"), "finding_id", "ordinal")
+    seen = evidence.join(chosen.select(F.col("id").alias("component_id")), "component_id", "left_semi").withColumn("place", F.row_number().over(order))
+    facts = seen.select(F.col("component_id").alias("id"), F.lit("evidence").alias("kind"), "place", F.concat_ws(" ", F.col("tier").cast("string"), F.format_string("%.2f", "confidence"), "path").alias("text"))
+    return told.unionByName(facts)

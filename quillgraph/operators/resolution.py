@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.components import connected_components
+from quillgraph.scratch import materialize
 
 
 def identity_keys() -> Column:
@@ -45,10 +46,29 @@ def attached_versionless(claims: DataFrame) -> DataFrame:
 
 
 def folded(claims: DataFrame) -> DataFrame:
-    """One row a root: name and purl of the best claim, hashes of all (later ids win), last known licence."""
-    best = F.max_by(F.struct("name", "version", "purl"), F.struct("tier", "version", "purl", "name"))
+    """One row a root: name and purl of the best claim (one with a version before one without), hashes of all (later ids win), last known licence."""
+    best = F.max_by(F.struct("name", "version", "purl"), F.struct(F.col("version").isNotNull().alias("whole"), "tier", "version", "purl", "name"))
     per_key = claims.select("root", "id", F.explode("hashes").alias("k", "v")).groupBy("root", "k").agg(F.max_by("v", "id").alias("v"))
     hashes = per_key.groupBy("root").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("hashes"))
     licences = F.max_by("license", F.when(F.col("license").isNotNull(), F.col("id")))
     found = claims.groupBy("root").agg(best.alias("b"), licences.alias("license"))
     return found.join(hashes, "root", "left").select("root", "b.name", "b.version", "b.purl", "hashes", "license")
+
+
+def reconciled(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Components from claims: joined by identity, versionless ones attached, folded, scored by all their evidence.
+
+    ``claims`` has id, ecosystem, name, version, purl, hashes, tier, license;
+    ``evidence`` claim_id, tier, confidence. One row a component: root (its least claim),
+    name, version, purl, hashes, license, n_claims, n_evidence, tier_cap, confidence and
+    status (ambiguous-declared: versionless, and its family has several).
+    """
+    from quillgraph.operators.analytics import noisy_or
+
+    roots = materialize(resolved(claims), "reconcile")
+    keyed = claims.join(roots, "id").withColumn("family", family_key())
+    attached = attached_versionless(keyed.select("id", "root", "family", "version"))
+    placed = materialize(claims.join(attached, "id"), "reconcile-placed")
+    whole = folded(placed).join(placed.groupBy("root").agg(F.count("*").alias("n_claims"), F.max("status").alias("status")), "root")
+    scores = noisy_or(evidence.join(placed.select(F.col("id").alias("claim_id"), F.col("root").alias("component_id")), "claim_id"))
+    return whole.join(scores.withColumnRenamed("component_id", "root"), "root", "left")

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from quillgraph import lookup_queries  # noqa: F401  registers its queries
 from quillgraph.queries import ORACLE, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
