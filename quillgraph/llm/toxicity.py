@@ -1,14 +1,16 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 A token scores the difference of its log-odds in toxic and other documents, smoothed by
-an informative Dirichlet prior (its frequency in the whole sample) and divided by its
-standard error where the evidence is thin. All maximal segments of a text are found in
+an informative Dirichlet prior (its frequency in the whole sample). Tokens are words and
+their beginnings: a word scores as the longest of its beginnings, itself first, whose
+likelihood ratio isn't what chance gives the best of all tokens tested. All maximal segments of a text are found in
 one pass (linear time); their scores follow an extreme-value law in clean text, fitted on
 the sample's clean documents, which turns the best segments into a probability.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,8 +27,12 @@ PER_CLASS = 3000
 MAX_TOKENS = 50_000
 #: Mass of the Dirichlet prior, in documents.
 PRIOR_DOCS = 20.0
-#: Tokens whose log-odds are fewer standard errors from zero count as background.
-MIN_Z = 5.0
+#: Characters of the beginnings that stand for words too rare to score themselves.
+STEMS = (8, 7, 6, 5, 4)
+#: Documents that a token must occur in, at least.
+MIN_DOCS = 3
+#: A token's root likelihood ratio must be this far above the largest of as many normal draws as tokens are tested.
+MARGIN = 1.0
 #: Cost of a background token, and of leaving a segment.
 BACKGROUND = -0.05
 #: Least tail of the extreme-value law that counts as significant.
@@ -39,6 +45,14 @@ def tokens(text: bytes) -> list[bytes]:
     return [w.strip(_TRIM) for w in text.translate(LOWER).split()]
 
 
+def units(word: bytes) -> list[bytes]:
+    """The word and its beginnings, longest first; a beginning is marked by a zero byte, which no token holds."""
+    if len(word) <= STEMS[-1]:
+        return [word]
+    text = word.decode("utf-8", "ignore")
+    return [word, *(text[:k].encode() + b"\0" for k in STEMS if len(text) > k)]
+
+
 class Odds(NamedTuple):
     """What is broadcast: at most MAX_TOKENS token scores, the extreme-value law and the labels' share."""
 
@@ -74,7 +88,10 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
 def segments(odds: Odds, words: list[bytes]) -> list[tuple[int, int, float]]:
     """Maximal segments of a text; stretches of background are one step each, and a token that repeats the one before is background."""
     get = odds.scores.get
-    marked = [(i, s) for i, s in enumerate(map(get, words)) if s is not None and not (i and words[i] == words[i - 1])]
+    known: dict[bytes, float | None] = {}
+    for w in set(words):
+        known[w] = next((s for s in map(get, units(w)) if s is not None), None)
+    marked = [(i, s) for i, s in enumerate(map(known.get, words)) if s is not None and not (i and words[i] == words[i - 1])]
     if not any(s > 0 for _, s in marked):
         return []
     steps, where, at = [], [], 0
@@ -123,20 +140,18 @@ def learn(texts: list[bytes], labels: np.ndarray, sizes: dict[int, int]) -> Odds
             n[k] -= 1
             continue
         distinct.add(shape)
-        for w in mark:
-            counts.setdefault(w, [0, 0])[k] += 1
+        for u in {u for w in mark if w for u in units(w)}:
+            counts.setdefault(u, [0, 0])[k] += 1
     n = [max(x, 1) for x in n]
+    tested = {u: c for u, c in counts.items() if sum(c) >= MIN_DOCS}
+    least = np.sqrt(2 * np.log(max(len(tested), 2))) + MARGIN
     scores: dict[bytes, float] = {}
-    for w, (c0, c1) in counts.items():
-        if not w:
+    for u, (c0, c1) in tested.items():
+        if root_ratio(c0, c1, n) < least:
             continue
-        share = (c0 + c1 + 0.5) / (n[0] + n[1] + 1)
-        a = PRIOR_DOCS * share
+        a = PRIOR_DOCS * (c0 + c1 + 0.5) / (n[0] + n[1] + 1)
         y1, y0 = c1 + a, c0 + a
-        odds = np.log(y1 / (n[1] + PRIOR_DOCS - y1)) - np.log(y0 / (n[0] + PRIOR_DOCS - y0))
-        z = odds / np.sqrt(1 / y1 + 1 / y0)
-        if abs(z) >= MIN_Z and c0 + c1 >= 5:
-            scores[w] = float(odds)
+        scores[u] = float(np.log(y1 / (n[1] + PRIOR_DOCS - y1)) - np.log(y0 / (n[0] + PRIOR_DOCS - y0)))
     scores = dict(sorted(scores.items(), key=lambda x: (-abs(x[1]), x[0]))[:MAX_TOKENS])
     odds = Odds(scores, 1.0, 1.0, prior)
     best = np.array([max((s for _, _, s in segments(odds, w)), default=0.0) - np.log(max(len(w), 1) / 100) for w, k in zip(kept, labels, strict=True) if k == 0])
@@ -146,6 +161,13 @@ def learn(texts: list[bytes], labels: np.ndarray, sizes: dict[int, int]) -> Odds
     return Odds(scores, float(np.mean(best)) - 0.5772 * scale, scale, prior)
 
 
+def root_ratio(c0: int, c1: int, n: list[int]) -> float:
+    """Root of twice the log-likelihood ratio of a token's document counts in the two classes against one common rate."""
+    whole, size = c0 + c1, n[0] + n[1]
+    cells = ((c0, n[0] * whole / size), (c1, n[1] * whole / size), (n[0] - c0, n[0] * (size - whole) / size), (n[1] - c1, n[1] * (size - whole) / size))
+    return math.sqrt(max(2 * sum(o * math.log(o / e) for o, e in cells if o > 0 and e > 0), 0.0))
+
+
 def hash_of(words: frozenset) -> int:
     import xxhash
 

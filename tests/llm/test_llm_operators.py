@@ -355,3 +355,17 @@ def test_flat_text():
     keys = np.array([3, 9, 2**63], np.uint64)
     assert unpacked_keys(packed_keys(keys)).tolist() == keys.tolist()
     assert unpacked(packed(np.array([1, -5])), np.int64).tolist() == [1, -5]
+
+
+def test_toxic_beginnings(spark):
+    """Rare words of one family score by their common beginning, which no single word would reach."""
+    rng = random.Random(8)
+    family = [f"zarquon{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    clean = [(k, prose(rng, 80)) for k in range(200)]
+    toxic = [(1000 + k, " ".join([prose(rng, 30), *rng.sample(family, 3), prose(rng, 30)])) for k in range(60)]
+    docs = spark.createDataFrame([*clean, *toxic], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0) for k, _ in clean] + [(k, 1) for k, _ in toxic], "doc_id long, toxic int")
+    odds = toxicity.toxic_odds(docs, labels, train="doc_id % 2 = 0")
+    assert b"zarquon\0" in odds.scores
+    got = {r.doc_id: r.score >= 0.3 for r in toxicity.toxic_passages(docs, odds).collect()}
+    assert all(got[k] for k, _ in toxic) and not any(got[k] for k, _ in clean)
