@@ -2,10 +2,11 @@
 
 Per document the counts of the fixed base rule and the ratios that the adaptive rules
 judge are taken once. Per language and source a mergeable quantile sketch (KLL) of each
-ratio gives quartiles; the cutoff is the upper quartile plus a multiple of the spread,
-never under a floor that ordinary prose stays below and never over a ceiling that no
-prose reaches, so a source full of junk cannot raise it without bound. The cutoffs are
-joined to the documents and filter them.
+ratio gives the median and the upper decile; the cutoff is the upper decile plus a
+multiple of their distance, never over a ceiling that no prose reaches, so a source full
+of junk cannot raise it without bound. There is no lower bound: where nine documents of
+ten have none of a thing, the cutoff is 0. A document may have one event above its
+cutoff, as one tells nothing of it. The cutoffs are joined to the documents and filter them.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: Ratio: (floor, ceiling) of its cutoff. A short text may end with the line it began with.
+#: Ratio: (count, of what, ceiling of its cutoff, count of one event). Three words said twice are six repeated words.
 RATIOS = {
-    "symbol_ratio": (0.05, 0.30),
-    "dup_line_ratio": (0.40, 0.60),
-    "repeat_ratio": (0.30, 0.50),
-    "upper_ratio": (0.30, 0.60),
-    "bang_ratio": (0.10, 0.30),
+    "symbol_ratio": ("n_symbols", "word_chars", 0.05, 1),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 0.40, 1),
+    "repeat_ratio": ("n_repeat_words", "n_words", 0.30, 6),
+    "upper_ratio": ("n_upper", "word_chars", 0.30, 1),
+    "bang_ratio": ("n_bang", "n_words", 0.10, 1),
 }
 SPREAD = 3.0
 
@@ -96,17 +97,18 @@ def quality_rules(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
     empty table gives an empty one; further columns are not read.
     """
     counts = materialize(measured(docs), "rules")
-    per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    rated = counts.select("*", per("n_symbols", "word_chars").alias("symbol_ratio"), per("n_dup_lines", "n_lines").alias("dup_line_ratio"), per("n_repeat_words", "n_words").alias("repeat_ratio"), per("n_upper", "word_chars").alias("upper_ratio"), per("n_bang", "n_words").alias("bang_ratio"))
+    of = {r: F.greatest(F.col(whole), F.lit(1)) for r, (_, whole, _, _) in RATIOS.items()}
+    rated = counts.select("*", *((F.col(n) / of[r]).alias(r) for r, (n, _, _, _) in RATIOS.items()))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rated = rated.withColumn("base_failed", base_failed)
     sketches = rated.where(~F.col("base_failed")).groupBy("lang", "source").agg(*(F.kll_sketch_agg_double(r).alias(r) for r in RATIOS))
-    quartile = lambda r, q: F.kll_sketch_get_quantile_double(r, F.lit(q))
-    cutoffs = sketches.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(F.least(F.lit(hi), F.greatest(F.lit(lo), quartile(r, 0.75) + spread * (quartile(r, 0.75) - quartile(r, 0.25)))).alias(f"max_{r}") for r, (lo, hi) in RATIOS.items()))
+    at = lambda r, q: F.kll_sketch_get_quantile_double(r, F.lit(q))
+    cutoffs = sketches.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(F.least(F.lit(top), at(r, 0.9) + spread * (at(r, 0.9) - at(r, 0.5))).alias(f"max_{r}") for r, (_, _, top, _) in RATIOS.items()))
     joined = rated.join(cutoffs, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source")
     passes = F.lit(True)
-    for r in RATIOS:
-        passes = passes & F.coalesce(F.col(r) <= F.col(f"max_{r}"), F.lit(True))
+    for r, (n, _, _, one) in RATIOS.items():
+        within = (F.col(r) <= F.col(f"max_{r}")) | (F.col(n) <= F.col(f"max_{r}") * of[r] + one)
+        passes = passes & F.coalesce(within, F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & passes)
 
 

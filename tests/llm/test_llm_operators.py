@@ -159,6 +159,34 @@ def test_quality_rules(docs, rows, nothing):
     assert quality_rules.quality_rules(nothing).count() == 0
 
 
+def test_quality_cutoffs(spark):
+    rng = random.Random(7)
+    frame = []
+    for k in range(150):  # ordinary texts of the second source have many capitals, of the third some symbols
+        words = [f"w{rng.randrange(10**9)}" for _ in range(60 + k)]
+        for g, source in enumerate(("plain", "loud", "marked")):
+            n = (0, 20 + k % 11, 0)[g] + (k == 149) * 40
+            mine = [w.upper() if i < n else w for i, w in enumerate(words)]
+            mine = [w + "#" if g == 2 and i < k % 4 else w for i, w in enumerate(mine)]
+            frame.append((1000 * g + k, " ".join(mine), "en", source))
+    got = quality_rules.quality_rules(spark.createDataFrame(frame, "doc_id long, text string, lang string, source string")).collect()
+    assert len({r.max_upper_ratio for r in got}) == 2 == len({r.max_symbol_ratio for r in got})
+    cutoffs = {}
+    for source in ("plain", "loud", "marked"):
+        group = [r for r in got if r.source == source]
+        for ratio, (n, whole, top, one) in quality_rules.RATIOS.items():
+            values = sorted(r[ratio] for r in group if not r.base_failed)
+            middle, high = (values[math.ceil(q * len(values)) - 1] for q in (0.5, 0.9))
+            want = min(top, high + 3 * (high - middle))
+            assert all(abs(r[f"max_{ratio}"] - want) < 1e-12 for r in group)
+            cutoffs[source, ratio] = want
+        for r in group:
+            assert r.kept == all(r[n] <= cutoffs[source, x] * max(r[whole], 1) + one + 1e-9 for x, (n, whole, _, one) in quality_rules.RATIOS.items())
+    assert cutoffs["plain", "upper_ratio"] == 0 < cutoffs["loud", "upper_ratio"] < 0.3
+    assert cutoffs["plain", "symbol_ratio"] == 0 < cutoffs["marked", "symbol_ratio"] < 0.05
+    assert {r.doc_id for r in got if not r.kept} >= {149} and [r.kept for r in got if r.doc_id == 1000] == [True]
+
+
 def test_quality_votes(spark, nothing):
     rng = random.Random(8)
     good = [(k, prose(rng, 60)) for k in range(60)]
