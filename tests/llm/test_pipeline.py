@@ -1,5 +1,7 @@
 """The pipeline's stages on the smallest table, and on one with nothing."""
 
+import random
+
 import corpus_pipeline
 from quillgraph.llm.queries import queries
 
@@ -29,3 +31,36 @@ def test_stages_on_nothing(spark):
 
 def test_names():
     assert [n.split("_")[0] for n in queries()] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_near_copies(spark):
+    rng = random.Random(8)
+    texts = []
+    for k in range(60):  # an original and copies of which up to an eighth of the words is changed
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120 + k)]
+        texts.append(words)
+        for n in (1, 2, 3, 8, 15):
+            at = rng.randrange(100)
+            texts.append(words[:at] + [f"x{rng.randrange(10**6)}" for _ in range(n)] + words[at + n :])
+    order = rng.sample(range(len(texts)), len(texts))
+    rows = [(d, " ".join(texts[k]), "x") for d, k in enumerate(order)]
+    rows += [(1000, None, "x"), (1001, "", "x"), (1002, "one two", "x"), (1003, "One  two", "x"), (1004, "one three", "x"), (1005, rows[0][1].upper(), "x"), rows[5]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.near_duplicates(spark, frame, DATA)
+    assert got.columns == frame.columns
+    sets = {}
+    for d, t, _ in rows:
+        w = (t or "").lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    near = {d: {e for e in sets if e != d and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e])} for d in sets}
+    kept = {r.doc_id for r in got.collect()}
+    assert not any(near[d] & kept for d in kept)
+    least = {}
+    for d in sorted(sets):
+        todo = [d]
+        while todo:
+            x = todo.pop()
+            if x not in least:
+                least[x] = least[d] if d in least else d
+                todo += near[x]
+    assert set(least.values()) <= kept and all(near[d] for d in sets if d not in kept)
