@@ -2,7 +2,9 @@
 
 Texts are folded first: lower-cased letters (ASCII and Latin-1) and digits, one blank for
 anything between.
-Each benchmark item is cut into overlapping windows. A region within e edits of a window
+Each benchmark item is cut into overlapping windows: long ones that bear EDITS, and short
+ones so close that every quote of QUOTE characters holds one whole; these bear half the
+share of edits. A region within e edits of a window
 of n characters shares at least n - q + 1 - q e of its q-grams, all within e diagonals of
 the region's own; so shared q-grams are counted in overlapping diagonal bands of width
 2 e + 1 or more, bands that meet the bound are kept, and each is verified by banded
@@ -27,10 +29,15 @@ Q = 8
 #: Characters of a window, and the step between windows.
 WINDOW = 120
 STEP = 60
-#: Share of a window that edits may change.
+#: Characters of a short window, the step between short windows, and the least quote that is always found.
+SHORT = 60
+SHORT_STEP = 20
+QUOTE = SHORT + SHORT_STEP
+#: Share of a window that edits may change; of a short window half as much.
 EDITS = 0.10
-#: q-grams in one broadcast index, at most.
+#: q-grams in one broadcast index, at most, and windows that hold a character of an item, about.
 MAX_GRAMS = 2_000_000
+COVER = WINDOW // STEP + SHORT // SHORT_STEP + 2
 #: Bits of the bytewise prefilter.
 FILTER_BITS = 22
 PIECE = 1 << 17
@@ -83,39 +90,52 @@ class Index(NamedTuple):
 
     items: np.ndarray
     windows: list[bytes]
-    begins: np.ndarray
+    shares: np.ndarray  # of the given share of edits
     hashes: np.ndarray
     window: np.ndarray
     place: np.ndarray
     present: np.ndarray
 
 
+def cuts(n: int) -> list[tuple[int, int, float]]:
+    """(begin, end, part of the share of edits) of the windows of an item of n folded characters."""
+    if n < Q:
+        return []
+    found = {}
+    for at in range(0, n, STEP):
+        end = n if n - at < WINDOW + STEP else at + WINDOW
+        found[at, end] = 1.0
+        if end == n:
+            break
+    if n > WINDOW:
+        found[n - WINDOW, n] = 1.0
+    if n > SHORT:
+        for at in [*range(0, n - SHORT, SHORT_STEP), n - SHORT]:
+            found.setdefault((at, at + SHORT), 0.5)
+    return [(*k, v) for k, v in sorted(found.items())]
+
+
 def index_of(rows: list[tuple[int, bytes]]) -> Index:
-    items, windows, begins, hashes, window, place = [], [], [], [], [], []
+    items, windows, shares, hashes, window, place = [], [], [], [], [], []
     for item, text in rows:
         data, offsets, _ = fold(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         line = data[: offsets[-1]].tobytes().rstrip(b" ")
-        at = 0
-        while len(line) >= Q:
-            end = len(line) if len(line) - at < WINDOW + STEP else at + WINDOW
+        for at, end, share in cuts(len(line)):
             part = line[at:end]
             h = gram_hashes(np.frombuffer(part, np.uint8))
             hashes.append(h)
             window.append(np.full(len(h), len(windows)))
             place.append(np.arange(len(h)))
             items.append(item)
-            begins.append(at)
+            shares.append(share)
             windows.append(part)
-            if end == len(line):
-                break
-            at += STEP
     present = np.zeros(1 << FILTER_BITS, bool)
     if not windows:
-        return Index(np.empty(0, np.int64), [], np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), present)
+        return Index(np.empty(0, np.int64), [], np.empty(0), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), present)
     h, w, p = np.concatenate(hashes), np.concatenate(window), np.concatenate(place)
     order = np.argsort(h, kind="stable")
     present[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Index(np.array(items), windows, np.array(begins), h[order], w[order], p[order], present)
+    return Index(np.array(items), windows, np.array(shares), h[order], w[order], p[order], present)
 
 
 def _candidates(index: Index, data: np.ndarray, offsets: np.ndarray, edits: float) -> Iterator[tuple[int, int, int, int]]:
@@ -135,7 +155,7 @@ def _candidates(index: Index, data: np.ndarray, offsets: np.ndarray, edits: floa
     window, place = index.window[entry], index.place[entry]
     doc_at, doc_row = at[each], row[each]
     sizes = np.array([len(w) for w in index.windows])
-    limits = np.array([budget(int(n), edits) for n in sizes])
+    limits = np.array([budget(int(n), edits * share) for n, share in zip(sizes, index.shares, strict=True)])
     width = limits[:, 0] + 1
     diagonal = doc_at - place + (1 << 20)
     # bands [j w, j w + 2 w): every stretch of e + 1 diagonals lies in one of them
@@ -195,7 +215,7 @@ def leaks_in(index: Index, data: np.ndarray, offsets: np.ndarray, edits: float =
         if key in tried:
             continue
         pattern = index.windows[w]
-        most, _ = budget(len(pattern), edits)
+        most, _ = budget(len(pattern), edits * index.shares[w])
         a, b = max(int(folded[row]), first - most), min(int(folded[row + 1]), last + most)
         found = aligned(pattern, line[a:b].tobytes(), most)
         if found is not None:
@@ -211,11 +231,11 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     block, held = [], 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         text = r["text"].encode()
-        if block and held + 2 * len(text) > MAX_GRAMS:
+        if block and held + COVER * len(text) > MAX_GRAMS:
             yield block
             block, held = [], 0
         block.append((r["item_id"], text))
-        held += 2 * len(text)
+        held += COVER * len(text)
     if block:
         yield block
 
@@ -226,6 +246,7 @@ LEAK_SQL = "doc_id long, item_id long, begin long, end long, edits long, size lo
 def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """(doc_id, item_id, begin, end, edits, size): each region of a document within the edit budget of a benchmark window.
 
+    A quote of QUOTE folded characters of an item, word for word, always holds a window.
     begin and end are bytes of the document's UTF-8 text. Items whose folded text is
     under 8 characters match nothing. Null and empty texts have no region; rows with a
     null or repeated doc_id give rows with that doc_id; further columns are not read. An

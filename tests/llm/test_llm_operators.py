@@ -267,6 +267,21 @@ def test_decontaminate(spark, nothing):
         assert (decontaminate.aligned(p.encode(), t.encode(), want - 1) is None) or want == 0
 
 
+def test_short_quotes():
+    rng = random.Random(9)
+    item = " ".join(f"v{rng.randrange(10**5)}" for _ in range(40))
+    index = decontaminate.index_of([(5, item.encode())])
+
+    def found(quote):
+        data = f"{prose(rng, 20)} {quote} {prose(rng, 20)}".encode()
+        return {f[1] for f in decontaminate.leaks_in(index, np.frombuffer(data, np.uint8), np.array([0, len(data)]))}
+
+    for at in range(len(item) - 80 + 1):
+        assert found(item[at : at + 80]) == {5}
+    assert found(item[-120:]) == found(item) == {5}
+    assert found(item[50:80]) == set() == found("")
+
+
 def test_ppm(docs, rows, nothing):
     got = {}
     for r in ppm.ppm_scores(docs, "crc32(cast(doc_id as string)) % 5 <> 1").collect():
