@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from quillgraph.llm import decontaminate, mixing, ppm, quality_knn, quality_rules, simhash, suffix_dedup, tokens, toxicity, url_filter
+from quillgraph.llm import mixing, ppm, quality_knn, quality_rules, simhash, suffix_dedup, tokens, toxicity, url_filter
 from quillgraph.llm.arrays import LOWER
 
 WORDS = [f"w{k}{c}" for k in range(60) for c in "abé"]
@@ -231,57 +231,6 @@ def test_toxicity(spark, nothing):
     assert toxicity.toxic_passages(nothing, odds).count() == 0
 
 
-def slow_distance(pattern, text):
-    row = [0] * (len(text) + 1)
-    for i, p in enumerate(pattern, 1):
-        new = [i]
-        for j, t in enumerate(text, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != t)))
-        row = new
-    return min(row)
-
-
-def test_decontaminate(spark, nothing):
-    rng = random.Random(6)
-    items = [(k, prose(rng, 30)) for k in range(6)] + [(90, "tiny"), (91, None)]
-
-    def edited(text, n):
-        text = list(text)
-        for _ in range(n):
-            text[rng.randrange(len(text))] = rng.choice("qzj")
-        return "".join(text)
-
-    leaky = {10: items[0][1].upper().replace(" ", "\n\n"), 11: prose(rng, 30) + " " + edited(items[1][1], 4) + " " + prose(rng, 50), 12: items[2][1][:130], 13: prose(rng, 9000) + items[3][1]}
-    docs = [*leaky.items(), (20, prose(rng, 100)), (21, None), (22, ""), (23, "tiny")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.contaminated(frame, bench).collect()}
-    assert set(got) == set(leaky)
-    assert {k: got[k].item_id for k in leaky} == {10: 0, 11: 1, 12: 2, 13: 3}
-    assert {r.doc_id for r in decontaminate.without_leaks(frame, bench).collect()} == {20, 21, 22, 23}
-    assert decontaminate.contaminated(nothing, bench).count() == 0 == decontaminate.contaminated(frame, bench.limit(0)).count()
-    for _ in range(50):
-        p, t = prose(rng, 5), prose(rng, 9)
-        want = slow_distance(p.encode(), t.encode())
-        assert decontaminate.aligned(p.encode(), t.encode(), 10**6)[0] == want
-        assert (decontaminate.aligned(p.encode(), t.encode(), want - 1) is None) or want == 0
-
-
-def test_short_quotes():
-    rng = random.Random(9)
-    item = " ".join(f"v{rng.randrange(10**5)}" for _ in range(40))
-    index = decontaminate.index_of([(5, item.encode())])
-
-    def found(quote):
-        data = f"{prose(rng, 20)} {quote} {prose(rng, 20)}".encode()
-        return {f[1] for f in decontaminate.leaks_in(index, np.frombuffer(data, np.uint8), np.array([0, len(data)]))}
-
-    for at in range(len(item) - 80 + 1):
-        assert found(item[at : at + 80]) == {5}
-    assert found(item[-120:]) == found(item) == {5}
-    assert found(item[50:80]) == set() == found("")
-
-
 def test_ppm(docs, rows, nothing):
     got = {}
     for r in ppm.ppm_scores(docs, "crc32(cast(doc_id as string)) % 5 <> 1").collect():
