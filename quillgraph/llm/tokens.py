@@ -1,14 +1,13 @@
-"""Token counts of whole texts, huge documents by overlapping chunks.
+"""Token counts of whole texts, long documents by overlapping chunks.
 
 A text up to ``chunk`` characters is counted at once; where the tokenizer's definition
-proves that no token reaches over a blank, as the sum over its words. A
-longer one is encoded in chunks
-that overlap; each chunk gives its tokens' offsets. Two neighbours are spliced at a
-position of their overlap where both have a token boundary and from where to the
-overlap's inner half both give the same tokens at the same offsets: the encoder has
-resynchronised there. A boundary counts as proven only if it lies at a blank, which this
-family of tokenizers never joins over, with a blank margin to either chunk's edge. Where
-no such boundary exists the overlap is doubled, up to the whole text.
+proves that no token reaches over a blank, as the sum over its words. A longer one is
+encoded in chunks that overlap; each chunk gives its tokens' offsets. Two neighbours are
+spliced at a position of their overlap where both have a token boundary and around which,
+for a third of the overlap, both give the same tokens at the same offsets: the encoder has
+resynchronised there. A boundary counts as proven only if it lies at a blank, which these
+tokenizers never join to what stands before it. Where no such boundary exists the overlap
+is doubled, up to the whole chunk, and then the chunks are.
 """
 
 from __future__ import annotations
@@ -19,15 +18,18 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
-import pyarrow as pa
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.arrays import flat_text
 
-CHUNK = 1 << 18
-OVERLAP = 1 << 10
+#: Characters of a chunk, and of the overlap of two.
+CHUNK = 1 << 14
+OVERLAP = 1 << 9
+BLANKS = " \n"
 #: Characters of a batch that the encoder gets at once.
 GROUP = 4 << 20
 
@@ -103,73 +105,76 @@ def _count_batch(name: str, texts: list[str]) -> list[int]:
     return [len(e.ids) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _with_offsets(name: str, text: str) -> list[tuple[int, int, int]]:
-    """(start, end, id) of each token, in characters of ``text``."""
-    found = _encoder(name).encode(text, add_special_tokens=False)
-    return [(a, b, i) for (a, b), i in zip(found.offsets, found.ids, strict=True)]
-
-
-def count_long(name: str, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a long text: overlapping chunks, spliced where both agree."""
+def _with_offsets(name: str, text: str, at: int) -> np.ndarray:
+    """Rows start, end, id of each token; places count characters, the text's first one being ``at``."""
+    if name.endswith(".model"):
+        found = _encoder(name).encode(text, return_type="proto").pieces
+        raw = np.frombuffer(text.encode(), np.uint8)
+        before = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # this library's places are bytes
+        rows = [(before[x.begin], before[x.end], x.id) for x in found]
+    else:
+        found = _encoder(name).encode(text, add_special_tokens=False)
+        rows = [(a, b, i) for (a, b), i in zip(found.offsets, found.ids, strict=True)]
+    return np.array(rows, np.int64).reshape(-1, 3).T + np.array([[at], [at], [0]])
+
+
+def count_long(name: str, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int, int]:
+    """Tokens of a long text by overlapping chunks, spliced where both agree; how many chunks, how often an overlap was widened."""
     if len(text) <= chunk:
-        return _count_batch(name, [text])[0]
-    total, at = 0, 0
-    left = _with_offsets(name, text[:chunk])  # tokens of the chunk that begins at ``at``
-    end = chunk
-    keep_from = 0  # only tokens that begin here or later count
+        return _count_batch(name, [text])[0], 1, 0
+    total, chunks, widened = 0, 1, 0
+    at, end, keep_from = 0, chunk, 0  # tokens that begin at keep_from or later aren't counted yet
+    left = _with_offsets(name, text[:chunk], 0)
     while end < len(text):
         wide = overlap
         while True:
             begin = max(at, end - wide)
             right_end = min(len(text), begin + chunk + wide)
-            right = _with_offsets(name, text[begin:right_end])
-            splice = _boundary(text, [(a + at, b + at, i) for a, b, i in left], [(a + begin, b + begin, i) for a, b, i in right], max(begin, keep_from), end)
+            right = _with_offsets(name, text[begin:right_end], begin)
+            splice = _boundary(text, left, right, max(begin, keep_from), end)
             if splice is not None:
                 break
-            if begin == at:  # no boundary in the whole chunk: join it to the next one
-                return total + _rest(name, text, keep_from, chunk * 2, overlap)
+            widened += 1
+            if begin == at:  # no boundary in the whole chunk: the text anew, in larger chunks
+                n, chunks, wider = count_long(name, text, chunk * 2, overlap)
+                return n, chunks, widened + wider
             wide *= 2
-        total += sum(1 for a, _, _ in left if keep_from <= a + at < splice)
-        keep_from, at, left, end = splice, begin, right, right_end
-    return total + sum(1 for a, _, _ in left if a + at >= keep_from)
-
-
-def _rest(name: str, text: str, start: int, chunk: int, overlap: int) -> int:
-    """The text from a proven boundary on, with larger chunks."""
-    return count_long(name, text[start:], chunk, overlap)
+        total += int(((left[0] >= keep_from) & (left[0] < splice)).sum())
+        keep_from, at, left, end, chunks = splice, begin, right, right_end, chunks + 1
+    return total + int((left[0] >= keep_from).sum()), chunks, widened
 
 
-def _boundary(text: str, left: list, right: list, lo: int, hi: int) -> int | None:
-    """A blank in the middle of [lo, hi) around which both chunks give the same tokens."""
+def _boundary(text: str, left: np.ndarray, right: np.ndarray, lo: int, hi: int) -> int | None:
+    """Where a token begins at or after a blank, in the middle of [lo, hi), where both chunks give the same tokens."""
     third = (hi - lo) // 3
-    near_l = [x for x in left if lo + third <= x[0] < hi - third]
-    near_r = [x for x in right if lo + third <= x[0] < hi - third]
-    if near_l != near_r:
+    near = [x[:, np.searchsorted(x[0], lo + third) : np.searchsorted(x[0], hi - third)] for x in (left, right)]
+    if near[0].shape != near[1].shape or (near[0] != near[1]).any():
         return None
-    starts = {x[0] for x in near_l}
-    inside = [x for x in near_l if x[1] - x[0] > 0]
-    for p in range((lo + hi) // 2, hi - third):
-        if text[p] in " \n" and (p + 1) in starts and not any(a <= p < b for a, b, _ in inside):
-            return p + 1
+    starts, ends, _ = near[0]
+    for k in range(max(1, int(np.searchsorted(starts, (lo + hi) // 2))), len(starts)):
+        p = int(starts[k])
+        if starts[k - 1] < p and ends[:k].max() <= p and (text[p - 1] in BLANKS and ends[:k].max() < p or text[p] in BLANKS and text[p - 1] not in BLANKS):
+            return p
     return None
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens) for each row of ``docs``.
+    """(doc_id, n_bytes, n_tokens, n_chunks, n_widened) for each row of ``docs``.
 
-    Null and empty texts have no bytes and no tokens. Repeated rows are kept; other
-    columns are not read; an empty table gives an empty one.
+    Null and empty texts have no bytes and no tokens. Texts of more than ``chunk``
+    characters are encoded in n_chunks chunks; others have 1. Repeated rows are kept, a
+    null doc_id stays; other columns are not read; an empty table gives an empty one.
     """
-    huge = chunk if tokenizer.endswith(".json") else 1 << 62  # offsets are this library's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             _, offsets = flat_text(batch.column(1))
-            counts, group, held = [0] * len(texts), [], 0
+            counts, chunks, widened = [0] * len(texts), [1] * len(texts), [0] * len(texts)
+            group, held = [], 0
             for i, t in enumerate(texts):
-                if len(t) > huge:
-                    counts[i] = count_long(tokenizer, t, chunk, overlap)
+                if len(t) > chunk:
+                    counts[i], chunks[i], widened[i] = count_long(tokenizer, t, chunk, overlap)
                     continue
                 group.append(i)
                 held += len(t)
@@ -180,11 +185,12 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", chunk: i
             if group:
                 for k, n in zip(group, _count_batch(tokenizer, [texts[k] for k in group]), strict=True):
                     counts[k] = n
-            yield pa.record_batch([batch.column(0), pa.array(offsets[1:] - offsets[:-1], pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            yield pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in (np.diff(offsets), counts, chunks, widened))], names=["doc_id", "n_bytes", "n_tokens", "n_chunks", "n_widened"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, n_chunks long, n_widened long")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document by word_bpe_49k.json; nulls, repeats and empty tables as in ``token_counts``."""
     counts = token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "n_chunks", "n_widened")

@@ -283,15 +283,34 @@ def test_ppm(docs, rows, nothing):
     assert ppm.ppm_scores(docs, "false").count() == len(rows)
 
 
+def text_of(doc_id, rows):
+    return next(t for d, t, *_ in rows if d == doc_id)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_spliced_chunks(name):
+    rng = random.Random(2)
+    alphabet = [*"abZ09  \n\t\u0301\u00e9\u2003'sdt!?", "word ", " other", " \u4e2d\u6587 ", "<|endoftext|>", "'re"]
+    widened = 0
+    for k in range(200):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 500))) + "x" * (k % 40 == 0) * 300
+        want = tokens._count_batch(name, [text])[0]
+        n, _, more = tokens.count_long(name, text, 80, 24)
+        assert n == want
+        widened += more
+    assert widened
+
+
 def test_token_counts(docs, rows, nothing):
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path("word_bpe_49k.json"))
     want = sorted(((d, len(raw(t)), len(whole.encode(t or "", add_special_tokens=False).ids)) for d, t, *_ in rows), key=repr)
-    for chunk, overlap in ((1 << 18, 1 << 10), (400, 30)):
-        got = sorted((tuple(r) for r in tokens.token_counts(docs, chunk=chunk, overlap=overlap).collect()), key=repr)
-        assert got == want
+    for chunk, overlap in ((tokens.CHUNK, tokens.OVERLAP), (400, 30)):
+        got = tokens.token_counts(docs, chunk=chunk, overlap=overlap).collect()
+        assert sorted((tuple(r[:3]) for r in got), key=repr) == want
+        assert all((r.n_chunks > 1) == (len(text_of(r.doc_id, rows) or "") > chunk) for r in got if r.doc_id is not None) and any(r.n_chunks > 1 for r in got)
     assert tokens.token_counts(nothing).count() == 0
     rng = random.Random(1)
     alphabet = [*"abZ09 \n\t\r\x0b\u0301\u00e9\u2003'sdt!?", "<|endoftext|>", "'re", " \u0301"]
@@ -299,7 +318,7 @@ def test_token_counts(docs, rows, nothing):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 400)))
         want = len(whole.encode(text, add_special_tokens=False).ids)
         assert tokens._count_batch("word_bpe_49k.json", [text]) == [want]
-        assert tokens.count_long("word_bpe_49k.json", text, 60, 12) == want
+        assert tokens.count_long("word_bpe_49k.json", text, 60, 12)[0] == want
 
 
 def test_url_filter(spark):
