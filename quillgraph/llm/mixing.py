@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.scratch import materialize
 
+#: Share of the highest entropy that the mixture reaches, and the most repetitions of a source.
+ENTROPY = 0.9999
+MAX_REPEAT = 4.0
 BLOCKS = 4096
 BLOCK_DOCS = 256
 ROUNDS = 6
@@ -82,29 +85,31 @@ def source_weights(sized: DataFrame, entropy: float | None, max_repeat: float |
     return shares.select("source", "n_docs", "tokens", weight.alias("weight"), F.lit(exponent).alias("exponent"), (weight * F.lit(budget)).alias("target"))
 
 
-def mixed(docs: DataFrame, entropy: float | None = 0.97, max_repeat: float | None = 4.0, budget: float | None = None) -> DataFrame:
+def mixed(docs: DataFrame, entropy: float | None = ENTROPY, max_repeat: float | None = MAX_REPEAT, budget: float | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, weight, copies, block, place) for each row of ``docs`` (doc_id, source, text).
 
     ``entropy`` is a share of the highest possible one; ``budget`` counts tokens (None: as
     many as there are). copies is how often the document is in the mixture, 0 included;
     place orders a source's blocks in the partial epoch. A null source is a source of its
     own; texts without words have no tokens and come with the whole epochs only; sources
-    without tokens get weight and copies 0. Repeated rows count each. An empty table gives
-    an empty one; further columns are not read.
+    without tokens get weight and copies 0. Rows are dealt by doc_id and text, so rows that
+    share a doc_id or have none don't meet in one block; repeated rows count each. An
+    empty table gives an empty one; further columns are not read.
     """
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), tokens_of().alias("n_tokens")), "sized")
+    key = F.xxhash64("doc_id", "text", F.lit(SEED)).alias("key")
+    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), tokens_of().alias("n_tokens"), key), "sized")
     weights = source_weights(sized, entropy, max_repeat, budget)
     repeat = F.col("target") / F.col("tokens")
     plan = materialize(weights.select(F.col("source").alias("of"), "weight", F.floor(repeat).alias("whole"), ((repeat - F.floor(repeat)) * F.col("tokens")).alias("rest"), F.least(F.lit(BLOCKS), F.ceil(F.col("n_docs") / BLOCK_DOCS)).alias("blocks")), "mix-plan")
     dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    dealt = dealt.withColumn("block", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), "blocks"), F.lit(0)).cast("int"))
+    dealt = dealt.withColumn("block", F.coalesce(F.pmod("key", "blocks"), F.lit(0)).cast("int"))
     dealt = dealt.withColumn("place", F.xxhash64("source", "whole", "block", F.lit(SEED)))
     turn = Window.partitionBy("source").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = dealt.where("rest > 0").groupBy("source", "block", "place", "rest").agg(F.sum("n_tokens").alias("size"))
     blocks = blocks.withColumn("end", F.sum("size").over(turn)).withColumn("begin", F.col("end") - F.col("size"))
     blocks = materialize(blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("begin"), (F.col("end") <= F.col("rest")).alias("inside"), ((F.col("begin") < F.col("rest")) & (F.col("end") > F.col("rest"))).alias("crosses")), "mix-blocks")
     placed = dealt.join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
-    inner = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", "whole", F.lit(SEED + 1)), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy("source", "block").orderBy(F.xxhash64("key", "whole"), "key", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = placed.where("crosses").withColumn("run", F.sum("n_tokens").over(inner)).withColumn("more", ((F.col("begin") + F.col("run") <= F.col("rest")) & (F.col("n_tokens") > 0)).cast("long")).drop("run")
     rest = placed.where("crosses is null or not crosses").withColumn("more", F.coalesce((F.col("inside") & (F.col("n_tokens") > 0)).cast("long"), F.lit(0)))
     both = cut.unionByName(rest)
@@ -118,4 +123,5 @@ def realised(mix: DataFrame) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's copies in the mixture of sources; nulls, repeats and empty tables as in ``mixed``."""
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -358,6 +358,62 @@ def test_mixing(spark, docs, rows, nothing):
     assert mixing.mixed(nothing).count() == 0
 
 
+def test_mixture_by_hand(spark, monkeypatch):
+    """Exponent, weights, whole epochs, the order of blocks and the cut of the last one, all in plain Python."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 16)
+    rng = random.Random(15)
+    made = [(k, prose(rng, rng.randint(0, 30)), rng.choice(["big"] * 8 + ["s0", "s0", "s1", None]), "x") for k in range(1500)]
+    made += made[:40] + [(None, made[k][1], "big", "y") for k in range(60)] + [(None, "same words here", "s1", "y")] * 30
+    frame = spark.createDataFrame(made, "doc_id long, text string, source string, block string")
+    keys = [r.k for r in frame.select(F.xxhash64("doc_id", "text", F.lit(mixing.SEED)).alias("k")).collect()]
+    rows = [(d, s, len(t.split()), k) for (d, t, s, _), k in zip(made, keys)]
+    size = {}
+    for _, s, n, _ in rows:
+        size[s] = size.get(s, 0) + n
+    whole = sum(size.values())
+
+    def weights(a):
+        w = {s: (n / whole) ** a for s, n in size.items()}
+        return {s: x / sum(w.values()) for s, x in w.items()}
+
+    def entropy(a):
+        return -sum(x * math.log(x) for x in weights(a).values()) / math.log(len(size))
+
+    for target, budget in ((0.97, None), (0.9999, 1.4 * whole)):
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            lo, hi = ((lo + hi) / 2, hi) if entropy((lo + hi) / 2) >= target else (lo, (lo + hi) / 2)
+        got = mixing.mixed(frame, entropy=target, max_repeat=100.0, budget=budget).collect()
+        weight = {r.source: r.weight for r in got}
+        assert 0 < lo < 1 and all(weight[s] == pytest.approx(x, rel=1e-6) for s, x in weights(lo).items())
+        places = {(r.source, r.block): r.place for r in got}
+        times = {s: weight[s] * (budget or whole) / n for s, n in size.items()}
+        epochs = spark.createDataFrame([(k, int(times[s])) for _, s, _, k in rows], "key long, whole long")
+        order = {(r.key, r.whole): r.h for r in epochs.withColumn("h", F.xxhash64("key", "whole")).collect()}
+        want, partly = [], 0
+        for s in size:
+            own = [r for r in rows if r[1] == s]
+            n_blocks, full = -(-len(own) // 16), int(times[s])
+            rest, done = (times[s] - full) * size[s], 0
+            blocks = {}
+            for r in own:
+                blocks.setdefault(r[3] % n_blocks, []).append(r)
+            for b in sorted(blocks, key=lambda b: (places[s, b], b)):
+                docs = sorted(blocks[b], key=lambda r: (order[r[3], full], r[3], r[2]))
+                held, begun = 0, done
+                done += sum(r[2] for r in docs)
+                for d, _, n, _ in docs:
+                    held += n
+                    more = n > 0 and (done <= rest or begun < rest and begun + held <= rest)
+                    want.append((d, s, n, full + more, b))
+                partly += begun < rest < done
+            assert rest - 40 <= sum((c - full) * n for _, t, n, c, _ in want if t == s) <= rest
+        assert partly >= 3 and len({c for *_, c, _ in want}) > 1
+        assert sorted(((r.doc_id, r.source, r.n_tokens, r.copies, r.block) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_flat_text():
     from quillgraph.llm.arrays import flat_text, packed, packed_keys, unpacked, unpacked_keys
 
