@@ -335,6 +335,60 @@ def test_url_filter(spark):
     assert url_filter.url_verdicts(pages.limit(0)).count() == 0
 
 
+def test_mined_rules(spark):
+    """Rules and verdicts against all token sets, with ties, tokens that always come together, and unlabelled rows."""
+    from itertools import combinations
+
+    rng = random.Random(12)
+    rows = []
+    for _ in range(160):
+        t = {x for x in "abcde" if rng.random() < 0.45} | ({"y1", "y2", "y3"} if rng.random() < 0.3 else set())
+        says = "block" if {"a", "b"} <= t and rng.random() < 0.9 else "allow" if "y2" in t and rng.random() < 0.8 else rng.choice([None, None, "block", "allow"])
+        rows.append((sorted(t), says))
+    rows += [([f"long{k}" for k in range(40)], "block")] * 12 + [([], "allow"), ([], None)]
+    n, support, confidence = len(rows), 0.05, 0.7
+    holders = {}
+    for i, (t, _) in enumerate(rows):
+        for x in t:
+            holders.setdefault(x, set()).add(i)
+    frequent = {x: tuple(sorted(h)) for x, h in holders.items() if len(h) >= support * n}
+    least = {h: min(x for x, g in frequent.items() if g == h) for h in frequent.values()}
+    baskets = [({least[frequent[x]] for x in t if x in frequent}, says) for t, says in rows]
+    items = sorted(set().union(*(b for b, _ in baskets)))
+    assert "y1" in items and "y2" not in items and "long0" in items and len(items) == 7
+    rate = {v: sum(says == v for _, says in baskets) / n for v in ("block", "allow")}
+    rules = {}
+    for k in range(1, len(items) + 1):
+        for c in combinations(items, k):
+            those = [says for b, says in baskets if set(c) <= b]
+            for v in rate:
+                hits = those.count(v)
+                if hits >= support * n and hits / len(those) >= confidence and hits / len(those) > rate[v]:
+                    rules[c, v] = (hits / len(those), hits / n)
+    kept = {(c, v): x for (c, v), x in rules.items() if not any(((*c[:i], *c[i + 1 :]), v) in rules and rules[(*c[:i], *c[i + 1 :]), v][0] >= x[0] for i in range(len(c)))}
+    assert 3 < len(kept) < len(rules)
+    frame = spark.createDataFrame(rows, "tokens array<string>, label string")
+    named = url_filter.token_items(frame, support)
+    mined = url_filter.mined_rules(frame, named, support, confidence).collect()
+    assert {(tuple(r.tokens), r.label): (pytest.approx(r.confidence), pytest.approx(r.support)) for r in mined} == kept
+    asked = [*(t for t, _ in rows), ["y3"], ["long7", "zz"], ["zz"], ["a", "b", "y2"]]
+    baskets = spark.createDataFrame([(t,) for t in asked], "tokens array<string>")
+    got = {tuple(r.basket): r.found for r in url_filter.matched(baskets, spark.createDataFrame(mined), named).collect()}
+    for t in asked:
+        own = {least[frequent[x]] for x in t if x in frequent}
+        fits = sorted((-x[0], -x[1], len(c), v, c) for (c, v), x in kept.items() if set(c) <= own)
+        assert got.get(tuple(t)) == (fits[0][3] if fits else None)
+    assert got["long7", "zz"] == "block" and ("zz",) not in got
+
+
+def test_url_tokens(spark):
+    url = "http://www.Spam-farm.example.net/a/b-c/d.html?x=1&y=2;z#top"
+    frame = url_filter.parsed(spark.createDataFrame([(1, url), (2, None), (3, "q?only=1")], "page_id long, url string"))
+    got = {r.page_id: r.t for r in frame.select("page_id", url_filter.url_tokens().alias("t")).collect()}
+    want = "label=www label=spam-farm label=example label=net word=www word=spam word=farm word=example word=net domain=example.net part=a part=b-c part=d.html path=a path=b path=c path=d path=html ext=html key=x key=y key=z argument=x=1 argument=y=2 argument=z"
+    assert got == {1: sorted(want.split()), 2: [], 3: ["argument=only=1", "key=only"]}
+
+
 def test_mixing(spark, docs, rows, nothing):
     rng = random.Random(5)
     made = [(k, prose(rng, rng.randint(1, 40)), "big" if k % 10 else f"s{k % 3}") for k in range(2000)]
