@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.arrays import LOWER, run_starts, text_slices
+from quillgraph.llm.columns import rows_of
 from quillgraph.operators.components import connected_components
 from quillgraph.scratch import materialize
 
@@ -39,7 +40,11 @@ def fingerprint(text: bytes, words: int = 3) -> int:
         return 0
     shingles = [b" ".join(found)] if len(found) < words else list(map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)))
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(s, 42) for s in shingles]), np.uint8).reshape(-1, 8)
+    return bits_of(np.frombuffer(b"".join([digest(s, 42) for s in shingles]), np.uint8).reshape(-1, 8))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The bits set in over half of some hashes (rows of eight bytes, big end first)."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), STRIDE):
         counts += np.unpackbits(hashes[at : at + STRIDE], axis=1).sum(0, dtype=np.int64)
@@ -57,6 +62,12 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def segment_counts(fps: np.ndarray) -> np.ndarray:
+    """The bit counts of a fingerprint's 32 segments of two bits; two rows' Manhattan distance is at most their fingerprints' distance."""
+    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return (bits[:, 0::2] + bits[:, 1::2]).astype(np.int8)
+
+
 def _cells(distinct: DataFrame) -> DataFrame:
     """Grid rows (cell, fp, probe): each half's own cell, and the cells one step up for probes."""
     high, low = F.shiftrightunsigned("fp", 32), F.expr("fp & 4294967295L")
@@ -158,10 +169,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3) -> DataFram
 
 def one_of_each(docs: DataFrame, words: int = 3, reach: int = 3) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group; rows without doc_id stay if no row of the group has one."""
-    kept = near_duplicates(docs, words, reach).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return rows_of(docs, near_duplicates(docs, words, reach).where("doc_id <=> component_id").select("doc_id"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and component; nulls, repeats and empty tables as in ``near_duplicates``."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -2,8 +2,12 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from quillgraph.llm import near_copies
 from quillgraph.llm.queries import queries
+from quillgraph.llm.simhash import bits_of, segment_counts
 
 DATA = "/root/testdata/sf0.001"
 
@@ -63,4 +67,26 @@ def test_near_copies(spark):
             if x not in least:
                 least[x] = least[d] if d in least else d
                 todo += near[x]
-    assert set(least.values()) <= kept and all(near[d] for d in sets if d not in kept)
+    assert set(least.values()) == kept
+
+
+def test_near_copies_in_blocks(spark, monkeypatch):
+    test_near_copies(spark)
+    monkeypatch.setattr(near_copies, "BLOCK_NODES", 2)
+    monkeypatch.setattr(near_copies, "CELLS", 300)
+    test_near_copies(spark)
+
+
+def test_similar_sets():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 90, np.uint64)
+    sets = [np.unique(np.where(rng.random(90) < rng.choice([0, 0.02, 0.1, 0.3]), rng.integers(0, 1 << 60, 90, np.uint64), base)[: rng.integers(60, 91)]) for _ in range(80)]
+    sets += [np.unique(rng.integers(0, 9, 5, np.uint64)) for _ in range(20)] + [np.empty(0, np.uint64)]
+    fps = np.array([bits_of(s.astype(">u8").view(np.uint8).reshape(-1, 8)) if len(s) else 0 for s in sets], np.uint64)
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i]) and len(sets[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert {p for p in zip(*near_copies.similar(sets, fps, 0.8).tolist()) if len(sets[p[0]])} == want
+    few = sets[75:82]
+    want = {(i - 75, j - 75) for i, j in want if 75 <= i and j < 82}
+    assert set(zip(*near_copies.similar(few, fps[75:82], 0.8).tolist())) == want
+    counts = segment_counts(fps).astype(int)
+    assert all(np.abs(counts[i] - counts[j]).sum() <= int(fps[i] ^ fps[j]).bit_count() for i in range(30) for j in range(30))
