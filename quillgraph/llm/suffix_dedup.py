@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.arrays import byte_values, flat_text, mix64, packed, packed_keys, run_starts, unpacked, unpacked_keys
+from quillgraph.llm.columns import unused
 from quillgraph.scratch import free_shuffles, materialize, shuffle_partitions
 
 LENGTH = 50
@@ -65,10 +66,25 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix64(h16[:n] * power(4) + h4[16 : 16 + n])
 
 
+def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows of about PIECE bytes; a longer row is cut by itself, so that its runs are the same in every scan."""
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        begin, end = int(offsets[row]), int(offsets[row + 1])
+        if end - begin > PIECE:
+            yield from ((at, min(at + PIECE + LENGTH - 1, end)) for at in range(begin, end - LENGTH + 1, PIECE))
+            row += 1
+        else:
+            row = max(row + 1, int(np.searchsorted(offsets, begin + PIECE, "right")) - 1)
+            end = int(offsets[row])
+            if end - begin >= LENGTH:
+                yield begin, end
+
+
 def window_runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """first window, number of windows, key, anchor hash, row: runs of windows with one anchor and side; windows stay within a row."""
-    for begin in range(0, max(0, len(data) - LENGTH + 1), PIECE):
-        piece = data[begin : begin + PIECE + LENGTH - 1]
+    for begin, end in _pieces(offsets):
+        piece = data[begin:end]
         n = len(piece) - LENGTH + 1
         hashes = _gram_hashes(piece)
         key = (hashes >> np.uint64(24) << np.uint64(24)) | np.arange(len(hashes), dtype=np.uint64)
@@ -258,8 +274,7 @@ def _in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _passing(batch: pa.RecordBatch, table: np.ndarray) -> Iterator[tuple]:
-    """doc_id, position, anchor and string of the runs whose key may be shared."""
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    """Row of the batch, position, anchor and string of the runs whose key may be shared."""
     data, offsets = flat_text(batch.column(1))
     raw = data.tobytes()
     for starts, sizes, keys, anchors, rows in window_runs(data, offsets):
@@ -270,7 +285,7 @@ def _passing(batch: pa.RecordBatch, table: np.ndarray) -> Iterator[tuple]:
             fresh = np.flatnonzero(np.concatenate(([True], (starts[1:] != (starts + sizes)[:-1]) | (anchors[1:] != anchors[:-1]))))
             starts, sizes, anchors, rows = starts[fresh], np.add.reduceat(sizes, fresh), anchors[fresh], rows[fresh]
             strings = [raw[a:b] for a, b in zip(starts.tolist(), (starts + sizes + LENGTH - 1).tolist(), strict=True)]
-            yield ids[rows], starts - offsets[rows], anchors, strings
+            yield rows, starts - offsets[rows], anchors, strings
 
 
 def _string_keys(strings: list[bytes]) -> np.ndarray:
@@ -299,8 +314,9 @@ def _combined(table_ref, parts: int):
                 yield pa.RecordBatch.from_pylist([row], _STRINGS)
 
         for batch in batches:
-            for ids, _, anchors, strings in _passing(batch, table):
-                for d, a, s in zip(ids.tolist(), anchors.tolist(), strings, strict=True):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for rows, _, anchors, strings in _passing(batch, table):
+                for d, a, s in zip(ids[rows].tolist(), anchors.tolist(), strings, strict=True):
                     x = held.get(s)
                     if x is None:
                         held[s] = [d, d, a]
@@ -322,9 +338,9 @@ _STRINGS = pa.schema([("part", pa.int32()), ("anchors", pa.binary()), ("sizes",
 def _places(table_ref):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, at, _, strings in _passing(batch, table_ref.value):
-                keys = _string_keys(strings)
-                yield pa.record_batch([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(ids, pa.int64()), pa.array(at, pa.int64())], names=["k1", "k2", "doc_id", "at"])
+            for rows, at, _, strings in _passing(batch, table_ref.value):
+                keys, rows = _string_keys(strings), pa.array(rows)
+                yield pa.record_batch([pa.array(keys[:, 0]), pa.array(keys[:, 1]), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(at, pa.int64())], names=["k1", "k2", "doc_id", "mark", "at"])
 
     return run
 
@@ -396,9 +412,9 @@ def _owner_rows(buffer: np.ndarray, offsets: np.ndarray, low: np.ndarray, high:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, begin, end): stretches of 50-byte strings of a document that also start in one with a smaller id; they may overlap."""
+    """(doc_id, mark, begin, end): stretches of 50-byte strings of a document that also start in one with a smaller id; they may overlap. mark is a hash of the text, for texts that share a doc_id."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).where("doc_id is not null")
     parts = shuffle_partitions(spark)
     table = spark.sparkContext.broadcast(_shared_table(texts, parts))
     free_shuffles(spark)
@@ -406,10 +422,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = blocks.groupBy("part").applyInArrow(_part_owners, "k1 long, k2 long, offset long, windows long, owner long")
     found = materialize(found, "suffix-owners")
     free_shuffles(spark)
-    places = texts.mapInArrow(_places(table), "k1 long, k2 long, doc_id long, at long")
+    places = texts.mapInArrow(_places(table), "k1 long, k2 long, doc_id long, mark long, at long")
     hits = places.join(found, ["k1", "k2"]).where("owner < doc_id")
     begin = F.col("at") + F.col("offset")
-    return materialize(hits.select("doc_id", begin.alias("begin"), (begin + F.col("windows") + LENGTH - 1).alias("end")), "suffix-spans")
+    return materialize(hits.select("doc_id", "mark", begin.alias("begin"), (begin + F.col("windows") + LENGTH - 1).alias("end")), "suffix-spans")
 
 
 def merged(spans: list, size: int) -> list[tuple[int, int]]:
@@ -425,15 +441,16 @@ def merged(spans: list, size: int) -> list[tuple[int, int]]:
 
 
 def _cut(docs: DataFrame, finish, schema: str | None = None) -> DataFrame:
-    """``docs`` with their spans through ``finish(batch, removed runs of each row, rest of each row)``."""
-    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("_span_id")).agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
+    """``docs`` with their spans through ``finish(batch without spans, sizes, removed runs of each row, rest of each row)``."""
+    held, of, mark = (unused(docs, name) for name in ("spans", "span_id", "span_mark"))
+    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias(of), F.col("mark").alias(mark)).agg(F.collect_list(F.struct("begin", "end")).alias(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat_text(batch.column("text"))
             raw = data.tobytes()
             cuts, rests = [], []
-            for i, spans in enumerate(batch.column("_spans").to_pylist()):
+            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 text = raw[offsets[i] : offsets[i + 1]]
                 runs = merged(spans, len(text))
                 kept, at = [], 0
@@ -443,10 +460,9 @@ def _cut(docs: DataFrame, finish, schema: str | None = None) -> DataFrame:
                 kept.append(text[at:])
                 cuts.append(runs)
                 rests.append(kept)
-            yield from finish(batch, np.diff(offsets), cuts, rests)
+            yield from finish(batch.select(range(batch.num_columns - 1)), np.diff(offsets), cuts, rests)
 
-    own = docs.withColumn("_own_id", F.col("doc_id").cast("long"))
-    joined = own.join(spans, own["_own_id"] == spans["_span_id"], "left").drop("_span_id", "_own_id")
+    joined = docs.join(spans, (docs.doc_id.cast("long") == spans[of]) & (F.xxhash64(docs.text) == spans[mark]), "left").drop(of, mark)
     return joined.mapInArrow(run, schema or docs.schema)
 
 
@@ -475,7 +491,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut out of text (and n_chars, if there, brought up to date).
 
     A character that loses some of its bytes goes whole. A text that loses everything goes
-    with its row; one that was null or empty before stays.
+    with its row; one that was null or empty before stays. Rows that share a doc_id
+    are judged each by itself; a row with a null doc_id loses nothing. An
+    empty table gives an empty one; further columns, whatever their names, pass as they are.
     """
 
     def finish(batch: pa.RecordBatch, sizes: np.ndarray, cuts: list, rests: list) -> Iterator[pa.RecordBatch]:
@@ -489,14 +507,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 out.append(new)
             elif field.name == "n_chars":
                 out.append(pc.if_else(changed, pc.utf8_length(new).cast(field.type), batch.column("n_chars")))
-            elif field.name != "_spans":
+            else:
                 out.append(batch.column(field.name))
-        names = [f.name for f in batch.schema if f.name != "_spans"]
         keep = pa.array([not runs or bool(t.strip()) for runs, t in zip(cuts, texts, strict=True)])
-        yield pa.record_batch(out, names=names).filter(keep)
+        yield pa.record_batch(out, names=batch.schema.names).filter(keep)
 
     return _cut(docs, finish)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document keeps; nulls, repeats and empty tables as in ``suffix_dedup``."""
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -47,6 +47,10 @@ def raw(text):
     return (text or "").encode()
 
 
+def base_of(rows):
+    return max((t for _, t, *_ in rows if t and len(t) < 500), key=len)
+
+
 def test_suffix_dedup(docs, rows, nothing):
     got = sorted((r.asDict() for r in suffix_dedup.suffix_dedup(docs).collect()), key=repr)
     starts = {}
@@ -69,6 +73,8 @@ def test_suffix_dedup(docs, rows, nothing):
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
     kept = suffix_dedup.without_repeats(docs)
     assert kept.columns == docs.columns
+    two = docs.sparkSession.createDataFrame([(1, "p" * 20 + base_of(rows)), (2, base_of(rows)), (2, "short"), (2, "x" + base_of(rows)[:80]), (None, base_of(rows))], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(two).collect()) == sorted([(1, 20 + len(raw(base_of(rows))), 0), (2, len(raw(base_of(rows))), len(raw(base_of(rows)))), (2, 5, 0), (2, 1 + len(raw(base_of(rows)[:80])), len(raw(base_of(rows)[:80]))), (0, len(raw(base_of(rows))), 0)])
     assert {r.doc_id for r in kept.collect()} >= {None, 0, 1, 2}
 
 
