@@ -1,14 +1,14 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is two aggregations (combined before the shuffle) and two joins, so a hub
-with many neighbours never meets in one task as a collected list. Every round is
+with many neighbours never meets in one task as a collected list. Every round is one job,
 written to the shared scratch folder: plans stay short and a lost executor costs one
-round at most.
+round at most. What tells whether a round changed anything is observed as it is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillgraph.scratch import discard, materialize
@@ -36,13 +36,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     current = materialize(edges.where(f"{src} <> {dst}").select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), "cc")
     seen = None
     for _ in range(max_rounds):
-        following = materialize(_small_star(_large_star(current)), "cc")
-        mark = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        mark = Observation()
+        observed = _small_star(_large_star(current)).observe(mark, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        following = materialize(observed, "cc")
         discard(current)
         current = following
-        if mark == seen:
+        if mark.get == seen:
             break
-        seen = mark
+        seen = mark.get
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     star = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
