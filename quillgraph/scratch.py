@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder. A temporary folder is used only where
-the setting is absent (tests in local mode).
+``spark.checkpoint.dir`` names that folder. Where the setting is absent, a temporary folder
+is used in local mode (tests); on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def scratch_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _local_dir is None:
         _local_dir = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
     return _local_dir
