@@ -357,5 +357,6 @@ def ppm_scores(docs: DataFrame, train: str | None = None) -> DataFrame:
 
 
 def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log10 probability, learnt from those that aren't held out; nulls, repeats and empty tables as in ``ppm_scores``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return ppm_scores(docs, "crc32(cast(doc_id as string)) % 5 <> 1")

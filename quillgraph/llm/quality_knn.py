@@ -33,6 +33,8 @@ NEIGHBOURS = 15
 BLOCK = 1024
 #: Weight of a shape mark; the byte pairs together have weight 1.
 SHAPE_WEIGHT = 0.25
+#: Similarities no further apart are equal.
+TIE = 1e-6
 #: Votes that the classes' shares add.
 PRIOR_VOTES = 0.5
 
@@ -107,10 +109,15 @@ def vote(space: Space, rows: np.ndarray) -> np.ndarray:
     cosine = _unit(rows @ space.project) @ space.vectors.T
     k = min(NEIGHBOURS, len(space.vectors))
     near = np.argpartition(cosine, -k, axis=1)[:, -k:]
-    similar = np.maximum(np.take_along_axis(cosine, near, 1), 0)
-    weight = similar**8
+    similar = np.take_along_axis(cosine, near, 1)
+    weight = np.maximum(similar, 0) ** 8
     for_0 = (weight * space.votes[near, 0]).sum(1)
     for_1 = (weight * space.votes[near, 1]).sum(1)
+    last = similar.min(1)
+    for i in np.flatnonzero((cosine >= last[:, None] - TIE).sum(1) > k):  # the last places are shared by all who tie for them
+        above, level = cosine[i] > last[i] + TIE, np.abs(cosine[i] - last[i]) <= TIE
+        share = (above + level * (k - above.sum()) / level.sum()) * np.maximum(cosine[i], 0) ** 8
+        for_0[i], for_1[i] = share @ space.votes
     unit = PRIOR_VOTES * space.votes.max(0).min()
     return (for_1 + unit * space.prior) / (for_0 + for_1 + unit)
 
@@ -137,9 +144,9 @@ def quality_space(docs: DataFrame, labels: DataFrame, label: str = "quality", tr
 def quality_scores(docs: DataFrame, space: Space) -> DataFrame:
     """(doc_id, score) for each row of ``docs`` (doc_id, text); score is the share of votes for label 1.
 
-    Null and empty texts have no direction and get the labels' share. Ties among equal
-    similarities fall to any of them. Repeated rows are kept; further columns are not
-    read; an empty table gives an empty one.
+    Null and empty texts have no direction and get the labels' share. Neighbours that tie
+    for the last places share them. Repeated rows are kept, a null doc_id stays; further
+    columns are not read; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
@@ -153,7 +160,7 @@ def quality_scores(docs: DataFrame, space: Space) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, space: Space, cutoff: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is at least ``cutoff``."""
+    """The rows of ``docs``, all columns, whatever their names, whose score is at least ``cutoff``; nulls, ties, repeats and empty tables as in ``quality_scores``."""
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +177,7 @@ HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
 
 
 def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's quality, learnt from the labelled ones that aren't held out; nulls, repeats and empty tables as in ``quality_scores``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     space = quality_space(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train=f"not ({HELD_OUT})")
     scores = quality_scores(docs, space)

@@ -113,5 +113,6 @@ def quality_rules(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of each document; nulls, ties, repeats and empty tables as in ``quality_rules``."""
     ruled = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *RATIOS)

@@ -4,8 +4,10 @@ A token scores the difference of its log-odds in toxic and other documents, smoo
 an informative Dirichlet prior (its frequency in the whole sample). Tokens are words and
 their beginnings: a word scores as the longest of its beginnings, itself first, whose
 likelihood ratio isn't what chance gives the best of all tokens tested. All maximal segments of a text are found in
-one pass (linear time); their scores follow an extreme-value law in clean text, fitted on
-the sample's clean documents, which turns the best segments into a probability.
+one pass (linear time); their scores follow an extreme-value law in clean text, which
+turns the best segments into a probability. Token counts are a Spark aggregation over the
+sample; a third of its clean documents isn't counted, and the law is fitted on these. The
+driver gets the tokens that score and the law's two moments, never a text.
 """
 
 from __future__ import annotations
@@ -16,15 +18,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.arrays import LOWER, text_slices
 from quillgraph.llm.labelled import labelled_sample
+from quillgraph.scratch import discard, materialize
 
-#: Documents of each class that the log-odds are learnt from, at most, and tokens kept.
+#: Documents of each class that is learnt from, at most.
 PER_CLASS = 3000
-MAX_TOKENS = 50_000
+#: One clean document of so many tells the extreme-value law.
+LAW_SHARE = 3
+#: Words whose scores a worker remembers.
+MEMO = 400_000
 #: Mass of the Dirichlet prior, in documents.
 PRIOR_DOCS = 20.0
 #: Characters of the beginnings that stand for words too rare to score themselves.
@@ -54,7 +61,7 @@ def units(word: bytes) -> list[bytes]:
 
 
 class Odds(NamedTuple):
-    """What is broadcast: at most MAX_TOKENS token scores, the extreme-value law and the labels' share."""
+    """What is broadcast: the scores of the tokens that pass the test in the bounded sample, the extreme-value law and the labels' share."""
 
     scores: dict[bytes, float]
     location: float
@@ -85,11 +92,12 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, after - before) for a, b, before, after, _ in stack]
 
 
-def segments(odds: Odds, words: list[bytes]) -> list[tuple[int, int, float]]:
-    """Maximal segments of a text; stretches of background are one step each, and a token that repeats the one before is background."""
+def segments(odds: Odds, words: list[bytes], known: dict[bytes, float | None]) -> list[tuple[int, int, float]]:
+    """Maximal segments of a text; stretches of background are one step each, and a token that repeats the one before is background. ``known`` remembers words."""
     get = odds.scores.get
-    known: dict[bytes, float | None] = {}
-    for w in set(words):
+    if len(known) > MEMO:
+        known.clear()
+    for w in set(words) - known.keys():
         known[w] = next((s for s in map(get, units(w)) if s is not None), None)
     marked = [(i, s) for i, s in enumerate(map(known.get, words)) if s is not None and not (i and words[i] == words[i - 1])]
     if not any(s > 0 for _, s in marked):
@@ -122,45 +130,6 @@ def probability(odds: Odds, p: float) -> float:
     return float(prior / (prior + (1 - prior) * against))
 
 
-def learn(texts: list[bytes], labels: np.ndarray, sizes: dict[int, int]) -> Odds:
-    whole = sum(sizes.values())
-    prior = sizes.get(1, 0) / whole if whole else 0.0
-    n = [int((labels == k).sum()) for k in (0, 1)]
-    if not n[0] or not n[1]:
-        return Odds({}, 1.0, 1.0, prior)
-    counts: dict[bytes, list[int]] = {}
-    kept: list[list[bytes]] = []
-    distinct: set[bytes] = set()
-    for text, k in zip(texts, labels.tolist(), strict=True):
-        words = tokens(text)
-        kept.append(words)
-        mark = frozenset(words)
-        shape = hash_of(mark)
-        if shape in distinct:  # copies of one text are one witness
-            n[k] -= 1
-            continue
-        distinct.add(shape)
-        for u in {u for w in mark if w for u in units(w)}:
-            counts.setdefault(u, [0, 0])[k] += 1
-    n = [max(x, 1) for x in n]
-    tested = {u: c for u, c in counts.items() if sum(c) >= MIN_DOCS}
-    least = np.sqrt(2 * np.log(max(len(tested), 2))) + MARGIN
-    scores: dict[bytes, float] = {}
-    for u, (c0, c1) in tested.items():
-        if root_ratio(c0, c1, n) < least:
-            continue
-        a = PRIOR_DOCS * (c0 + c1 + 0.5) / (n[0] + n[1] + 1)
-        y1, y0 = c1 + a, c0 + a
-        scores[u] = float(np.log(y1 / (n[1] + PRIOR_DOCS - y1)) - np.log(y0 / (n[0] + PRIOR_DOCS - y0)))
-    scores = dict(sorted(scores.items(), key=lambda x: (-abs(x[1]), x[0]))[:MAX_TOKENS])
-    odds = Odds(scores, 1.0, 1.0, prior)
-    best = np.array([max((s for _, _, s in segments(odds, w)), default=0.0) - np.log(max(len(w), 1) / 100) for w, k in zip(kept, labels, strict=True) if k == 0])
-    best = best[best > -np.inf]
-    # method of moments of the Gumbel law of clean maxima, over texts of 100 tokens
-    scale = max(float(np.std(best)) * np.sqrt(6) / np.pi, 0.25)
-    return Odds(scores, float(np.mean(best)) - 0.5772 * scale, scale, prior)
-
-
 def root_ratio(c0: int, c1: int, n: list[int]) -> float:
     """Root of twice the log-likelihood ratio of a token's document counts in the two classes against one common rate."""
     whole, size = c0 + c1, n[0] + n[1]
@@ -168,23 +137,82 @@ def root_ratio(c0: int, c1: int, n: list[int]) -> float:
     return math.sqrt(max(2 * sum(o * math.log(o / e) for o, e in cells if o > 0 and e > 0), 0.0))
 
 
-def hash_of(words: frozenset) -> int:
-    import xxhash
+def token_scores(counts: dict[bytes, tuple[int, int]], n: list[int], n_tested: int) -> dict[bytes, float]:
+    """Log-odds of the tokens whose likelihood ratio stands out; ``counts`` are documents of class 0 and 1."""
+    least = math.sqrt(2 * math.log(max(n_tested, 2))) + MARGIN
+    scores = {}
+    for u, (c0, c1) in sorted(counts.items()):
+        if root_ratio(c0, c1, n) >= least:
+            a = PRIOR_DOCS * (c0 + c1 + 0.5) / (n[0] + n[1] + 1)
+            y1, y0 = c1 + a, c0 + a
+            scores[u] = math.log(y1 / (n[1] + PRIOR_DOCS - y1)) - math.log(y0 / (n[0] + PRIOR_DOCS - y0))
+    return scores
 
-    return xxhash.xxh3_64_intdigest(b" ".join(sorted(words)))
 
+def _units(sample: DataFrame) -> DataFrame:
+    """(shape, label, unit): the distinct tokens of each document; shape is a hash of its distinct words."""
 
-def toxic_odds(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: str | None = None, per_class: int = PER_CLASS) -> Odds:
-    """Learns from at most ``per_class`` documents of each label whose doc_id meets the SQL condition ``train``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), text_slices(batch.column(1)), strict=True):
+                words = {w for w in tokens(text) if w}
+                shape = xxhash.xxh3_64_intdigest(b" ".join(sorted(words))) >> 1
+                found = list({u for w in words for u in units(w)}) or [b""]
+                yield pa.record_batch([pa.array([shape] * len(found), pa.int64()), pa.array([label] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["shape", "label", "unit"])
+
+    return sample.select("label", "text").mapInArrow(run, "shape long, label int, unit binary")
+
+
+def _clean_maxima(clean: DataFrame, odds: Odds) -> DataFrame:
+    """(best): the best segment's score of each text, less what its length gives."""
+    shared = clean.sparkSession.sparkContext.broadcast(odds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A long text is a witness by its distinct tokens, at least one of each."""
+        known: dict[bytes, float | None] = {}
         for batch in batches:
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([" ".join(x.decode("utf-8", "ignore") for x in tokens(t)) for t in text_slices(batch.column(2))], pa.string())], names=["doc_id", "label", "text"])
+            found = [tokens(t) for t in text_slices(batch.column(0))]
+            best = [max((s for _, _, s in segments(shared.value, w, known)), default=0.0) - math.log(max(len(w), 1) / 100) for w in found]
+            yield pa.record_batch([pa.array(best, pa.float64())], names=["best"])
+
+    return clean.select("text").mapInArrow(run, "best double")
+
 
+def toxic_odds(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: str | None = None, per_class: int = PER_CLASS) -> Odds:
+    """Learns from at most ``per_class`` documents of each label whose doc_id meets the SQL condition ``train``.
+
+    Copies of one text are one witness, of the smaller label. Without documents of both
+    labels no token scores.
+    """
     sample, sizes = labelled_sample(docs, labels, label, train, per_class, "text")
-    got = sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, text string").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return learn([t.encode() for t in got.column("text").to_pylist()], got.column("label").to_numpy(), sizes)
+    sample = materialize(sample.select("doc_id", "label", "text"), "toxic-sample")
+    prior = sizes.get(1, 0) / max(sum(sizes.values()), 1)
+    law = (F.col("label") == 0) & (F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(LAW_SHARE)) == 0)
+    units_of = materialize(_units(sample.where(~law)), "toxic-units")
+    firsts = units_of.groupBy("shape").agg(F.min("label").alias("first"))
+    n = [0, 0]
+    for r in firsts.groupBy("first").count().collect():
+        n[r["first"]] = r["count"]
+    odds = Odds({}, 1.0, 1.0, prior)
+    if all(n):
+        seen = units_of.join(firsts, "shape").where("label = first and unit <> X''").select("shape", "label", "unit").distinct()
+        counts = seen.groupBy("unit").agg(F.count_if(F.col("label") == 0).alias("c0"), F.count_if(F.col("label") == 1).alias("c1"))
+        counts = materialize(counts.where(F.col("c0") + F.col("c1") >= MIN_DOCS), "toxic-counts")
+        n_tested = counts.count()
+        of = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+        c0, c1, size = F.col("c0"), F.col("c1"), n[0] + n[1]
+        ratio = of(c0, (c0 + c1) * (n[0] / size)) + of(c1, (c0 + c1) * (n[1] / size)) + of(n[0] - c0, (size - c0 - c1) * (n[0] / size)) + of(n[1] - c1, (size - c0 - c1) * (n[1] / size))
+        near = (math.sqrt(2 * math.log(max(n_tested, 2))) + MARGIN) ** 2 / 2
+        passing = counts.where(ratio >= near * (1 - 1e-9)).toArrow()  # those that score; a token in chance's reach stays
+        got = zip(passing.column("unit").to_pylist(), zip(passing.column("c0").to_pylist(), passing.column("c1").to_pylist(), strict=True), strict=True)
+        odds = odds._replace(scores=token_scores(dict(got), n, n_tested))
+        discard(counts)
+        # method of moments of the Gumbel law of clean maxima, over texts of 100 tokens
+        mean, deviation = _clean_maxima(sample.where(law), odds).agg(F.avg("best"), F.stddev_pop("best")).first()
+        if mean is not None:
+            scale = max(deviation * math.sqrt(6) / math.pi, 0.25)
+            odds = odds._replace(location=mean - 0.5772 * scale, scale=scale)
+    discard(sample, units_of)
+    return odds
 
 
 def toxic_passages(docs: DataFrame, odds: Odds) -> DataFrame:
@@ -197,12 +225,12 @@ def toxic_passages(docs: DataFrame, odds: Odds) -> DataFrame:
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds = shared.value
+        odds, known = shared.value, {}
         for batch in batches:
             scores, passages = [], []
             for text in text_slices(batch.column(1)):
                 words = tokens(text)
-                found = segments(odds, words)
+                found = segments(odds, words, known)
                 best = max((s for _, _, s in found), default=0.0)
                 scores.append(probability(odds, tail(odds, best, len(words))))
                 passages.append([{"begin": a, "end": b, "score": s} for a, b, s in found if tail(odds, s, len(words)) <= SIGNIFICANT])
@@ -215,6 +243,7 @@ HELD_OUT = "crc32(cast(doc_id as string)) % 4 = 2"
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity, learnt from the labelled ones that aren't held out; nulls, repeats and empty tables as in ``toxic_passages``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odds = toxic_odds(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train=f"not ({HELD_OUT})")
     found = toxic_passages(docs, odds)

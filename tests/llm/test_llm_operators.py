@@ -209,6 +209,31 @@ def test_quality_votes(spark, nothing):
     assert quality_knn.quality_scores(nothing, space).count() == 0
 
 
+def test_votes_by_hand():
+    """The score against a plain count of neighbours, with repeated vectors that tie for the last places."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(30, 6))
+    vectors = np.concatenate((vectors, vectors[:12], vectors[:5])).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    votes = rng.random((len(vectors), 2)).astype(np.float32)
+    space = quality_knn.Space(np.eye(quality_knn.TERMS, 6, dtype=np.float32), vectors, votes, 0.4)
+    rows = np.zeros((40, quality_knn.TERMS), np.float32)
+    rows[:, :6] = rng.normal(size=(40, 6))
+    rows[39] = 0
+    shared = 0
+    for row, score in zip(rows, quality_knn.vote(space, rows)):
+        size = np.linalg.norm(row)
+        cosine = sorted(((float(row[:6] @ v) / size if size else 0.0, *map(float, w)) for v, w in zip(vectors, votes)), reverse=True)
+        last, k = cosine[14][0], 15
+        above, level = [x for x in cosine if x[0] > last + 1e-6], [x for x in cosine if abs(x[0] - last) <= 1e-6]
+        shared += len(level) > k - len(above)
+        take = lambda n, those: sum(max(x[0], 0) ** 8 * x[n] for x in those)
+        v0, v1 = (take(n, above) + take(n, level) * (k - len(above)) / len(level) for n in (1, 2))
+        unit = quality_knn.PRIOR_VOTES * float(votes.max(0).min())
+        assert score == pytest.approx((v1 + unit * 0.4) / (v0 + v1 + unit), abs=1e-4)
+    assert shared > 3
+
+
 def test_segments():
     rng = random.Random(2)
     for _ in range(200):
@@ -232,6 +257,23 @@ def test_toxicity(spark, nothing):
     assert all(got[k].score >= 0.3 and [(p.begin, p.end) for p in got[k].passages] == [(40, 43)] for k, _ in toxic)
     assert sum(got[k].score >= 0.3 for k, _ in clean) <= 2
     assert got[5000].score == got[5001].score < 0.3
+    witness = {}
+    law = {r.doc_id for r in docs.where("pmod(xxhash64(doc_id, 8), 3) = 0").collect()}
+    for k, t in [*clean, *toxic]:
+        if k % 2 == 0 and (k >= 1000 or k not in law):
+            words = frozenset(w for w in toxicity.tokens(t.encode()) if w)
+            witness[words] = min(witness.get(words, 1), int(k >= 1000))
+    n = [sum(v == c for v in witness.values()) for c in (0, 1)]
+    counts = {}
+    for words, c in witness.items():
+        for u in {u for w in words for u in toxicity.units(w)}:
+            counts.setdefault(u, [0, 0])[c] += 1
+    tested = {u: c for u, c in counts.items() if sum(c) >= toxicity.MIN_DOCS}
+    assert odds.scores == pytest.approx(toxicity.token_scores(tested, n, len(tested))) and len(odds.scores) >= 3
+    maxima = [max((s for *_, s in toxicity.segments(odds, toxicity.tokens(t.encode()), {})), default=0) - math.log(len(t.split()) / 100) for k, t in clean if k in law and k % 2 == 0]
+    assert odds.scale == pytest.approx(max(float(np.std(maxima)) * 6**0.5 / math.pi, 0.25)) and odds.location == pytest.approx(float(np.mean(maxima)) - 0.5772 * odds.scale)
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(docs.where("doc_id = 1000").selectExpr("cast(null as long) doc_id", "text")).selectExpr("*", "1 as score", "'x' as label", "2 as unit")
+    assert {(r.doc_id, r.score) for r in toxicity.toxic_passages(twice, toxicity.toxic_odds(twice, labels, train="doc_id % 2 = 0")).collect() if r.doc_id is not None} == {(k, r.score) for k, r in got.items()}
     blind = toxicity.toxic_odds(docs, labels.limit(0))
     assert all(r.score < 0.3 for r in toxicity.toxic_passages(docs, blind).collect())
     assert toxicity.toxic_passages(nothing, odds).count() == 0
