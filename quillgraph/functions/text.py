@@ -13,8 +13,8 @@ INSTALL_DIRS = "node_modules|site-packages|dist-packages"
 
 
 def license_tokens(text: Column) -> Column:
-    """Lower-case words without copyright lines."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(text, r"(?im)^.*copyright.*$", "")), F.lit(r"[a-z0-9]+"), F.lit(0))
+    """Lower-case words without the lines that begin with "copyright"."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(text, r"(?im)^[ \t]*copyright\b.*$", " ")), F.lit(r"[a-z0-9]+"), F.lit(0))
 
 
 def bigrams(tokens: Column) -> Column:

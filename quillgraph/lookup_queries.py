@@ -21,11 +21,11 @@ _WORD = "split_part(p_name, ' ', 2)"
 
 
 @query(f"""WITH p AS (SELECT DISTINCT {_WORD} AS word, '/opt/' || CASE WHEN p_partkey % 2 = 0 THEN {_WORD} ELSE 'lib' || {_WORD} || '-1.' || p_size || '.so.2' END AS path FROM part),
-  i AS (SELECT {_WORD} AS word, min(p_partkey) AS component_id FROM part WHERE p_partkey % 9 = 0 GROUP BY 1) SELECT path, component_id FROM p JOIN i USING (word)""")
+  i AS (SELECT {_WORD} AS word, min(p_partkey) AS component_id FROM part GROUP BY 1) SELECT path, component_id FROM p JOIN i USING (word)""")
 def attributed_paths(spark: SparkSession, d: str) -> DataFrame:
     part = D.table(spark, d, "part").withColumn("word", F.split_part("p_name", F.lit(" "), F.lit(2)))
     path = F.when(F.col("p_partkey") % 2 == 0, _text("/opt/", F.col("word"))).otherwise(_text("/opt/lib", F.col("word"), "-1.", F.col("p_size"), ".so.2"))
-    known = part.where("p_partkey % 9 = 0").select(F.col("p_partkey").alias("id"), F.initcap("word").alias("name"))
+    known = part.select(F.col("p_partkey").alias("id"), F.initcap("word").alias("name"))
     return T.attributed(part.select(path.alias("path")), known)
 
 
@@ -53,10 +53,10 @@ def lock_ranges(spark: SparkSession, d: str) -> DataFrame:
     return T.verified_locks(declared, part.select(name, _text(F.col("p_size"), ".", k % 10, ".0").alias("version")))
 
 
-@query(f"WITH {COMPONENTS}, m AS (SELECT name, version, 'home-' || min(id) AS homepage FROM components WHERE id % 3 = 0 GROUP BY 1, 2) SELECT id, homepage, scope FROM components LEFT JOIN m USING (name, version)")
+@query(f"WITH {COMPONENTS}, m AS (SELECT name, version, 'home-' || min(id) AS homepage FROM components WHERE size >= 20 GROUP BY 1, 2) SELECT id, homepage, scope FROM components LEFT JOIN m USING (name, version)")
 def enrichment(spark: SparkSession, d: str) -> DataFrame:
     c = D.components(spark, d)
-    found = c.where("id % 3 = 0").groupBy("name", "version").agg(F.create_map(F.lit("homepage"), _text("home-", F.min("id")), F.lit("scope"), F.lit("never")).alias("attrs"))
+    found = c.where("cast(attrs['size'] as int) >= 20").groupBy("name", "version").agg(F.create_map(F.lit("homepage"), _text("home-", F.min("id")), F.lit("scope"), F.lit("never")).alias("attrs"))
     return T.enriched(c, found).select("id", F.try_element_at("attrs", F.lit("homepage")).alias("homepage"), F.col("attrs")["scope"].alias("scope"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,8 +118,9 @@ def evidence_detail(components: DataFrame, evidence: DataFrame, ref: int) -> Dat
 
 
 def fixture_only(evidence: DataFrame) -> DataFrame:
-    """Components whose every piece of evidence lies under a tests folder."""
-    return evidence.groupBy("component_id").agg(F.bool_and(F.col("path").startswith("tests/")).alias("all_tests"), F.count("*").alias("n")).where("all_tests").select("component_id", "n")
+    """(component_id, n): components whose every piece of evidence has the modifier path-role-fixture; ``evidence`` has component_id, modifiers (an array)."""
+    marked = F.coalesce(F.array_contains("modifiers", "path-role-fixture"), F.lit(False))
+    return evidence.groupBy("component_id").agg(F.bool_and(marked).alias("whole"), F.count("*").alias("n")).where("whole").select("component_id", "n")
 
 
 def pinned(claims: DataFrame) -> DataFrame:
@@ -131,12 +135,34 @@ def pinned(claims: DataFrame) -> DataFrame:
     return claims.withColumn("pin", first).withColumn("pin_tier", top).select("family", "id", "tier", "version", "pin", state.alias("state"))
 
 
-def drift(evidence: DataFrame) -> DataFrame:
-    """(component_id, code): tiers that a component lacks, where the table holds installed evidence at all."""
-    seen = lambda *k: F.bool_or(F.col("tier").isin(*k))
-    flags = evidence.groupBy("component_id").agg(seen(2).alias("declared"), seen(3).alias("locked"), seen(4).alias("installed"), seen(5).alias("observed"))
-    code = F.when(F.col("declared") & ~F.col("installed") & ~F.col("observed"), "drift:declared-not-installed").when(F.col("installed") & ~F.col("declared") & ~F.col("locked"), "drift:installed-not-declared").when(F.col("observed") & ~F.col("declared") & ~F.col("locked"), "drift:observed-not-declared")
-    return flags.select("component_id", code.alias("code")).where("code is not null")
+#: Ecosystems whose installed packages no manifest declares, and what is left of an orphan's confidence.
+UNDECLARED = ("deb", "apk", "alpm")
+ORPHAN = 0.85
+
+
+def drift(components: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(component_id, family, code, confidence) of families that are declared but not installed, or the reverse.
+
+    ``components`` has id, family, ecosystem, ctype, scope, conditional, optional and
+    confidence; ``evidence`` component_id, tier. A family counts as a whole. Declared or
+    locked but nowhere installed or observed is drift only where its ecosystem has
+    installed evidence at all, and not if all of it is for building, optional or
+    conditional. Installed or observed but never declared is drift where the ecosystem has
+    declared evidence; its confidence falls.
+    """
+    tier = lambda *k: F.bool_or(F.col("tier").isin(*k))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    per = evidence.groupBy("component_id").agg(tier(2, 3).alias("declared"), tier(4, 5).alias("installed"), tier(4).alias("there"))
+    aside = yes(F.col("ctype") == "build-tool") | yes(F.col("scope").isin("build", "optional")) | yes(F.col("conditional")) | yes(F.col("optional"))
+    rows = components.join(per, F.col("id") == F.col("component_id"), "left").select("id", "family", "ecosystem", "confidence", aside.alias("aside"), *(yes(F.col(c)).alias(c) for c in ("declared", "installed", "there")))
+    families = rows.groupBy("family", "ecosystem").agg(*(F.bool_or(c).alias(c) for c in ("declared", "installed", "there")), F.bool_and("aside").alias("aside"))
+    seen = families.groupBy(F.col("ecosystem").alias("of")).agg(F.bool_or("there").alias("has_installed"), F.bool_or("declared").alias("has_declared"))
+    missing = F.col("declared") & ~F.col("installed") & ~F.col("aside") & F.col("has_installed")
+    orphan = F.col("installed") & ~F.col("declared") & F.col("has_declared") & ~F.col("ecosystem").isin(*UNDECLARED)
+    code = F.when(missing, "drift:declared-not-installed").when(orphan, "drift:installed-not-declared")
+    coded = families.join(seen, F.col("ecosystem").eqNullSafe(F.col("of"))).select(F.col("family").alias("f"), F.col("ecosystem").alias("e"), code.alias("code")).where("code is not null")
+    found = rows.join(coded, (F.col("family") == F.col("f")) & F.col("ecosystem").eqNullSafe(F.col("e")))
+    return found.select(F.col("id").alias("component_id"), "family", "code", F.when(F.col("code").endswith("installed-not-declared"), F.round(F.col("confidence") * ORPHAN, 4)).otherwise(F.col("confidence")).alias("confidence"))
 
 
 def drift_board(annotations: DataFrame, components: DataFrame) -> DataFrame:
@@ -146,10 +172,22 @@ def drift_board(annotations: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def emit_set(components: DataFrame, fixtures: DataFrame, min_confidence: float = 0.8, paranoid: bool = False, scopes: tuple[str, ...] = ("runtime",)) -> DataFrame:
-    """(id, reason): why a component is left out, in order of the rules; null: emitted."""
+    """(id, reason): why a component is left out, in order of the rules; null: emitted.
+
+    ``paranoid`` leaves out all below the locked tier first. A component without a scope
+    passes the filter of scopes; no scopes: all pass.
+    """
     flagged = components.join(fixtures.select(F.col("component_id").alias("id"), F.lit(True).alias("fixture")), "id", "left")
-    reason = F.when(F.coalesce("fixture", F.lit(False)), "fixture-only").when((F.col("tier_cap") == 1) & (F.col("confidence") < min_confidence), "low-confidence").when(~F.col("attrs")["scope"].isin(*scopes), "scope")
-    return flagged.select("id", (F.lit(None).cast("string") if paranoid else reason).alias("reason"))
+    rules = [
+        ("below-locked", F.lit(paranoid) & (F.col("tier_cap") < 3)),
+        ("fixture-only", F.coalesce("fixture", F.lit(False))),
+        ("low-confidence", (F.col("tier_cap") == 1) & (F.col("confidence") < min_confidence)),
+        ("scope", ~F.col("attrs")["scope"].isin(*scopes) if scopes else F.lit(False)),
+    ]
+    reason = F.lit(None).cast("string")
+    for name, holds in reversed(rules):
+        reason = F.when(holds, name).otherwise(reason)
+    return flagged.select("id", reason.alias("reason"))
 
 
 def policy_failed(annotations: DataFrame, emitted: DataFrame, fail_on: tuple[str, ...]) -> DataFrame:
@@ -161,10 +199,17 @@ def policy_failed(annotations: DataFrame, emitted: DataFrame, fail_on: tuple[str
 
 
 def merged_edges(edges: DataFrame) -> DataFrame:
-    """One edge a (kind, src, dst): first scope, any direct, last marker, by ordinal."""
+    """One edge a (kind, src, dst), none from a node to itself: by ordinal the first scope and range asked for, any direct, the last marker, attributes together (later ones win).
+
+    ``edges`` has kind, src, dst, ordinal, scope, requested, direct, marker, attrs (a map).
+    """
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ordinal")))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ordinal")))
-    return edges.groupBy("kind", "src", "dst").agg(first("scope").alias("scope"), F.bool_or("direct").alias("direct"), last("marker").alias("marker"))
+    real = edges.where("src <> dst")
+    found = real.groupBy("kind", "src", "dst").agg(first("scope").alias("scope"), first("requested").alias("requested"), F.bool_or("direct").alias("direct"), last("marker").alias("marker"))
+    each = real.select("kind", "src", "dst", "ordinal", F.explode("attrs").alias("key", "value")).groupBy("kind", "src", "dst", "key").agg(F.max_by("value", "ordinal").alias("value"))
+    attrs = each.groupBy("kind", "src", "dst").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attrs"))
+    return found.join(attrs, ["kind", "src", "dst"], "left")
 
 
 def instance_paths(evidence: DataFrame) -> DataFrame:
@@ -172,32 +217,59 @@ def instance_paths(evidence: DataFrame) -> DataFrame:
 
 
 def fleet_merge(rows: DataFrame) -> DataFrame:
-    """One row an identity over all hosts: the best claim (tier, confidence; ties: a hash of the host) and on how many hosts.
+    """One row an identity over all hosts: the best claim (tier, confidence; ties: the least host), where it was seen, and on how many hosts.
 
-    ``rows`` has host, identity, name, version, tier, confidence, observed.
+    ``rows`` has host, identity, name, version, tier, confidence, observed, ports and
+    excluded; rows with excluded don't count. seen_in has an entry a host and claim, in
+    order. One aggregate: an identity's entries are as many as its hosts.
     """
-    best = F.max_by(F.struct("name", "version", "tier", "confidence"), F.struct("tier", "confidence", F.hash("host").alias("h")))
-    return rows.groupBy("identity").agg(best.alias("best"), F.countDistinct("host").alias("hosts"), F.bool_or("observed").alias("observed")).select("identity", "best.name", "best.version", "best.tier", "best.confidence", "hosts", "observed")
+    entry = F.struct("host", "version", "observed", "ports")
+    found = rows.where("excluded is null").groupBy("identity").agg(F.min_by(F.struct("name", "version", "tier", "confidence"), F.struct(-F.col("tier"), -F.col("confidence"), "host", "version")).alias("best"), F.sort_array(F.collect_list(entry)).alias("seen_in"), F.bool_or("observed").alias("observed"))
+    return found.select("identity", "best.name", "best.version", "best.tier", "best.confidence", F.size(F.array_distinct(F.transform("seen_in", lambda x: x.host))).alias("hosts"), "observed", "seen_in")
 
 
-def fleet_rollup(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("host").agg(F.countDistinct("identity").alias("components"), F.countDistinct(F.when(F.col("observed"), F.col("identity"))).alias("observed"))
+def fleet_rollup(merged: DataFrame) -> DataFrame:
+    """(host, components, observed) from ``fleet_merge``'s provenance."""
+    return merged.select(F.explode("seen_in").alias("x")).groupBy("x.host").agg(F.count("*").alias("components"), F.count_if("x.observed").alias("observed"))
 
 
-def version_skew(rows: DataFrame, limit: int = 100) -> DataFrame:
-    """Names with more than one version, the first ``limit`` by name."""
-    return rows.groupBy("name").agg(F.countDistinct("version").alias("versions"), F.min("version").alias("low"), F.max("version").alias("high")).where("versions > 1").orderBy("name").limit(limit)
+def version_skew(merged: DataFrame, limit: int = 100) -> DataFrame:
+    """(name, host, versions) of the first ``limit`` names with more than one version; ``merged`` may have ecosystem, whose crypto rows don't count."""
+    packages = merged.where("ecosystem is null or ecosystem <> 'crypto'") if "ecosystem" in merged.columns else merged
+    held = packages.select("name", F.explode("seen_in").alias("x")).where("x.version is not null").select("name", "x.host", "x.version").distinct()
+    spread = held.groupBy("name").agg(F.min("version").alias("low"), F.max("version").alias("high")).where("low <> high").orderBy("name").limit(limit)
+    return held.join(spread.select("name"), "name").groupBy("name", "host").agg(F.array_join(F.sort_array(F.collect_list("version")), ",").alias("versions"))
 
 
 def emission_order(components: DataFrame) -> DataFrame:
-    """Emitted components, ranked by purl, lower-cased name and version."""
-    order = Window.orderBy(F.coalesce("purl", F.lit("")), F.lower("name"), F.coalesce("version", F.lit("")), "id")
-    return kept(components).select("id", F.row_number().over(order).alias("place"))
+    """Emitted components, ranked by purl, lower-cased name and version; ranked by ranges, not in one task."""
+    from quillgraph.sources.store import numbered
+
+    key = kept(components).select("id", F.coalesce("purl", F.lit("")).alias("p"), F.lower("name").alias("n"), F.coalesce("version", F.lit("")).alias("v")).withColumnRenamed("id", "component_id")
+    return numbered(key, "p", "n", "v", "component_id").select(F.col("component_id").alias("id"), F.col("id").alias("place"))
+
+
+def cursor_of(last: tuple[str, str, int] | None) -> str | None:
+    """A page's end as opaque text; None: there is no further page."""
+    return None if last is None else base64.urlsafe_b64encode(json.dumps(list(last)).encode()).decode()
+
+
+def after_cursor(cursor: str | None) -> tuple[str, str, int] | None:
+    """What ``cursor_of`` told; None where the text tells nothing, as for the first page."""
+    try:
+        name, version, key = json.loads(base64.urlsafe_b64decode((cursor or "").encode()).decode())
+    except (ValueError, TypeError):
+        return None
+    return name, version, key
 
 
-def page(rows: DataFrame, offset: int, limit: int = 200) -> DataFrame:
-    """A page of rows by name, version, id; the limit is held to 1..1000."""
-    return rows.orderBy("name", "version", "id").offset(offset).limit(min(max(limit, 1), 1000))
+def page(rows: DataFrame, cursor: str | None = None, limit: int = 200) -> DataFrame:
+    """The rows after a cursor by name, version (null first), id; the limit is held to 1..1000. A filter and a bounded sort, however far the page is."""
+    after = after_cursor(cursor)
+    version = F.coalesce("version", F.lit(""))
+    if after is not None:
+        rows = rows.where(F.struct(F.col("name").alias("a"), version.alias("b"), F.col("id").cast("long").alias("c")) > F.struct(F.lit(after[0]).alias("a"), F.lit(after[1]).alias("b"), F.lit(after[2]).cast("long").alias("c")))
+    return rows.orderBy("name", version, "id").limit(min(max(limit, 1), 1000))
 
 
 def capabilities(components: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:

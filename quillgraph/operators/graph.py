@@ -16,24 +16,27 @@ def extras_gated(marker: str = "marker") -> Column:
 
 
 def paths_to_roots(edges: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(target, path) for each way from a root down to each target; no node twice, at most ``max_depth`` nodes.
+    """(target, path, complete) for each way from a root down to each target; no node twice.
 
     ``targets`` has a column id. Grows paths upward by one edge a round; those that reach
-    a node without incoming edges are complete. A target with only cyclic parents has none.
+    a node without incoming edges are complete. What has ``max_depth`` nodes and no root
+    yet comes with complete false: the ways on from there aren't enumerated. A target with
+    only cyclic parents has none. One table is written a round.
     """
     links = edges.select("src", "dst").distinct()
-    open_paths = targets.select(F.col("id").alias("target"), F.array(F.col("id").cast("long")).alias("path"), F.col("id").cast("long").alias("head"))
+    below = links.select(F.col("dst").alias("below")).distinct()
+    ways = targets.select(F.col("id").alias("target"), F.array(F.col("id").cast("long")).alias("path"), F.col("id").cast("long").alias("head"))
     done = None
-    for _ in range(max_depth):
-        open_paths = materialize(open_paths, "paths")
-        ends = open_paths.join(links, F.col("head") == F.col("dst"), "left_anti").select("target", "path")
-        ends = materialize(ends, "paths-done")
+    for depth in range(1, max_depth + 1):
+        marked = ways.join(below, F.col("head") == F.col("below"), "left").select("target", "path", "head", F.col("below").isNull().alias("complete"))
+        ways = materialize(marked, "paths")
+        ends = ways.select("target", "path", "complete")
+        ends = ends if depth == max_depth else ends.where("complete")
         done = ends if done is None else done.unionByName(ends)
-        grown = open_paths.join(links, F.col("head") == F.col("dst")).where(~F.array_contains("path", F.col("src")))
-        grown = grown.select("target", F.concat(F.array(F.col("src").cast("long")), "path").alias("path"), F.col("src").cast("long").alias("head"))
-        if grown.isEmpty():
+        ways = ways.where("not complete")
+        if depth == max_depth or ways.isEmpty():
             break
-        open_paths = grown
+        ways = ways.join(links, F.col("head") == F.col("dst")).where(~F.array_contains("path", F.col("src"))).select("target", F.concat(F.array(F.col("src").cast("long")), "path").alias("path"), F.col("src").cast("long").alias("head"))
     return done
 
 
@@ -42,7 +45,7 @@ def paths_between(components: DataFrame, edges: DataFrame, start: str, end: str)
     from quillgraph.operators.analytics import find_component
 
     targets = find_component(components, end).select("id")
-    found = paths_to_roots(edges, targets)
+    found = paths_to_roots(edges, targets).where("complete")
     root = F.element_at("path", 1)
     label = F.coalesce("name", F.concat(F.lit("project:"), F.col("root").cast("string")))
     glob = "^" + "".join({"*": ".*", "?": "."}.get(c, "\\" + c if not c.isalnum() else c) for c in start) + "$"
@@ -50,13 +53,14 @@ def paths_between(components: DataFrame, edges: DataFrame, start: str, end: str)
     return named.where((F.col("label") == start) | F.col("label").rlike(glob)).select("target", "path", F.size("path").alias("length"), F.col("label").alias("root")).orderBy("length", "path")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, follow_extras: bool = False, max_rounds: int = 1000) -> DataFrame:
-    """(node, depth) of all nodes that ``roots`` (id) reach, at their least depth; gated edges count if asked for."""
+def reachable(edges: DataFrame, roots: DataFrame, follow_extras: bool = False) -> DataFrame:
+    """(node, depth) of all nodes that ``roots`` (id) reach, at their least depth, however deep; gated edges count if asked for."""
     links = edges if follow_extras else edges.where(~extras_gated())
     links = links.select("src", "dst").distinct()
     seen = materialize(roots.select(F.col("id").cast("long").alias("node"), F.lit(0).alias("depth")).distinct(), "reach")
-    frontier = seen
-    for depth in range(1, max_rounds + 1):
+    frontier, depth = seen, 0
+    while True:
+        depth += 1
         step = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").cast("long").alias("node")).distinct()
         step = materialize(step.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth")), "reach")
         if step.isEmpty():
@@ -89,22 +93,31 @@ def minimal_versions(requires: DataFrame, roots: DataFrame, sort_key: Column | N
     return seen.groupBy("module").agg(F.max_by("version", key).alias("version"))
 
 
-def nearest_versions(requires: DataFrame, roots: DataFrame, managed: DataFrame | None = None, max_depth: int = 50) -> DataFrame:
-    """Nearest wins: the version of least depth for each module, ties by order; ``managed`` (module, version) overrides.
+def nearest_versions(requires: DataFrame, roots: DataFrame, managed: DataFrame | None = None) -> DataFrame:
+    """(module, version, depth): nearest wins, the version of least depth for each module, ties by order; ``managed`` (module, version) overrides.
 
-    ``requires`` has module, dep_module, dep_version, seq; ``roots`` module, version, seq.
+    ``requires`` has module, version, dep_module, dep_version, seq; ``roots`` module,
+    version, seq. Goes down a level a round, from each (module, version) once, until
+    nothing is new. Of a level, order is that of the seq numbers on the way from the root.
     """
-    frontier = materialize(roots.select("module", "version", F.lit(1).alias("depth"), F.col("seq").cast("long").alias("seq")), "nearest")
-    best = None
-    for depth in range(1, max_depth + 1):
-        picked = frontier.groupBy("module").agg(F.min_by("version", F.struct("seq", "version")).alias("version"), F.min("depth").alias("depth"), F.min("seq").alias("seq"))
+    frontier = roots.select("module", "version", F.array(F.col("seq").cast("long")).alias("way"))
+    best, seen, depth = None, None, 0
+    while True:
+        depth += 1
+        level = frontier.groupBy("module", "version").agg(F.min("way").alias("way"))
+        level = materialize(level if seen is None else level.join(seen, ["module", "version"], "left_anti"), "nearest")
+        if level.isEmpty():
+            break
+        picked = level.groupBy("module").agg(F.min_by("version", "way").alias("version")).withColumn("depth", F.lit(depth))
         if best is not None:
             picked = picked.join(best.select("module"), "module", "left_anti")
-        picked = materialize(picked, "nearest")
-        if picked.isEmpty():
-            break
+        picked = materialize(picked, "nearest-best")
         best = picked if best is None else best.unionByName(picked)
-        frontier = materialize(picked.select("module").join(requires, "module").select(F.col("dep_module").alias("module"), F.col("dep_version").alias("version"), F.lit(depth + 1).alias("depth"), F.col("seq").cast("long").alias("seq")), "nearest")
+        mine = level.select("module", "version")
+        seen = mine if seen is None else seen.unionByName(mine)
+        frontier = level.join(requires, ["module", "version"]).select(F.col("dep_module").alias("module"), F.col("dep_version").alias("version"), F.concat("way", F.array(F.col("seq").cast("long"))).alias("way"))
+    if best is None:
+        best = roots.select("module", "version", F.lit(0).alias("depth")).limit(0)
     if managed is not None:
         best = best.join(managed.select("module", F.col("version").alias("m")), "module", "left").withColumn("version", F.coalesce("m", "version")).drop("m")
     return best.select("module", "version", "depth")
@@ -171,7 +184,7 @@ def explained(components: DataFrame, edges: DataFrame, evidence: DataFrame, ref:
 
     chosen = materialize(find_component(components, ref).orderBy("name", "version", "id").limit(most).select("id", display_ref().alias("ref")), "explain")
     labels = components.select(F.col("id").alias("node"), display_ref().alias("label"))
-    ways = paths_to_roots(edges, chosen).where(F.size("path") > 1).withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(F.size("path"), "path"))).where(F.col("place") <= most_paths)
+    ways = paths_to_roots(edges, chosen).where("complete").where(F.size("path") > 1).withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(F.size("path"), "path"))).where(F.col("place") <= most_paths)
     steps = ways.select("target", "place", F.posexplode("path").alias("step", "node")).join(labels, "node", "left")
     named = F.struct("step", F.coalesce("label", F.concat(F.lit("project:"), F.col("node").cast("string"))).alias("label"))
     told = steps.groupBy("target", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(named)), lambda x: x.label), " > ").alias("text")).select(F.col("target").alias("id"), F.lit("path").alias("kind"), "place", "text")

@@ -41,8 +41,9 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a line item: which detector saw which component, how surely, where."""
+    """One row a line item: which detector saw which component, how surely, where; one part of 25 is only in tests."""
     i = table(spark, sf_dir, "lineitem")
+    folder = F.when(F.col("l_partkey") % 25 == 0, "tests").otherwise(F.element_at(F.array(*map(F.lit, ("tests", "vendor", "docs", "src", "examples"))), (F.col("l_suppkey") % 5 + 1).cast("int")))
     return i.select(
         F.col("l_orderkey").alias("finding_id"),
         F.col("l_linenumber").alias("ordinal"),
@@ -50,7 +51,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("detector"),
         (F.col("l_linenumber") % 5 + 1).cast("int").alias("tier"),
         F.round(F.col("l_discount") * 9 + 0.0, 4).alias("confidence"),
-        F.concat(F.element_at(F.array(*map(F.lit, ("tests", "vendor", "docs", "src", "examples"))), (F.col("l_suppkey") % 5 + 1).cast("int")), F.lit("/"), F.col("l_orderkey").cast("string")).alias("path"),
+        F.concat(folder, F.lit("/"), F.col("l_orderkey").cast("string")).alias("path"),
+        F.when(folder == "tests", F.array(F.lit("path-role-fixture"))).alias("modifiers"),
     )
 
 

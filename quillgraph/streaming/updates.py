@@ -24,9 +24,10 @@ def keep_fleet(stream: DataFrame, into: str, checkpoint: str) -> StreamingQuery:
 
 
 def fleet_so_far(spark: SparkSession, into: str) -> DataFrame:
-    """One row an identity over all batches: the best claim, and whether any host was seen running it."""
+    """One row an identity over all batches: the best claim, whether any host was seen running it, and where it was seen."""
     best = F.max_by(F.struct("name", "version", "tier", "confidence"), F.struct("tier", "confidence", -F.col("batch")))
-    return spark.read.parquet(into).groupBy("identity").agg(best.alias("b"), F.bool_or("observed").alias("observed")).select("identity", "b.*", "observed")
+    seen = F.sort_array(F.array_distinct(F.flatten(F.collect_list("seen_in"))))
+    return spark.read.parquet(into).groupBy("identity").agg(best.alias("b"), F.bool_or("observed").alias("observed"), seen.alias("seen_in")).select("identity", "b.*", "observed", "seen_in")
 
 
 def activity(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
