@@ -43,8 +43,8 @@ TABLE_BITS = 27
 #: Depth of the multikey quicksort; deeper groups go to the blind tries.
 SHALLOW = 16
 #: Bytes of run strings sorted at once, and windows of one anchor sorted at once.
-SORT_BYTES = 4 << 20
-SORT_WINDOWS = 4 << 20
+SORT_BYTES = 1 << 20
+SORT_WINDOWS = 1 << 20
 #: Distinct strings that a map task combines before it sends them on.
 COMBINE = 1 << 18
 #: Keys of a map task that are sorted and sent on together.
