@@ -85,3 +85,24 @@ def image_reference(raw: Column) -> Column:
 def sri(value: Column) -> Column:
     """struct(algorithm, hex) of a subresource-integrity string."""
     return F.struct(F.substring_index(value, "-", 1).alias("algorithm"), F.lower(F.hex(F.try_to_binary(F.substring_index(value, "-", -1), F.lit("base64")))).alias("hex"))
+
+
+#: Where package stores lie.
+STORES = r"(^|/)(node_modules|\.pnpm|site-packages|dist-packages|\.venv)/|(^|/)vendor/(bundle|composer)/|/\.m2/repository/|/\.cargo/registry/|/\.cache/go/|/pkg/mod/|/gems/"
+
+
+def in_store(path: Column) -> Column:
+    """Whether a path lies in a package store."""
+    return path.rlike(STORES)
+
+
+def physical_path(parents: Column) -> Column:
+    """One path from an array of the paths of archives within archives, outermost first."""
+    return F.array_join(parents, "!")
+
+
+def platform_parts(text: Column) -> Column:
+    """(os, arch, variant) of os/arch[/variant], linux/amd64 where there is none; null where it has another form."""
+    parts = F.split(F.coalesce(text, F.lit("linux/amd64")), "/", 3)
+    at = lambda k: F.nullif(F.try_element_at(parts, F.lit(k)), F.lit(""))
+    return F.when(at(1).isNotNull() & at(2).isNotNull(), F.struct(at(1).alias("os"), at(2).alias("arch"), at(3).alias("variant")))

@@ -137,7 +137,7 @@ def pinned(claims: DataFrame) -> DataFrame:
 
 #: Ecosystems whose installed packages no manifest declares, and what is left of an orphan's confidence.
 UNDECLARED = ("deb", "apk", "alpm")
-ORPHAN = 0.85
+ORPHAN = 0.8
 
 
 def drift(components: DataFrame, evidence: DataFrame) -> DataFrame:

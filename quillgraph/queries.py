@@ -175,7 +175,7 @@ _DRIFT = """fam AS (SELECT *, ecosystem || ':f' || (id % 300) AS family, id % 30
   per AS (SELECT id, family, ecosystem, confidence, optional OR scope = 'build' AS aside, coalesce(bool_or(tier IN (2, 3)), false) AS d, coalesce(bool_or(tier IN (4, 5)), false) AS i, coalesce(bool_or(tier = 4), false) AS t FROM fam LEFT JOIN ev ON component_id = id GROUP BY ALL),
   families AS (SELECT family, ecosystem, bool_or(d) AS d, bool_or(i) AS i, bool_or(t) AS t, bool_and(aside) AS aside FROM per GROUP BY 1, 2), eco AS (SELECT ecosystem, bool_or(t) AS has_i, bool_or(d) AS has_d FROM families GROUP BY 1),
   codes AS (SELECT family, CASE WHEN d AND NOT i AND NOT aside AND has_i THEN 'drift:declared-not-installed' WHEN i AND NOT d AND has_d AND ecosystem NOT IN ('deb', 'apk', 'alpm') THEN 'drift:installed-not-declared' END AS code FROM families JOIN eco USING (ecosystem)),
-  drift AS (SELECT id AS component_id, family, code, round(confidence * CASE WHEN code LIKE '%installed-not-declared' THEN 0.85 ELSE 1 END, 4)::DOUBLE AS confidence FROM per JOIN codes USING (family) WHERE code IS NOT NULL)"""
+  drift AS (SELECT id AS component_id, family, code, round(confidence * CASE WHEN code LIKE '%installed-not-declared' THEN 0.8 ELSE 1 END, 4)::DOUBLE AS confidence FROM per JOIN codes USING (family) WHERE code IS NOT NULL)"""
 
 
 def _drift(spark: SparkSession, d: str) -> DataFrame:
