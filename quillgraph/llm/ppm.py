@@ -32,6 +32,8 @@ ORDER = 5
 START, END = 0xFE, 0xFF
 #: 256 byte values and the end are never more than this many symbols.
 SYMBOLS = 257
+#: Text bytes of a bucket, about.
+BUCKET = 64 << 20
 #: Text bytes worked on at once.
 STRIDE = 4 << 20
 WORD, GRAM, PAIR = 0, 1, 2
@@ -192,7 +194,7 @@ def _bucket_blocks(parts: int):
             part = _split(keys, kind, parts)
             order = np.argsort(part, kind="stable")
             starts = run_starts(part[order])
-            for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
+            for a, b in zip(starts, np.append(starts[1:], len(order))[: len(starts)], strict=True):
                 at = order[a:b]
                 rows.append((int(part[at[0]]), bucket, kind, packed_keys(keys[at]), packed(n[at]), int(n[at].sum()), None))
         pair, n = _counted(grams[0] & np.uint64(0xFFFF), grams[1])
@@ -338,10 +340,10 @@ def ppm_scores(docs: DataFrame, train: str | None = None) -> DataFrame:
     64-bit hash.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     rule = F.coalesce(F.expr(train), F.lit(False)) if train else F.lit(True)
+    n_train, size = docs.agg(F.count_if(rule), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(shuffle_partitions(spark), -(-size // BUCKET))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), rule.alias("train"), "text")
-    n_train = docs.where(rule).count()
     blocks = materialize(dealt.select("bucket", "train", "text").groupBy("bucket").applyInArrow(_bucket_blocks(parts), _BLOCK_SQL), "ppm-blocks")
     free_shuffles(spark)
     pairs = blocks.where(f"kind = {PAIR}").select(F.inline("pairs")).groupBy("pair").agg(F.sum("n").alias("n")).orderBy("pair").toArrow()

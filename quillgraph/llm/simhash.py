@@ -8,7 +8,8 @@ one unit step apart. The grid join looks up just these cells (about 26 rows for
 distinct fingerprint) and every candidate is verified by its exact bit distance.
 
 Equal fingerprints are one node. Within a cell only a spanning forest of the verified
-links leaves the task, so a group of n near copies costs n rows, not n squared.
+links leaves the task, so a group of n near copies costs n rows, not n squared. A cell of
+more than HOT rows is split into blocks, any two of which meet in a group of their own.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from quillgraph.scratch import materialize
 #: Groups up to this size are compared by shifted vectors, larger ones in blocks.
 SMALL = 24
 BLOCK = 2048
+#: Rows of a cell that one task compares; of more rows, about half as many are a block.
+HOT = 1 << 14
 #: Shingles whose bits are unpacked at once.
 STRIDE = 1 << 15
 
@@ -147,10 +150,22 @@ def fingerprint_links(distinct: DataFrame, reach: int = 3) -> DataFrame:
             if len(a):
                 yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["src", "dst"])
 
-    cells = _cells(distinct.select("fp")).repartition("cell").sortWithinPartitions("cell")
+    cells = _split(_cells(distinct.select("fp"))).repartition("cell").sortWithinPartitions("cell")
     return cells.mapInArrow(run, "src long, dst long")
 
 
+def _split(cells: DataFrame) -> DataFrame:
+    """The rows of cells, those of a cell of more than HOT rows dealt to the groups of its blocks' pairs."""
+    hot = materialize(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(F.col("cell").alias("of"), F.ceil(2 * F.col("n") / HOT).alias("blocks")), "simhash-hot")
+    if hot.isEmpty():
+        return cells
+    dealt = cells.join(hot, F.col("cell") == F.col("of"), "left").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(4)), "blocks"))
+    others = F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.col("own"))
+    each = dealt.where("blocks is not null").select("cell", "fp", "probe", "own", F.explode(others).alias("other"))
+    groups = each.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp", "probe")
+    return dealt.where("blocks is null").select("cell", "fp", "probe").unionByName(groups)
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text); other columns are not read.
 

@@ -5,8 +5,8 @@
    about one key for 11 bytes is shuffled instead of one for each byte. A run's key is its
    anchor with the next bytes on the side where its windows reach further.
 2. Keys that occur in two documents are found by parts of the key space, whose tasks give
-   their stretch of a bit table of fixed size. The table only saves work: a key that it
-   passes wrongly costs a little sorting.
+   their stretch of a bit table, sized by the input up to 128 MB. The table only saves
+   work: a key that it passes wrongly costs a little sorting.
 3. The byte strings of the passing runs are dealt out by anchor in compressed blocks, equal
    strings of a task combined first (smallest and largest doc_id). Each part sorts the suffixes that begin
    a window to depth 50 by deep-shallow sorting: multikey quicksort on eight-byte digits
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.arrays import byte_values, flat_text, mix64, packed, packed_keys, run_starts, unpacked, unpacked_keys
 from quillgraph.llm.columns import unused
-from quillgraph.scratch import free_shuffles, materialize, shuffle_partitions
+from quillgraph.scratch import discard, free_shuffles, materialize, shuffle_partitions
 
 LENGTH = 50
 GRAM = 20
@@ -38,8 +38,11 @@ GRAM = 20
 SIDE = (LENGTH - GRAM) // 2
 #: Bytes hashed at once; positions within fit 24 bits.
 PIECE = 1 << 16
-#: Bits of the table of shared anchors (16 MB, whatever the input).
-TABLE_BITS = 27
+#: Bits of the table of shared keys, at least and at most (16 to 128 MB), and bytes of text for each of them between.
+TABLE_BITS = (27, 30)
+TEXT_PER_BIT = 8
+#: Bytes of text for each part of the key space, about.
+PART_BYTES = 64 << 20
 #: Depth of the multikey quicksort; deeper groups go to the blind tries.
 SHALLOW = 16
 #: Bytes of run strings sorted at once, and windows of one anchor sorted at once.
@@ -191,16 +194,16 @@ def _leading_bytes(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _parts_of(slots: np.ndarray, parts: int) -> np.ndarray:
+def _parts_of(slots: np.ndarray, parts: int, bits: int) -> np.ndarray:
     """The part of the key space that a table word belongs to: equal stretches of the table."""
-    return ((slots >> np.uint64(6)) * np.uint64(parts) >> np.uint64(TABLE_BITS - 6)).astype(np.int64)
+    return ((slots >> np.uint64(6)) * np.uint64(parts) >> np.uint64(bits - 6)).astype(np.int64)
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return keys >> np.uint64(64 - TABLE_BITS)
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return keys >> np.uint64(64 - bits)
 
 
-def _key_blocks(parts: int):
+def _key_blocks(parts: int, bits: int):
     """Keys with the smallest and largest document of a stretch of input, a block for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,14 +212,16 @@ def _key_blocks(parts: int):
         def flush() -> Iterator[pa.RecordBatch]:
             keys, docs = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
+            if not len(keys):
+                return
             order = np.lexsort((docs, keys))
             keys, docs = keys[order], docs[order]
             starts = run_starts(keys)
             last = np.append(starts[1:], len(keys)) - 1
             keys, low, high = keys[starts], docs[starts], docs[last]
-            cuts = run_starts(_parts_of(_slots(keys), parts))
+            cuts = run_starts(_parts_of(_slots(keys, bits), parts, bits))
             for a, b in zip(cuts, np.append(cuts[1:], len(keys)), strict=True):
-                part = int(_parts_of(_slots(keys[a : a + 1]), parts)[0])
+                part = int(_parts_of(_slots(keys[a : a + 1], bits), parts, bits)[0])
                 row = {"part": part, "keys": packed_keys(keys[a:b]), "low": packed(low[a:b]), "more": packed(high[a:b] - low[a:b])}
                 yield pa.RecordBatch.from_pylist([row], _KEYS)
 
@@ -235,7 +240,7 @@ def _key_blocks(parts: int):
 _KEYS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("low", pa.binary()), ("more", pa.binary())])
 
 
-def _shared_bits(parts: int):
+def _shared_bits(parts: int, bits_of_table: int):
     """The part's stretch of the table: bits of keys that two documents or more have."""
 
     def run(blocks: pa.Table) -> pa.Table:
@@ -248,28 +253,28 @@ def _shared_bits(parts: int):
         keys = keys[order]
         starts = run_starts(keys)
         shared = keys[starts][np.minimum.reduceat(low[order], starts) < np.maximum.reduceat(high[order], starts)]
-        first = -(-(part << (TABLE_BITS - 6)) // parts)
-        bits = np.zeros(-(-((part + 1) << (TABLE_BITS - 6)) // parts) - first, np.uint64)
-        slot = _slots(shared)
+        first = -(-(part << (bits_of_table - 6)) // parts)
+        bits = np.zeros(-(-((part + 1) << (bits_of_table - 6)) // parts) - first, np.uint64)
+        slot = _slots(shared, bits_of_table)
         np.bitwise_or.at(bits, (slot >> np.uint64(6)).astype(np.int64) - first, np.uint64(1) << (slot & np.uint64(63)))
         return pa.table({"first": pa.array([first], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
     return run
 
 
-def _shared_table(docs: DataFrame, parts: int) -> np.ndarray:
+def _shared_table(docs: DataFrame, parts: int, bits: int) -> np.ndarray:
     """Bits of the keys that occur in two documents or more."""
-    blocks = docs.mapInArrow(_key_blocks(parts), "part int, keys binary, low binary, more binary")
-    got = blocks.groupBy("part").applyInArrow(_shared_bits(parts), "first long, bits binary").toArrow()
-    table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
-    for first, bits in zip(got.column("first").to_pylist(), got.column("bits").to_pylist(), strict=True):
-        part = np.frombuffer(bits, np.uint64)
+    blocks = docs.mapInArrow(_key_blocks(parts, bits), "part int, keys binary, low binary, more binary")
+    got = blocks.groupBy("part").applyInArrow(_shared_bits(parts, bits), "first long, bits binary").toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    for first, words in zip(got.column("first").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        part = np.frombuffer(words, np.uint64)
         table[first : first + len(part)] = part
     return table
 
 
 def _in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = _slots(keys)
+    slot = _slots(keys, len(table).bit_length() + 5)
     return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
@@ -415,8 +420,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, begin, end): stretches of 50-byte strings of a document that also start in one with a smaller id; they may overlap. mark is a hash of the text, for texts that share a doc_id."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).where("doc_id is not null")
-    parts = shuffle_partitions(spark)
-    table = spark.sparkContext.broadcast(_shared_table(texts, parts))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(shuffle_partitions(spark), -(-size // PART_BYTES))
+    bits = min(max(TABLE_BITS[0], (size // TEXT_PER_BIT).bit_length()), TABLE_BITS[1])
+    table = spark.sparkContext.broadcast(_shared_table(texts, parts, bits))
     free_shuffles(spark)
     blocks = texts.mapInArrow(_combined(table, parts), "part int, anchors binary, sizes binary, low binary, more binary, strings binary")
     found = blocks.groupBy("part").applyInArrow(_part_owners, "k1 long, k2 long, offset long, windows long, owner long")
@@ -425,7 +432,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     places = texts.mapInArrow(_places(table), "k1 long, k2 long, doc_id long, mark long, at long")
     hits = places.join(found, ["k1", "k2"]).where("owner < doc_id")
     begin = F.col("at") + F.col("offset")
-    return materialize(hits.select("doc_id", "mark", begin.alias("begin"), (begin + F.col("windows") + LENGTH - 1).alias("end")), "suffix-spans")
+    spans = materialize(hits.select("doc_id", "mark", begin.alias("begin"), (begin + F.col("windows") + LENGTH - 1).alias("end")), "suffix-spans")
+    table.destroy()
+    discard(found)
+    return spans
 
 
 def merged(spans: list, size: int) -> list[tuple[int, int]]:

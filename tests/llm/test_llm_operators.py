@@ -83,6 +83,9 @@ def test_owners_by_many_passes(monkeypatch, docs):
     monkeypatch.setattr(suffix_dedup, "SORT_WINDOWS", 40)
     monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 300)
     monkeypatch.setattr(suffix_dedup, "PIECE", 97)
+    monkeypatch.setattr(suffix_dedup, "TABLE_BITS", (12, 30))
+    monkeypatch.setattr(suffix_dedup, "TEXT_PER_BIT", 1)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 1 << 10)
     rng = np.random.default_rng(1)
     buffer = rng.integers(97, 99, 4000).astype(np.uint8)
     suffixes = np.arange(3900)
@@ -120,6 +123,8 @@ def test_simhash(docs, rows, nothing, monkeypatch):
     check()
     monkeypatch.setattr(simhash, "SMALL", 2)
     check()
+    monkeypatch.setattr(simhash, "HOT", 3)  # nearly every cell is split
+    check()
     assert simhash.near_duplicates(nothing).count() == 0
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
@@ -279,7 +284,9 @@ def test_toxicity(spark, nothing):
     assert toxicity.toxic_passages(nothing, odds).count() == 0
 
 
-def test_ppm(docs, rows, nothing):
+@pytest.mark.parametrize("bucket", [1 << 26, 1 << 9])
+def test_ppm(docs, rows, nothing, monkeypatch, bucket):
+    monkeypatch.setattr(ppm, "BUCKET", bucket)
     got = {}
     for r in ppm.ppm_scores(docs, "crc32(cast(doc_id as string)) % 5 <> 1").collect():
         got.setdefault(r.doc_id, r)
