@@ -97,8 +97,9 @@ def segments(odds: Odds, words: list[bytes], known: dict[bytes, float | None]) -
     get = odds.scores.get
     if len(known) > MEMO:
         known.clear()
-    for w in set(words) - known.keys():
-        known[w] = next((s for s in map(get, units(w)) if s is not None), None)
+    for w in set(words):
+        if w not in known:
+            known[w] = next((s for s in map(get, units(w)) if s is not None), None)
     marked = [(i, s) for i, s in enumerate(map(known.get, words)) if s is not None and not (i and words[i] == words[i - 1])]
     if not any(s > 0 for _, s in marked):
         return []
