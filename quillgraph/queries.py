@@ -223,11 +223,11 @@ def policy_gate(spark: SparkSession, d: str) -> DataFrame:
     return A.policy_failed(_drift(spark, d), _emit(spark, d), ("drift:installed", "low-confidence", "weak-crypto"))
 
 
-@query("""WITH e AS (SELECT l_returnflag AS kind, l_partkey % 100 AS src, l_suppkey % 100 AS dst, l_orderkey * 10 + l_linenumber AS ordinal, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS scope, CASE WHEN l_linenumber % 4 = 1 THEN '^' || l_suppkey END AS requested, l_tax > 0.07 AS direct, CASE WHEN l_linenumber % 3 = 0 THEN 'm' || l_orderkey END AS marker, l_partkey AS part FROM lineitem WHERE l_partkey % 100 <> l_suppkey % 100)
-  SELECT kind, src, dst, arg_min(scope, (ordinal, part)) FILTER (scope IS NOT NULL) AS scope, arg_min(requested, ordinal) FILTER (requested IS NOT NULL) AS requested, bool_or(direct) AS direct, arg_max(marker, ordinal) FILTER (marker IS NOT NULL) AS marker, arg_max(ordinal::VARCHAR, ordinal) AS last FROM e GROUP BY 1, 2, 3""")
+@query("""WITH e AS (SELECT l_returnflag AS kind, l_partkey % 100 AS src, l_suppkey % 100 AS dst, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS ordinal, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS scope, CASE WHEN l_linenumber % 4 = 1 THEN '^' || l_suppkey END AS requested, l_tax > 0.07 AS direct, CASE WHEN l_linenumber % 3 = 0 THEN 'm' || l_orderkey END AS marker FROM lineitem WHERE l_partkey % 100 <> l_suppkey % 100)
+  SELECT kind, src, dst, arg_min(scope, ordinal) FILTER (scope IS NOT NULL) AS scope, arg_min(requested, ordinal) FILTER (requested IS NOT NULL) AS requested, bool_or(direct) AS direct, arg_max(marker, ordinal) FILTER (marker IS NOT NULL) AS marker, arg_max(ordinal::VARCHAR, ordinal) AS last FROM e GROUP BY 1, 2, 3""")
 def merged_edges(spark: SparkSession, d: str) -> DataFrame:
     i, n = D.table(spark, d, "lineitem"), F.col("l_linenumber")
-    ordinal = F.col("l_orderkey") * 10 + n
+    ordinal = ((F.col("l_orderkey") * 10 + n) * 100_000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey") % 1000
     rows = i.select(F.col("l_returnflag").alias("kind"), (F.col("l_partkey") % 100).alias("src"), (F.col("l_suppkey") % 100).alias("dst"), ordinal.alias("ordinal"), F.when(n % 2 == 0, F.col("l_linestatus")).alias("scope"), F.when(n % 4 == 1, F.concat(F.lit("^"), F.col("l_suppkey").cast("string"))).alias("requested"), (F.col("l_tax") > 0.07).alias("direct"), F.when(n % 3 == 0, F.concat(F.lit("m"), F.col("l_orderkey").cast("string"))).alias("marker"), F.create_map(F.lit("last"), ordinal.cast("string")).alias("attrs"))
     return A.merged_edges(rows).withColumn("last", F.col("attrs")["last"]).drop("attrs")
 
@@ -525,11 +525,11 @@ def symbol_vote(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT DISTINCT item_id AS library, unnest({_WORDS.format('text')}) AS value FROM benchmark), v AS (SELECT DISTINCT value FROM s), f AS (SELECT doc_id AS subject, value FROM documents JOIN v ON contains(lower(text), value))
-  SELECT subject, library, count(*) AS hits, round(least(1 - product(1 - len(value) / 40.0), 0.85), 4)::DOUBLE AS confidence FROM f JOIN s USING (value) GROUP BY 1, 2""")
+  SELECT subject, library, count(*) AS hits, round(least(1 - product(1 - len(value) / 64.0), 0.85), 4)::DOUBLE AS confidence FROM f JOIN s USING (value) GROUP BY 1, 2""")
 def constant_hits(spark: SparkSession, d: str) -> DataFrame:
     blobs = D.table(spark, d, "documents").select(F.col("doc_id").alias("subject"), F.lower("text").alias("text"))
     values = D.table(spark, d, "benchmark").select(F.col("item_id").alias("library"), F.explode(F.array_distinct(_words("text"))).alias("value"))
-    return M.constant_hits(blobs, values.withColumn("precision", F.length("value") / 40.0))
+    return M.constant_hits(blobs, values.withColumn("precision", F.length("value") / 64.0))
 
 
 @query("""WITH f AS (SELECT DISTINCT l_orderkey AS subject, l_partkey AS mark FROM lineitem), s AS (SELECT DISTINCT l_suppkey AS library, l_partkey AS mark FROM lineitem WHERE l_quantity > 25), t AS (SELECT library, count(*) AS total FROM s GROUP BY 1)

@@ -23,7 +23,7 @@ def _text(*parts: object):
 
 # Scopes -----------------------------------------------------------------------------
 
-_SCOPED = f"""{COMPONENTS}, {EDGES}, e AS (SELECT src, dst, NULL AS scope, marker FROM edges WHERE src > 0 UNION ALL SELECT 0, p_partkey, CASE p_size % 5 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' WHEN 2 THEN 'build' WHEN 3 THEN 'optional' END, CASE WHEN p_partkey % 4 = 0 THEN 'os == "x"' END FROM part WHERE p_retailprice % 40 < 1),
+_SCOPED = f"""{COMPONENTS}, {EDGES}, e AS (SELECT src, dst, NULL::VARCHAR AS scope, marker FROM edges WHERE src > 0 UNION ALL SELECT 0, p_partkey, CASE p_size % 5 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' WHEN 2 THEN 'build' WHEN 3 THEN 'optional' END, CASE WHEN p_partkey % 4 = 0 THEN 'os == "x"' END FROM part WHERE p_retailprice % 40 < 1),
   direct AS (SELECT dst, coalesce(scope, 'runtime') AS scope, bool_and(marker IS NOT NULL) AS marked FROM e WHERE src = 0 GROUP BY 1, 2), open AS (SELECT src, dst FROM e WHERE src > 0 AND (marker IS NULL OR marker NOT LIKE 'extra ==%')),
   run AS (SELECT dst AS id FROM direct WHERE scope = 'runtime' UNION SELECT open.dst FROM run JOIN open ON src = id), dev AS (SELECT dst AS id FROM direct WHERE scope IN ('dev', 'test') UNION SELECT open.dst FROM dev JOIN open ON src = id),
   gated AS (SELECT DISTINCT dst AS id FROM e WHERE marker LIKE 'extra ==%' AND (src IN (FROM run) OR src IN (FROM dev))), opt AS (SELECT id FROM gated UNION SELECT dst FROM direct WHERE scope = 'optional' UNION SELECT e.dst FROM opt JOIN e ON src = id),

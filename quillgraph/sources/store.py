@@ -7,6 +7,8 @@ order in which findings arrive.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +27,9 @@ SCHEMAS = {
     "layers": "digest string, source_id string, ordinal int, created_by string, seq long",
     "file_states": "source_id string, path string, layer_digest string, ordinal int, state string",
     "annotations": "subject_kind string, subject_id long, code string, detail string",
-    "corrections": "kind string, ref string",
+    "corrections": "kind string, ref string, gone boolean, seq long",
 }
-KEYS = {"meta": ["key"], "sources": ["id"], "components": ["id"], "layers": ["digest"]}
+KEYS = {"meta": ["key"], "sources": ["id"], "components": ["id"], "layers": ["digest"], "corrections": ["kind", "ref"]}
 
 
 class Store:
@@ -43,12 +45,13 @@ class Store:
         return self
 
     def table(self, name: str) -> DataFrame:
-        """All rows as they are now: of an upserted table the last one of each key."""
+        """All rows as they are now: of an upserted table the last one of each key, of corrections those that weren't taken back."""
         rows = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
         if name not in KEYS:
             return rows
         whole = F.struct(*(c for c in rows.columns if c not in KEYS[name]))
-        return rows.groupBy(*KEYS[name]).agg(F.max_by(whole, "seq").alias("x")).select(*(F.col(c) if c in KEYS[name] else F.col(f"x.{c}").alias(c) for c in rows.columns))
+        last = rows.groupBy(*KEYS[name]).agg(F.max_by(whole, F.coalesce("seq", F.lit(0))).alias("x")).select(*(F.col(c) if c in KEYS[name] else F.col(f"x.{c}").alias(c) for c in rows.columns))
+        return last.where("not coalesce(gone, false)") if name == "corrections" else last
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Rows at the end of a table; columns that they lack are null."""
@@ -57,9 +60,8 @@ class Store:
         rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name.lower() in have else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema)).write.mode("append").parquet(f"{self.folder}/{name}")
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        """Rows that replace those of the same key; of equal keys in ``rows`` any one counts."""
-        last = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        self.append(name, rows.withColumn("seq", F.lit(last + 1)))
+        """Rows that replace those of the same key; of equal keys in ``rows`` any one counts. Of two writers the later one wins; nothing is read."""
+        self.append(name, rows.withColumn("seq", F.lit(time.time_ns()).cast("long")))
 
     def insert_missing(self, name: str, rows: DataFrame, keys: list[str]) -> None:
         """Only the rows whose key the table doesn't have yet."""
@@ -81,9 +83,16 @@ class Store:
         merged = F.map_concat(kept, F.map_filter("_new", lambda k, v: v.isNotNull()))
         self.upsert("components", old.join(new, "id").withColumn("attrs", merged).select(*old.columns))
 
-    def remove_corrections(self, gone: DataFrame) -> DataFrame:
-        """The corrections (kind, ref) without those of ``gone``."""
-        return self.table("corrections").join(gone, ["kind", "ref"], "left_anti")
+    def add_corrections(self, rows: DataFrame) -> None:
+        """What users say (kind, ref); saying it again changes nothing."""
+        self.upsert("corrections", rows.select("kind", "ref").distinct())
+
+    def remove_corrections(self, rows: DataFrame) -> None:
+        """Takes corrections (kind, ref) back."""
+        self.upsert("corrections", rows.select("kind", "ref").distinct().withColumn("gone", F.lit(True)))
+
+    def annotations_of(self, kind: str, subject: int) -> DataFrame:
+        return self.table("annotations").where((F.col("subject_kind") == kind) & (F.col("subject_id") == subject))
 
     def export(self, folder: str) -> None:
         """Every table as JSON lines in the order of its columns."""

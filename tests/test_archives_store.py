@@ -71,10 +71,13 @@ def test_store(spark, tmp_path):
     s.set_meta("serial", "two")
     for _ in range(2):
         s.insert_missing("projects", spark.createDataFrame([("p", "n"), ("p", "n")], "path string, name string"), ["path"])
-    s.append("corrections", spark.createDataFrame([("fp", "a"), ("fp", "b")], "kind string, ref string"))
+    s.add_corrections(spark.createDataFrame([("fp", "a"), ("fp", "b"), ("fp", "b")], "kind string, ref string"))
     assert {r.id: r.attrs for r in s.table("components").collect()} == {1: {"y": "2", "z": "3"}, 2: {}}
     assert s.get_meta("serial") == "two" and s.get_meta("none") is None and s.table("projects").count() == 1
-    assert [r.ref for r in s.remove_corrections(spark.createDataFrame([("fp", "a")], "kind string, ref string")).collect()] == ["b"]
+    s.remove_corrections(spark.createDataFrame([("fp", "a"), ("fp", "never")], "kind string, ref string"))
+    assert [r.ref for r in s.table("corrections").collect()] == ["b"]
+    s.add_corrections(spark.createDataFrame([("fp", "a")], "kind string, ref string"))
+    assert sorted(r.ref for r in s.table("corrections").collect()) == ["a", "b"]
     s.export(str(tmp_path / "json"))
     again = imported(spark, str(tmp_path / "json"), str(tmp_path / "again"))
     for name in ("components", "meta", "projects", "corrections"):

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillgraph import detector_queries, lookup_queries, rule_queries  # noqa: F401  they register their queries
+from quillgraph import detector_queries, lookup_queries, rule_queries, store_queries  # noqa: F401  they register their queries
 from quillgraph.queries import ORACLE, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
