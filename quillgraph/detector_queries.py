@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.queries import EDGES, query
 from quillgraph.sources import derived as D
-from quillgraph.sources import lockfiles, manifests
+from quillgraph.sources import ignores, images, lockfiles, manifests
 from quillgraph.sources.relations import relations
 
 #: detector, file, begin, record, between, end, name, version
@@ -201,3 +201,40 @@ def manifest_relations(spark: SparkSession, d: str) -> DataFrame:
         files = own.groupBy(F.concat(F.lit("/srv/"), F.col("f").cast("string"), F.lit(f"/{name}")).alias("path")).agg(F.concat(F.lit(begin), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.record), between), F.lit(end)).cast("binary").alias("content"))
         out = files if out is None else out.unionByName(files)
     return relations(out).select("path", F.coalesce("source", "error").alias("source"), "target", "requested")
+
+
+# Trees and images -------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT p_partkey AS k, p_partkey % 7 AS a, p_partkey % 5 AS b, ['log', 'tmp', 'txt'][p_partkey % 3 + 1] AS ext FROM part)
+  SELECT 'src/a' || a || '/b' || b || '/f' || k || '.' || ext AS path FROM t WHERE NOT (a = 3 OR b = 4 OR CASE WHEN a = 1 THEN ext = 'txt' ELSE ext = 'log' AND k % 10 <> 5 END)""")
+def unignored_tree(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    tree = D.table(spark, d, "part").select(text("src/a", k % 7, "/b", k % 5, "/f", k, ".", F.element_at(F.array(*map(F.lit, ("log", "tmp", "txt"))), (k % 3 + 1).cast("int"))).alias("path"))
+    rules = spark.createDataFrame([(".gitignore", bytearray(b"# own\n*.log\n!f*5.log\n/src/a3/\nb4/\n")), ("src/a1/.gitignore", bytearray(b"!*.log\n*.txt\n"))], "path string, content binary")
+    return ignores.unignored(tree, ignores.rules_of(rules))
+
+
+_SUPPLIED = "s AS (SELECT s_suppkey AS k, unnest(range(s_suppkey % 4 + 1)) AS ordinal FROM supplier)"
+
+
+@query(f"""WITH {_SUPPLIED} SELECT 'oci' AS kind, 'i' || k || '/' AS root, ordinal, 'sha256:l' || k || '-' || ordinal AS digest, 'sha256:d' || ordinal AS diff_id, CASE WHEN ordinal < 3 THEN 'RUN ' || ordinal END AS created_by FROM s WHERE k % 3 > 0
+  UNION ALL SELECT 'saved', 'i' || k || '/', ordinal, 'l' || ordinal || '/layer.tar', 'sha256:d' || ordinal, CASE WHEN ordinal < 3 THEN 'RUN ' || ordinal END FROM s WHERE k % 3 = 0""")
+def image_layers(spark: SparkSession, d: str) -> DataFrame:
+    """One image a supplier: an OCI layout with one platform of two, or a saved archive; three build steps with one that makes no layer between."""
+    k = F.col("s_suppkey")
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    numbers = F.sequence(F.lit(0).cast("long"), k % 4)
+    listed = lambda f: F.array_join(F.transform(numbers, f), ",")
+    config = text('{"history":[{"created_by":"RUN 0"},{"created_by":"ENV x","empty_layer":true},{"created_by":"RUN 1"},{"created_by":"RUN 2"}],"rootfs":{"diff_ids":[', listed(lambda i: text('"sha256:d', i, '"')), "]}}")
+    s = D.table(spark, d, "supplier")
+    file = lambda rows, name, body: rows.select(text("i", k, "/", name).alias("path"), body.cast("binary").alias("content"))
+    oci, saved = s.where(k % 3 > 0), s.where(k % 3 == 0)
+    files = file(oci, "index.json", text('{"manifests":[{"digest":"sha256:m', k, '","platform":{"os":"linux","architecture":"amd64"}},{"digest":"sha256:x","platform":{"os":"linux","architecture":"arm64"}}]}'))
+    layers = text('{"config":{"digest":"sha256:cfg"},"layers":[', listed(lambda i: text('{"digest":"sha256:l', k, "-", i, '"}')), "]}")
+    files = files.unionByName(oci.select(text("i", k, "/blobs/sha256/m", k).alias("path"), layers.cast("binary").alias("content")))
+    files = files.unionByName(file(oci, "blobs/sha256/cfg", config)).unionByName(file(saved, "c.json", config))
+    files = files.unionByName(file(saved, "manifest.json", text('[{"Config":"c.json","Layers":[', listed(lambda i: text('"l', i, '/layer.tar"')), "]}]")))
+    found = images.oci_layers(files, images.chosen(images.platforms_of(files))).select(F.lit("oci").alias("kind"), "*")
+    return found.unionByName(images.saved_layers(files).select(F.lit("saved").alias("kind"), "*"))
