@@ -9,10 +9,14 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -34,9 +38,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    if (held := _held.get()) is not None:
+        held.append(out)
     return out
 
 
+@contextmanager
+def noted() -> Iterator[list[DataFrame]]:
+    """The tables that ``materialize`` writes within the block, for whoever knows when nothing reads them any more."""
+    held: list[DataFrame] = []
+    token = _held.set(held)
+    try:
+        yield held
+    finally:
+        _held.reset(token)
+
+
 def discard(*frames: DataFrame) -> None:
     """Removes tables written by ``materialize`` that nothing reads any more."""
     for df in frames:
