@@ -18,16 +18,20 @@ def test_noted(spark):
     assert (there(a), there(b), there(c)) == (False, True, True)
 
 
-def test_cluster_without_folder(spark, monkeypatch):
-    class Context:
-        master = "spark://host:7077"
+class Nothing:
+    def get(self, key, default=None):
+        return default
+
 
-        def getConf(self):
-            return spark.sparkContext.getConf()
+class Cluster:
+    conf = Nothing()
+
+    class sparkContext:
+        master = "spark://host:7077"
+        getConf = staticmethod(Nothing)
 
-    class Session:
-        conf, sparkContext = spark.conf, Context()
 
+def test_cluster_without_folder(monkeypatch):
     monkeypatch.setattr(scratch, "_local_dir", None)
     with pytest.raises(RuntimeError):
-        scratch.scratch_dir(Session())
+        scratch.scratch_dir(Cluster())
