@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.queries import EDGES, query
 from quillgraph.sources import derived as D
-from quillgraph.sources import ignores, images, lockfiles, manifests
+from quillgraph.sources import ignores, images, lockfiles, manifests, poms
 from quillgraph.sources.relations import relations
 
 #: detector, file, begin, record, between, end, name, version
@@ -238,3 +238,19 @@ def image_layers(spark: SparkSession, d: str) -> DataFrame:
     files = files.unionByName(file(saved, "manifest.json", text('[{"Config":"c.json","Layers":[', listed(lambda i: text('"l', i, '/layer.tar"')), "]}]")))
     found = images.oci_layers(files, images.chosen(images.platforms_of(files))).select(F.lit("oci").alias("kind"), "*")
     return found.unionByName(images.saved_layers(files).select(F.lit("saved").alias("kind"), "*"))
+
+
+@query("""WITH RECURSIVE w AS (SELECT p_partkey AS k, p_partkey AS anc, 0 AS depth FROM part UNION ALL SELECT k, anc // 10, depth + 1 FROM w WHERE anc >= 10),
+  r AS (SELECT k, arg_min(anc, depth) FILTER (anc % 3 = 0 OR anc < 10) AS v, arg_min(anc, depth) FILTER (anc % 4 = 0) AS m FROM w GROUP BY 1)
+  SELECT '/p/' || k || '/pom.xml' AS path, 'g:dep' AS name, 'x' || v AS version FROM r UNION ALL SELECT '/p/' || k || '/pom.xml', 'g:other', 'm' || m FROM r""")
+def effective_poms(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of projects, each the child of a tenth of its number: properties from some of them, managed versions from others."""
+    k = F.col("p_partkey")
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    parent = F.when(k >= 10, text("<parent><groupId>g</groupId><artifactId>lib", F.floor(k / 10), "</artifactId><version>1</version></parent>")).otherwise("")
+    own = F.when((k % 3 == 0) | (k < 10), text("<properties><v>", k, "</v></properties>")).otherwise("")
+    managed = F.when(k % 4 == 0, text("<dependencyManagement><dependencies><dependency><groupId>g</groupId><artifactId>other</artifactId><version>m", k, "</version></dependency></dependencies></dependencyManagement>")).otherwise("")
+    needs = "<dependencies><dependency><groupId>g</groupId><artifactId>dep</artifactId><version>x${v}</version></dependency><dependency><groupId>g</groupId><artifactId>other</artifactId></dependency></dependencies>"
+    body = text("<project><groupId>g</groupId><artifactId>lib", k, "</artifactId><version>1</version>", parent, own, managed, needs, "</project>")
+    files = D.table(spark, d, "part").select(text("/p/", k, "/pom.xml").alias("path"), body.cast("binary").alias("content"))
+    return poms.effective_needs(files).select("path", "name", "version")
