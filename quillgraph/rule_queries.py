@@ -9,6 +9,7 @@ from quillgraph.functions import text as X
 from quillgraph.operators import analytics as A
 from quillgraph.operators import inventory as I
 from quillgraph.operators import matching as M
+from quillgraph.operators import observations as O
 from quillgraph.operators import reconcile as R
 from quillgraph.operators import timeline as L
 from quillgraph.operators.scopes import propagated_scopes
@@ -284,3 +285,29 @@ def versionless_purls(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(k % 3 == 0, _text("lib", k)).when(k % 4 == 1, _text("group:art", k)).otherwise(_text("group/art", k))
     rows = D.table(spark, d, "part").select(k.alias("id"), F.element_at(F.array(*map(F.lit, ("npm", "maven", "c", "GitHub"))), (k % 4 + 1).cast("int")).alias("ecosystem"), null.alias("namespace"), name.alias("name"), null.alias("purl"), F.lit("library").alias("ctype"))
     return rows.select("id", R.versionless_purl().alias("purl"), R.family_of().alias("family"))
+
+
+# Observations ------------------------------------------------------------------------------
+
+_SEEN = f"""{COMPONENTS}, c AS (SELECT id, ecosystem, name || '_' || (id % 400) AS name, version, tier_cap, confidence, scope, excluded FROM components), o AS (SELECT CASE WHEN l_partkey % 6 = 0 THEN 'pypi' ELSE lower(p_type) END AS ecosystem, replace(lower(p_name), '_', '-') || '-' || (p_partkey % 400) AS key, 'v' || l_linenumber AS detail, upper(p_name) || '-' || (p_partkey % 400) AS shown FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 48),
+  k AS (SELECT DISTINCT ecosystem, key FROM o), m AS (SELECT c.*, excluded IS NULL AND (ecosystem, replace(lower(name), '_', '-')) IN (SELECT (ecosystem, key) FROM k) AS hit FROM c), lost AS (SELECT DISTINCT ecosystem, key, detail FROM o WHERE (ecosystem, key) NOT IN (SELECT (ecosystem, replace(lower(name), '_', '-')) FROM c WHERE excluded IS NULL)), top AS (SELECT max(id) AS t FROM c)"""
+
+
+def _observed(spark: SparkSession, d: str):
+    k = F.col("id")
+    c = D.components(spark, d).select("id", "ecosystem", _text(F.col("name"), "_", k % 400).alias("name"), "version", "tier_cap", "confidence", F.col("attrs")["scope"].alias("scope"), "excluded", F.lit(None).cast("string").alias("state"))
+    part = D.table(spark, d, "part")
+    seen = D.table(spark, d, "lineitem").where("l_quantity > 48").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.when(F.col("l_partkey") % 6 > 0, F.lower("p_type")).alias("ecosystem"), _text(F.upper("p_name"), "-", F.col("p_partkey") % 400).alias("name"), _text("v", F.col("l_linenumber")).alias("version"))
+    return O.applied(c, seen)
+
+
+@query(f"""WITH {_SEEN} SELECT id, name, version, CASE WHEN hit THEN 5 ELSE tier_cap END AS tier_cap, CASE WHEN hit THEN greatest(confidence, 0.98) ELSE confidence END AS confidence, CASE WHEN hit THEN 'runtime-observed' ELSE scope END AS scope FROM m
+  UNION ALL SELECT t + row_number() OVER (ORDER BY ecosystem, key, detail), upper(key), detail, 5, 0.98, 'runtime-observed' FROM lost, top""")
+def observed_components(spark: SparkSession, d: str) -> DataFrame:
+    return _observed(spark, d).components.select("id", "name", "version", "tier_cap", "confidence", "scope")
+
+
+@query(f"""WITH {_SEEN} SELECT id, 'runtime-observed' AS code FROM m WHERE hit UNION ALL SELECT t + row_number() OVER (ORDER BY ecosystem, key, detail), 'drift:observed-not-declared' FROM lost, top
+  UNION ALL SELECT id, 'declared-never-observed' FROM m WHERE NOT hit AND excluded IS NULL AND scope NOT IN ('build', 'dev', 'test') AND ecosystem IN (SELECT ecosystem FROM o WHERE ecosystem <> 'pypi')""")
+def observation_notes(spark: SparkSession, d: str) -> DataFrame:
+    return _observed(spark, d).annotations
