@@ -226,6 +226,110 @@ def apk(text: str) -> Iterator[Relation]:
                 yield s["P"], re.split(r"[<>=~]", need)[0], None, None, False, None
 
 
+def npm_listing(text: str) -> Iterator[Relation]:
+    doc = json.loads(text)
+    for root in doc if isinstance(doc, list) else [doc]:
+        for group, scope in NPM_GROUPS.items():
+            open_ones = [(None, n, x or {}) for n, x in (root.get(group) or {}).items()]
+            while open_ones:
+                source, name, x = open_ones.pop()
+                yield source, name, scope if source is None else None, x.get("from") if source is None else None, source is None, None
+                open_ones += [(name, n, c or {}) for n, c in (x.get("dependencies") or {}).items()]
+
+
+def bun_lock(text: str) -> Iterator[Relation]:
+    doc = json.loads(re.sub(r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', lambda m: m[1] or "", text))
+    for project in (doc.get("workspaces") or {}).values():
+        for group, scope in NPM_GROUPS.items():
+            yield from _own(project.get(group), scope)
+    for x in (doc.get("packages") or {}).values():
+        needs = next((e for e in x[1:] if isinstance(e, dict)), {}) if isinstance(x, list) and x else {}
+        if needs:
+            name, _ = name_at_version(x[0])
+            yield from _inner(name, needs.get("dependencies") or {})
+            yield from _inner(name, needs.get("optionalDependencies") or {}, "optional")
+
+
+def podfile_lock(text: str) -> Iterator[Relation]:
+    doc = parsed_yaml(text) or {}
+    part = lambda line: re.match(r"(\S+)(?: \(([^)]+)\))?", line)
+    for pod in doc.get("PODS") or []:
+        for head, needs in pod.items() if isinstance(pod, dict) else ():
+            for need in needs or []:
+                yield part(head)[1], part(need)[1], None, part(need)[2], False, None
+    for need in doc.get("DEPENDENCIES") or []:
+        yield None, part(need)[1], "runtime", part(need)[2], True, None
+
+
+def packages_lock(text: str) -> Iterator[Relation]:
+    for framework in (json.loads(text).get("dependencies") or {}).values():
+        for name, x in framework.items():
+            if x.get("type") == "Direct":
+                yield None, name, "runtime", x.get("requested"), True, None
+            yield from _inner(name, x.get("dependencies") or {})
+
+
+def dotnet_targets(text: str) -> Iterator[Relation]:
+    for target in (json.loads(text).get("targets") or {}).values():
+        for key, x in target.items():
+            yield from _inner(key.rsplit("/", 1)[0], (x or {}).get("dependencies") or {})
+
+
+def csproj(text: str) -> Iterator[Relation]:
+    for e in parsed_xml(text).iter("PackageReference"):
+        if e.get("Include"):
+            private = (e.get("PrivateAssets") or e.findtext("PrivateAssets") or "").lower() == "all"
+            yield None, e.get("Include"), "build" if private else "runtime", e.get("Version") or e.findtext("Version"), True, None
+
+
+def mix_lock(text: str) -> Iterator[Relation]:
+    for m in re.finditer(r'^\s*"([^"]+)":\s*\{:hex,(.*)$', text, re.M):
+        for need in re.finditer(r'\{:(\w+),\s*"([^"]*)"', m[2]):
+            yield m[1], need[1], None, need[2] or None, False, None
+
+
+def gemspec(text: str) -> Iterator[Relation]:
+    for kind, name, wanted in re.findall(r"""\.add_(runtime_|development_)?dependency\s*\(?\s*["']([\w-]+)["'](?:\s*,\s*["']([^"']+)["'])?""", text):
+        yield None, name, "dev" if kind.startswith("dev") else "runtime", wanted or None, True, None
+
+
+def vcpkg_manifest(text: str) -> Iterator[Relation]:
+    for d in json.loads(text).get("dependencies") or []:
+        name, wanted, host = (d, None, False) if isinstance(d, str) else (d["name"], d.get("version>="), d.get("host"))
+        yield None, name, "build" if host else "runtime", wanted, True, None
+
+
+def conda_environment(text: str) -> Iterator[Relation]:
+    for d in (parsed_yaml(text) or {}).get("dependencies") or []:
+        m = re.match(r"(?:[^:]+::)?([A-Za-z0-9._-]+)\s*(.*)$", d) if isinstance(d, str) else None
+        if m:
+            yield None, m[1], "runtime", m[2].strip() or None, True, None
+
+
+def conda_meta(text: str) -> Iterator[Relation]:
+    doc = json.loads(text)
+    for need in doc.get("depends") or []:
+        name, _, wanted = need.partition(" ")
+        yield doc["name"], name, None, wanted or None, False, None
+
+
+def pacman_desc(text: str) -> Iterator[Relation]:
+    blocks = dict(re.findall(r"^%(\w+)%\n((?:.+\n?)+)", text, re.M))
+    for part, scope in (("DEPENDS", None), ("OPTDEPENDS", "optional")):
+        for line in blocks.get(part, "").splitlines():
+            m = re.match(r"([^\s<>=:]+)([<>=]+\S+)?", line)
+            if m and blocks.get("NAME"):
+                yield blocks["NAME"].strip(), m[1], scope, m[2], False, None
+
+
+def dist_info(text: str) -> Iterator[Relation]:
+    head = next(stanzas(text), {}).get("Name")
+    for line in re.findall(r"^Requires-Dist:\s*(.+)$", text.split("\n\n", 1)[0], re.M):
+        for _, name, _, wanted, _, marker in _python(line, ""):
+            if head:
+                yield head, name, None, wanted, False, marker
+
+
 #: File pattern, package type, grammar.
 GRAMMARS: list[tuple[str, str, Callable[..., Iterator[Relation]]]] = [
     ("package.json", "npm", package_json),
@@ -248,6 +352,21 @@ GRAMMARS: list[tuple[str, str, Callable[..., Iterator[Relation]]]] = [
     ("build.gradle", "maven", gradle_build),
     ("build.gradle.kts", "maven", gradle_build),
     ("pubspec.lock", "pub", pubspec_lock),
+    ("npm-ls.json", "npm", npm_listing),
+    ("bun.lock", "npm", bun_lock),
+    ("Podfile.lock", "cocoapods", podfile_lock),
+    ("packages.lock.json", "nuget", packages_lock),
+    ("project.assets.json", "nuget", dotnet_targets),
+    ("*.deps.json", "nuget", dotnet_targets),
+    *((name, "nuget", csproj) for name in ("*.csproj", "*.fsproj", "*.vbproj")),
+    ("mix.lock", "hex", mix_lock),
+    ("*.gemspec", "gem", gemspec),
+    ("vcpkg.json", "vcpkg", vcpkg_manifest),
+    ("environment.yml", "conda", conda_environment),
+    ("environment.yaml", "conda", conda_environment),
+    ("*conda-meta/*.json", "conda", conda_meta),
+    ("*var/lib/pacman/local/*/desc", "alpm", pacman_desc),
+    ("*.dist-info/METADATA", "pypi", dist_info),
     ("*var/lib/dpkg/status", "deb", dpkg),
     ("*lib/apk/db/installed", "apk", apk),
 ]

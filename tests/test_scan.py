@@ -27,6 +27,19 @@ CASES = [
     ("/p/pom.xml", "<project><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version></dependency><dependency><groupId>g</groupId><artifactId>t</artifactId><scope>test</scope></dependency><dependency><groupId>g</groupId><artifactId>o</artifactId><optional>true</optional></dependency></dependencies></project>", [(None, "g:a", "runtime", "1"), (None, "g:t", "test", None), (None, "g:o", "optional", None)]),
     ("/p/build.gradle", "implementation 'g:a:1'\ntestImplementation(\"g:b:2\")\n", [(None, "g:a", "runtime", "1"), (None, "g:b", "test", "2")]),
     ("/p/pubspec.lock", "packages:\n  a: {dependency: 'direct main'}\n  b: {dependency: 'direct dev'}\n  c: {dependency: transitive}\n", [(None, "a", "runtime", None), (None, "b", "dev", None)]),
+    ("/p/npm-ls.json", '{"dependencies": {"a": {"version": "1", "dependencies": {"b": {"dependencies": {"c": {}}}}}}, "devDependencies": {"d": {}}}', [(None, "a", "runtime", None), ("a", "b", None, None), ("b", "c", None, None), (None, "d", "dev", None)]),
+    ("/p/bun.lock", '{"workspaces": {"": {"dependencies": {"a": "^1"},}}, "packages": {"a": ["a@1.0.0", "", {"dependencies": {"b": "2"}}, "h"], "b": ["b@2.0.0", "", {}, "h"],},}', [(None, "a", "runtime", "^1"), ("a", "b", None, "2")]),
+    ("/p/Podfile.lock", "PODS:\n  - A (1.0)\n  - B (2.0):\n    - A (= 1.0)\nDEPENDENCIES:\n  - B (~> 2)\n", [("B", "A", None, "= 1.0"), (None, "B", "runtime", "~> 2")]),
+    ("/p/packages.lock.json", '{"dependencies": {"net8": {"A": {"type": "Direct", "requested": "[1, )", "dependencies": {"B": "2"}}, "B": {"type": "Transitive"}}}}', [(None, "A", "runtime", "[1, )"), ("A", "B", None, "2")]),
+    ("/p/project.assets.json", '{"targets": {"net8": {"A/1": {"dependencies": {"B": "2"}}, "B/2": {}}}}', [("A", "B", None, "2")]),
+    ("/p/x.csproj", "<Project><ItemGroup><PackageReference Include='A' Version='1'/><PackageReference Include='T' PrivateAssets='All'/></ItemGroup></Project>", [(None, "A", "runtime", "1"), (None, "T", "build", None)]),
+    ("/p/mix.lock", '%{\n  "a": {:hex, :a, "1.0", "h", [:mix], [{:b, "~> 2.0", [hex: :b, repo: "hexpm"]}], "hexpm", "h2"},\n}\n', [("a", "b", None, "~> 2.0")]),
+    ("/p/x.gemspec", "s.add_dependency 'a', '~> 1'\ns.add_development_dependency('b')\n", [(None, "a", "runtime", "~> 1"), (None, "b", "dev", None)]),
+    ("/p/vcpkg.json", '{"dependencies": ["a", {"name": "b", "version>=": "2", "host": true}]}', [(None, "a", "runtime", None), (None, "b", "build", "2")]),
+    ("/p/environment.yml", "dependencies:\n- a=1.2\n- c::b >=2\n- pip:\n  - d==4\n", [(None, "a", "runtime", "=1.2"), (None, "b", "runtime", ">=2")]),
+    ("/x/conda-meta/a-1.json", '{"name": "a", "depends": ["b >=1,<2", "c"]}', [("a", "b", None, ">=1,<2"), ("a", "c", None, None)]),
+    ("/x/var/lib/pacman/local/a-1/desc", "%NAME%\na\n\n%DEPENDS%\nglibc>=2\nzlib\n\n%OPTDEPENDS%\nperl: for x\n", [("a", "glibc", None, ">=2"), ("a", "zlib", None, None), ("a", "perl", "optional", None)]),
+    ("/x/a.dist-info/METADATA", "Name: A\nVersion: 1\nRequires-Dist: b (>=2)\nRequires-Dist: c; extra == 'x'\n\nRequires-Dist: no\n", [("A", "b", None, ">=2"), ("A", "c", None, None)]),
     ("/x/var/lib/dpkg/status", "Package: a\nStatus: install ok installed\nDepends: libc6 (>= 2), b:any | c\nRecommends: d\n\nPackage: z\nStatus: deinstall ok config-files\nDepends: q\n", [("a", "libc6", None, ">= 2"), ("a", "b", None, None), ("a", "d", "optional", None)]),
     ("/x/lib/apk/db/installed", "P:musl\nD:so:libc.musl busybox>=1 !old\n", [("musl", "busybox", None, None)]),
 ]
@@ -41,7 +54,7 @@ def test_relations(spark):
         assert sorted(got[path], key=repr) == sorted(want, key=repr), path
     assert got["/r/package.json"] == ["JSONDecodeError"] and "/p/node_modules/x/package.json" not in got
     marked = {(r.source, r.target): r.marker for r in R.relations(files).where("marker is not null").collect()}
-    assert marked == {(None, "A"): "python_version > '3'", (None, "b"): "os == 'x'", (None, "c"): 'extra == "all"', ("a", "c"): 'extra == "x"', ("a", "b"): "m"}
+    assert marked == {(None, "A"): "python_version > '3'", (None, "b"): "os == 'x'", (None, "c"): 'extra == "all"', ("a", "c"): 'extra == "x"', ("a", "b"): "m", ("A", "c"): "extra == 'x'"}
 
 
 def test_scan_to_paths(spark):
