@@ -164,18 +164,26 @@ GRAMMARS: list[tuple[str, str, str, int, Callable[[str], list[Row]]]] = [
 ]
 
 
+def registered(*lists: list) -> list:
+    """Grammars of several lists; of those with one detector and pattern the first counts."""
+    found: dict[tuple[str, str], tuple] = {}
+    for grammar in (g for one in lists for g in one):
+        found.setdefault(grammar[:2], grammar)
+    return list(found.values())
+
+
 def fits(pattern: str, path: str) -> bool:
     return fnmatch.fnmatchcase(path if "/" in pattern else path.rsplit("/", 1)[-1], pattern if "/" not in pattern or pattern.startswith("*") else "*" + pattern)
 
 
-def detect(files: DataFrame) -> DataFrame:
+def detect(files: DataFrame, grammars: list = GRAMMARS) -> DataFrame:
     """Findings of the files (path, content) that a grammar matches; rows with error instead of a name where one can't be read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, content, digest in zip(frame["path"], frame["content"], frame["sha256"], strict=True):
-                for detector, pattern, kind, tier, grammar in GRAMMARS:
+                for detector, pattern, kind, tier, grammar in grammars:
                     if not fits(pattern, path):
                         continue
                     try:
@@ -185,5 +193,5 @@ def detect(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FINDINGS.split(", ")])
 
     names = F.element_at(F.split("path", "/"), -1)
-    wanted = "|".join(sorted({fnmatch.translate(g[1].rsplit("/", 1)[-1]) for g in GRAMMARS}))
+    wanted = "|".join(sorted({fnmatch.translate(g[1].rsplit("/", 1)[-1]) for g in grammars}))
     return files.where(names.rlike(wanted)).select("path", "content", F.sha2("content", 256).alias("sha256")).mapInPandas(run, FINDINGS)

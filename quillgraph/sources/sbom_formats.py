@@ -128,8 +128,27 @@ def _frame(spark: SparkSession, *texts: str) -> DataFrame:
     return spark.createDataFrame([(2 * k, 0, t) for k, t in enumerate(texts)], "section int, place long, value string")
 
 
+#: How a technique is called in an inventory; others: "other".
+METHODS = {"manifest-parse": "manifest-analysis", "lockfile-parse": "manifest-analysis", "installed-state": "filename", "os-package-db": "filename", "file-fingerprint": "hash-comparison", "binary-buildinfo": "binary-analysis", "binary-versioninfo": "binary-analysis"}
+
+
+def with_evidence(components: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``components`` (ref, …) with a column evidence as inventories write it: identity by each technique, and the places, each once.
+
+    ``evidence`` has ref, technique, confidence, path. Of a technique its surest piece counts.
+    """
+    method = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in METHODS.items() for x in kv)), F.col("technique")), F.lit("other"))
+    per = evidence.groupBy("ref", "technique").agg(F.max("confidence").alias("confidence"))
+    methods = per.groupBy("ref").agg(F.max("confidence").alias("best"), F.sort_array(F.collect_list(F.struct(method.alias("technique"), "confidence", F.col("technique").alias("value")))).alias("methods"))
+    places = evidence.where("path is not null").groupBy("ref").agg(F.transform(F.sort_array(F.collect_set("path")), lambda p: F.struct(p.alias("location"))).alias("occurrences"))
+    identity = F.array(F.struct(F.lit("purl").alias("field"), F.col("best").alias("confidence"), "methods"))
+    told = methods.join(places, "ref", "left").select(F.col("ref").alias("of"), F.struct(identity.alias("identity"), "occurrences").alias("evidence"))
+    return components.join(told, F.col("ref") == F.col("of"), "left").drop("of")
+
+
 def _cyclonedx(components: DataFrame, edges: DataFrame, serial: str) -> DataFrame:
-    element = F.to_json(F.struct(F.col("ref").alias("bom-ref"), F.col("ctype").alias("type"), "name", "version", "purl", "scope"))
+    more = ["evidence"] if "evidence" in components.columns else []
+    element = F.to_json(F.struct(F.col("ref").alias("bom-ref"), F.col("ctype").alias("type"), "name", "version", "purl", "scope", *more))
     depends = edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("dependsOn"))
     frame = _frame(components.sparkSession, f'{{"bomFormat":"CycloneDX","specVersion":"1.6","serialNumber":"{serial}","version":1,"components":[', '],"dependencies":[', "]}")
     return frame.unionByName(_joined(components, element, 1, "purl", "name", "version", "ref")).unionByName(_joined(depends, F.to_json(F.struct(F.col("src").alias("ref"), "dependsOn")), 3, "src"))

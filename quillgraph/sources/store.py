@@ -12,7 +12,7 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-VERSION = 1
+VERSION = 2
 #: Columns of the tables, and the key that an upsert goes by.
 SCHEMAS = {
     "meta": "key string, value string, seq long",
@@ -44,6 +44,17 @@ class Store:
         self.set_meta("schema_version", str(VERSION))
         return self
 
+    def open(self) -> Store:
+        """Brings a store of an earlier version to this one; refuses one of a later version.
+
+        Columns that came later are null in older files, so only the mark changes; tables
+        that came later are made.
+        """
+        found = int(self.get_meta("schema_version") or 0)
+        if found > VERSION:
+            raise ValueError(f"schema version {found} is newer than {VERSION}")
+        return self.create() if found < VERSION else self
+
     def table(self, name: str) -> DataFrame:
         """All rows as they are now: of an upserted table the last one of each key, of corrections those that weren't taken back."""
         rows = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")

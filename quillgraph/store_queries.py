@@ -60,7 +60,7 @@ def store_attributes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT 'source' AS what, n_nationkey::VARCHAR AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'new ' ELSE '' END || n_name AS value FROM nation UNION ALL SELECT 'project', 'p/' || r_regionkey, CASE WHEN r_regionkey < 3 THEN r_name ELSE 'later' END FROM region
-  UNION ALL SELECT DISTINCT 'correction', c_mktsegment, c_name FROM customer WHERE c_custkey % 4 > 0 OR c_custkey % 8 = 0 UNION ALL SELECT 'meta', 'subject', 'two' UNION ALL SELECT 'meta', 'schema_version', '1'""")
+  UNION ALL SELECT DISTINCT 'correction', c_mktsegment, c_name FROM customer WHERE c_custkey % 4 > 0 OR c_custkey % 8 = 0 UNION ALL SELECT 'meta', 'subject', 'two' UNION ALL SELECT 'meta', 'schema_version', '2'""")
 def store_upserts(spark: SparkSession, d: str) -> DataFrame:
     s = _stored(spark, d)
     row = lambda what, df, key, value: df.select(F.lit(what).alias("what"), F.col(key).alias("key"), F.col(value).alias("value"))

@@ -9,7 +9,7 @@ import pytest
 
 from quillgraph.sources import archives as A
 from quillgraph.sources import manifests
-from quillgraph.sources.store import Store, imported, numbered
+from quillgraph.sources.store import VERSION, Store, imported, numbered
 
 
 def zipped(files):
@@ -91,3 +91,12 @@ def test_store(spark, tmp_path):
 def test_numbers(spark):
     rows = spark.createDataFrame([(f"n{k:03}",) for k in range(100)], "name string").repartition(7)
     assert sorted((r.id, r.name) for r in numbered(rows, "name").collect()) == [(k + 1, f"n{k:03}") for k in range(100)]
+
+
+def test_versions(spark, tmp_path):
+    old = Store(spark, str(tmp_path / "old")).create()
+    old.set_meta("schema_version", "1")
+    assert old.open().get_meta("schema_version") == str(VERSION)
+    old.set_meta("schema_version", str(VERSION + 1))
+    with pytest.raises(ValueError):
+        old.open()

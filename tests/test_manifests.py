@@ -40,3 +40,11 @@ def test_plugins(spark, name, confidence, error):
     rows = spark.createDataFrame([("p", "d", "binary", name, "1", confidence, "s" * 5000)], "path string, detector string, technique string, name string, version string, confidence double, snippet string")
     r = plugins.checked(rows, "ns").first()
     assert (r.error, r.detector, len(r.snippet)) == (error, "plugin:ns/d", 4096) and r.confidence <= 0.7
+
+
+def test_registration(spark):
+    own = [("own/list", "*.list", "x", 2, lambda text: [(n, None) for n in text.split()]), ("js/package-json", "package.json", "npm", 2, lambda text: [("never", None)])]
+    grammars = M.registered(M.GRAMMARS, own)
+    assert len(grammars) == len(M.registered(M.GRAMMARS)) + 1
+    files = spark.createDataFrame([("a.list", bytearray(b"p q")), ("package.json", bytearray(b'{"dependencies": {"a": "1"}}'))], "path string, content binary")
+    assert sorted((r.detector, r.name) for r in M.detect(files, grammars).collect()) == [("js/package-json", "a"), ("own/list", "p"), ("own/list", "q")]

@@ -61,3 +61,18 @@ def test_expressions(spark):
     assert [normal_expression(a) for a, _ in CASES] == [b for _, b in CASES]
     got = spark.createDataFrame([*CASES, (None, None)], "a string, b string").withColumn("c", license_expression("a")).collect()
     assert all(r.b == r.c for r in got)
+
+
+def test_evidence(spark):
+    import json
+
+    from quillgraph.sources import sbom_formats
+
+    c = spark.createDataFrame([("a", "library", "a", "1", "pkg:x/a@1", "required"), ("b", "library", "b", None, None, None)], "ref string, ctype string, name string, version string, purl string, scope string")
+    e = spark.createDataFrame([("a", "lockfile-parse", 0.9, "x/lock"), ("a", "lockfile-parse", 0.92, "y/lock"), ("a", "guess", 0.5, "x/lock"), ("a", "guess", 0.4, None)], "ref string, technique string, confidence double, path string")
+    told = sbom_formats.with_evidence(c, e)
+    lines = sbom_formats.WRITERS["cyclonedx"](told, spark.createDataFrame([("a", "b")], "src string, dst string"), "urn:uuid:1").orderBy("section", "place").collect()
+    doc = json.loads("".join(r.value for r in lines))
+    by = {x["bom-ref"]: x for x in doc["components"]}
+    assert by["a"]["evidence"] == {"identity": [{"field": "purl", "confidence": 0.92, "methods": [{"technique": "manifest-analysis", "confidence": 0.92, "value": "lockfile-parse"}, {"technique": "other", "confidence": 0.5, "value": "guess"}]}], "occurrences": [{"location": "x/lock"}, {"location": "y/lock"}]}
+    assert "evidence" not in by["b"] and doc["dependencies"] == [{"ref": "a", "dependsOn": ["b"]}]
