@@ -106,3 +106,25 @@ def platform_parts(text: Column) -> Column:
     parts = F.split(F.coalesce(text, F.lit("linux/amd64")), "/", 3)
     at = lambda k: F.nullif(F.try_element_at(parts, F.lit(k)), F.lit(""))
     return F.when(at(1).isNotNull() & at(2).isNotNull(), F.struct(at(1).alias("os"), at(2).alias("arch"), at(3).alias("variant")))
+
+
+#: Package types whose names and namespaces don't tell letter case.
+CASELESS = ("bitbucket", "github", "gitlab", "pypi")
+
+
+def canonical_purl(raw: Column) -> Column:
+    """The one spelling of a package URL: lower-case type, percent-encoded parts, qualifiers by key without empty ones; null for what is none."""
+    pattern = r"^(?i:pkg):/*([A-Za-z][A-Za-z0-9.+-]*)/+([^?#]*?)(?:@([^?#@/]*))?(?:\?([^#]*))?(?:#(.*))?$"
+    at = lambda k: F.regexp_extract(raw, pattern, k)
+    kind = F.lower(at(1))
+    plain = lambda c: F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    encode = lambda c: F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%3A"), F.lit(":")), F.lit("*"), F.lit("%2A"))
+    cased = lambda c: F.when(kind.isin(*CASELESS), F.lower(c)).otherwise(c)
+    parts = F.filter(F.split(at(2), "/"), lambda x: x != "")
+    path = F.transform(parts, lambda x: cased(plain(x)))
+    last = F.try_element_at(path, F.lit(-1))
+    name = F.when(kind == "pypi", F.replace(last, F.lit("_"), F.lit("-"))).otherwise(last)
+    place = F.concat(F.transform(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))), encode), F.array(encode(name)))
+    pairs = F.transform(F.filter(F.split(at(4), "&"), lambda q: q.rlike(r"^[^=]+=.")), lambda q: F.concat(F.lower(F.substring_index(q, "=", 1)), F.lit("="), encode(plain(F.substring_index(q, "=", -1)))))
+    tail = F.concat(F.when(at(3) != "", F.concat(F.lit("@"), encode(plain(at(3))))).otherwise(""), F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(pairs), "&"))).otherwise(""), F.when(at(5) != "", F.concat(F.lit("#"), at(5))).otherwise(""))
+    return F.when(raw.rlike(pattern) & (F.size(parts) > 0), F.concat(F.lit("pkg:"), kind, F.lit("/"), F.array_join(place, "/"), tail))

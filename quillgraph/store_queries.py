@@ -190,3 +190,10 @@ def grafted_image(spark: SparkSession, d: str) -> DataFrame:
     inner = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     nodes, edges = T.grafted(c, e, image, inner, 5)
     return nodes.select(F.lit("component").alias("what"), F.col("id").alias("src"), F.col("id").alias("dst")).unionByName(edges.select(F.col("kind").alias("what"), "src", "dst"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'pkg:pypi/my-lib' || p_partkey || '@1.0?a=x&b=' || p_size WHEN 1 THEN 'pkg:npm/%40Scope/Name' || p_partkey || '@1.0' WHEN 2 THEN 'pkg:github/own/repo' || p_partkey || '#sub/dir' WHEN 3 THEN 'pkg:deb/debian/Lib%2B%2B' || p_partkey || '@1:2' END AS purl FROM part""")
+def canonical_purls(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    raw = F.when(k % 5 == 0, _text("pkg:PyPI/My_Lib", k, "@1.0?B=", F.col("p_size"), "&c=&A=x")).when(k % 5 == 1, _text("pkg:npm/@Scope/Name", k, "@1.0")).when(k % 5 == 2, _text("PKG://GitHub/Own/Repo", k, "#sub/dir")).when(k % 5 == 3, _text("pkg:deb//debian/Lib++", k, "@1%3A2")).otherwise("pkg:only")
+    return D.table(spark, d, "part").select(k.alias("id"), X.canonical_purl(raw).alias("purl"))
