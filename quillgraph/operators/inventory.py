@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators.analytics import cluster_key, counters, kept
@@ -143,3 +143,28 @@ def tree_matches(hits: DataFrame) -> DataFrame:
     """``votes`` with confidence and whether the tree was changed."""
     return hits.withColumn("modified", F.col("ratio") < 1).withColumn("confidence", F.round(F.least(F.lit(0.85), 0.5 + F.col("ratio") * 0.35), 4))
 
+
+
+def tiers_present(components: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(family, tiers): the labels of all evidence that a family's components have, lowest first."""
+    met = components.select("family", F.col("id").alias("component_id")).join(evidence.select("component_id", "tier").distinct(), "component_id")
+    tiers = F.transform(F.sort_array(F.collect_set("tier")), lambda t: dsl.tier_label(t))
+    return met.groupBy("family").agg(F.array_join(tiers, ",").alias("tiers"))
+
+
+def runs_listed(runs: DataFrame, opened: int | None = None) -> DataFrame:
+    """(run_id, subject, created, place) of runs, the opened one first, then the newest; ranked by ranges."""
+    from quillgraph.sources.store import numbered
+
+    later = F.when(F.col("run_id") == F.lit(opened), 0).otherwise(1)
+    rows = runs.select("run_id", "subject", "created").withColumn("k1", later).withColumn("k2", -F.unix_micros(F.col("created").cast("timestamp"))).withColumn("k3", -F.col("run_id"))
+    return numbered(rows, "k1", "k2", "k3").select("run_id", "subject", "created", F.col("id").alias("place"))
+
+
+def component_detail(components: DataFrame, evidence: DataFrame, annotations: DataFrame, ref: int) -> DataFrame:
+    """(kind, place, what, text): a component itself, its evidence (highest tier, then confidence first) and its annotations by code."""
+    own = components.where(F.col("id") == ref).select(F.lit("component").alias("kind"), F.lit(1).alias("place"), F.col("name").alias("what"), F.coalesce("version", F.lit("?")).alias("text"))
+    best = Window.orderBy(F.desc("tier"), F.desc("confidence"), "finding_id", "ordinal")
+    seen = evidence.where(F.col("component_id") == ref).select(F.lit("evidence").alias("kind"), F.row_number().over(best).alias("place"), dsl.tier_label(F.col("tier")).alias("what"), "path").withColumnRenamed("path", "text")  # one component's rows
+    told = annotations.where(F.col("component_id") == ref).select(F.lit("annotation").alias("kind"), F.row_number().over(Window.orderBy("code", "detail")).alias("place"), F.col("code").alias("what"), F.col("detail").alias("text"))
+    return own.unionByName(seen).unionByName(told)

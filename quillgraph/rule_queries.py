@@ -311,3 +311,22 @@ def observed_components(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT id, 'declared-never-observed' FROM m WHERE NOT hit AND excluded IS NULL AND scope NOT IN ('build', 'dev', 'test') AND ecosystem IN (SELECT ecosystem FROM o WHERE ecosystem <> 'pypi')""")
 def observation_notes(spark: SparkSession, d: str) -> DataFrame:
     return _observed(spark, d).annotations
+
+
+@query(f"""WITH {COMPONENTS}, {EVIDENCE} SELECT family, string_agg({TIER.format('tier')}, ',' ORDER BY tier) AS tiers FROM (SELECT DISTINCT ecosystem || ':' || (id % 700) AS family, tier FROM components JOIN evidence e ON component_id = id) GROUP BY 1""")
+def family_tiers(spark: SparkSession, d: str) -> DataFrame:
+    c = D.components(spark, d).select("id", _text(F.col("ecosystem"), ":", F.col("id") % 700).alias("family"))
+    return I.tiers_present(c, D.evidence(spark, d))
+
+
+@query("SELECT o_orderkey AS run_id, o_custkey AS subject, o_orderdate AS created, row_number() OVER (ORDER BY o_orderkey <> 37, o_orderdate DESC, o_orderkey DESC) AS place FROM orders")
+def runs_listed(spark: SparkSession, d: str) -> DataFrame:
+    runs = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("subject"), F.col("o_orderdate").alias("created"))
+    return I.runs_listed(runs, 37).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"""WITH {COMPONENTS}, {EVIDENCE} SELECT 'component' AS kind, 1 AS place, name AS what, version AS text FROM components WHERE id = 42 UNION ALL SELECT 'evidence', row_number() OVER (ORDER BY tier DESC, confidence DESC, finding_id, ordinal), {TIER.format('tier')}, path FROM evidence WHERE component_id = 42
+  UNION ALL SELECT 'annotation', row_number() OVER (ORDER BY l_returnflag, l_orderkey::VARCHAR), l_returnflag, l_orderkey::VARCHAR FROM (SELECT DISTINCT l_returnflag, l_orderkey FROM lineitem WHERE l_partkey = 42)""")
+def component_detail(spark: SparkSession, d: str) -> DataFrame:
+    notes = D.table(spark, d, "lineitem").select(F.col("l_partkey").alias("component_id"), F.col("l_returnflag").alias("code"), F.col("l_orderkey").cast("string").alias("detail")).distinct()
+    return I.component_detail(D.components(spark, d), D.evidence(spark, d), notes, 42)
