@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillgraph.scratch import materialize
 
 MAX_DEPTH = 25
+#: Rounds after which what was seen is written as one table, so that plans of long walks stay short.
+COMPACT = 8
 
 
 def extras_gated(marker: str = "marker") -> Column:
@@ -67,6 +69,8 @@ def reachable(edges: DataFrame, roots: DataFrame, follow_extras: bool = False) -
             break
         frontier = step
         seen = seen.unionByName(step)
+        if depth % COMPACT == 0:
+            seen = materialize(seen, "reach-all")
     return seen
 
 
@@ -81,14 +85,17 @@ def minimal_versions(requires: DataFrame, roots: DataFrame, sort_key: Column | N
     ``requires`` has module, version, dep_module, dep_version; ``roots`` module, version.
     """
     seen = materialize(roots.select("module", "version").distinct(), "mvs")
-    frontier = seen
+    frontier, depth = seen, 0
     while True:
+        depth += 1
         step = frontier.join(requires, ["module", "version"]).select(F.col("dep_module").alias("module"), F.col("dep_version").alias("version")).distinct()
         step = materialize(step.join(seen, ["module", "version"], "left_anti"), "mvs")
         if step.isEmpty():
             break
         frontier = step
         seen = seen.unionByName(step)
+        if depth % COMPACT == 0:
+            seen = materialize(seen, "mvs-all")
     key = sort_key if sort_key is not None else F.transform(F.split("version", r"\."), lambda x: x.cast("long"))
     return seen.groupBy("module").agg(F.max_by("version", key).alias("version"))
 
@@ -115,6 +122,8 @@ def nearest_versions(requires: DataFrame, roots: DataFrame, managed: DataFrame |
         best = picked if best is None else best.unionByName(picked)
         mine = level.select("module", "version")
         seen = mine if seen is None else seen.unionByName(mine)
+        if depth % COMPACT == 0:
+            best, seen = materialize(best, "nearest-best"), materialize(seen, "nearest-seen")
         frontier = level.join(requires, ["module", "version"]).select(F.col("dep_module").alias("module"), F.col("dep_version").alias("version"), F.concat("way", F.array(F.col("seq").cast("long"))).alias("way"))
     if best is None:
         best = roots.select("module", "version", F.lit(0).alias("depth")).limit(0)
