@@ -108,7 +108,7 @@ SPEC_SINGLE: list[Format] = [
     ("conda/conda-meta", "conda-meta/{n}.json", "", '{"name": "{n}", "version": "{v}"}', "", "", "{n}", "{v}"),
     ("os/snap", "{n}/meta/snap.yaml", "", 'name: {n}\nversion: "{v}"\n', "", "", "{n}", "{v}"),
 ]
-FOLDERS = 7
+FOLDERS = 40
 
 
 def _filled(template: str) -> Column:

@@ -54,9 +54,9 @@ def load(content: bytes, kind: str) -> object:
         import tomllib
 
         return tomllib.loads(content.decode())
-    import yaml
+    from quillgraph.sources.grammars_locks import parsed_yaml
 
-    return yaml.safe_load(content)
+    return parsed_yaml(content)
 
 
 def walk(doc: object, path: str, key: str | None = None) -> Iterator[tuple[str | None, object]]:
