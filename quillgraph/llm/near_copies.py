@@ -1,22 +1,28 @@
 """SimHash near-duplicates at a similarity of shingle sets, for stages that keep one document of each group.
 
-Sets of similarity 0.8 have fingerprints up to a dozen bits apart. Cells of segment counts
-that reach so far hold pairs that grow with the square of the table, whatever is in it. So
-the cells are keys of permuted shingle hashes instead: BANDS keys of ROWS minima each, of
-which two sets of similarity 0.8 share none with a chance of (1 - 0.8 ** ROWS) ** BANDS,
-6e-7. Within a cell it goes on as in ``simhash``: the segment counts' Manhattan distance
-bounds the fingerprints' distance from below, pairs too far apart are left out, and the
-rest is verified, here by the exact sets.
-
-Documents of equal sets are one node. A cell of many nodes is split into blocks, any two
-of which meet in one group, so no task holds more than two blocks; of a group's links only
-a spanning forest leaves the task. Sets travel for nodes that share a cell, made anew from
-the texts.
+The steps are those of ``simhash`` with more segments and a wider reach. Sets of similarity
+0.8 differ in 15 to 19 % of the bits of their fingerprints, too many for 64 bits to tell them
+from sets with nothing in common; so a print has PRINTS times 64 bits, whose first 64 are
+``simhash``'s. The bit counts of its segments of two are its coordinates, kept in unary: the
+Manhattan distance of two prints' counts is the bit distance of their codes. Pairs whose
+counts are within ``reach`` are candidates, verified by the bits and then by the sets. The
+grid's cells are size classes, of which each meets itself and the next, and total counts in
+them, of which those within ``reach`` meet: both are exact, so a pair is missed only if its
+prints are out of reach, with a chance under MISS (``reach`` has the arithmetic). At a reach
+so wide nearly all total counts meet: pairs compared grow with the square of a class, each
+at the cost of PRINTS words of bits.
+
+Sets whose prints are linked are a cell, verified by the exact sets. Documents of equal sets
+are one node. Classes and cells of many nodes are split into blocks, any two of which meet in
+one group, so no task holds more than two blocks; of a group's links only a spanning forest
+leaves the task. Sets travel only for nodes in a cell, made anew from the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +30,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.arrays import LOWER, packed_keys, run_starts, text_slices, unpacked_keys
+from quillgraph.llm.arrays import LOWER, mix64, packed_keys, run_starts, text_slices, unpacked_keys
 from quillgraph.llm.columns import rows_of
 from quillgraph.llm.simhash import bits_of, segment_counts
 from quillgraph.operators.components import connected_components
-from quillgraph.scratch import discard, free_shuffles, materialize
+from quillgraph.scratch import discard, free_shuffles, materialize, shuffle_partitions
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 3
-#: Shingles permuted at once.
-STRIDE = 1 << 13
+#: Words of 64 bits of a print, and the chance that the prints of two similar sets are out of reach.
+PRINTS = 4
+MISS = 1e-7
+#: Prints of a block of a size class; of many more, a class has SPREAD blocks, and more again where they would exceed MOST.
+GRID_ROWS, SPREAD, MOST = 8192, 32, 1 << 18
+#: Rows and columns compared at once, and links kept before they are joined.
+TILE = 64, 4096
+PENDING = 1 << 18
 #: Nodes of a block of a cell, and their shingles, about.
 BLOCK_NODES = 1024
 BLOCK_SHINGLES = 1 << 19
@@ -43,10 +54,8 @@ LARGE, FAR = 64, 28
 #: Numbers of a dense matrix.
 CELLS = 1 << 23
 
-_RANDOM = np.random.default_rng(11)
-_ODD = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = _RANDOM.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _RANDOM.integers(0, 1 << 63, BANDS, np.uint64)
+_SALT = np.random.default_rng(11).integers(0, 1 << 63, PRINTS - 1, np.uint64)
+_ODD_BITS = np.uint64(0x5555555555555555)
 
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -64,34 +73,60 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).astype(np.int64))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key of each band; no shingle: no key."""
-    if not len(shingles):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), STRIDE):
-        mixed = shingles[None, at : at + STRIDE] * _ODD
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= _ODD
-        least = np.minimum(least, mixed.min(1))
-    keys = (least.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64) ^ _BAND
-    return keys.view(np.int64)
+def prints_of(shingles: np.ndarray) -> list[int]:
+    """The SimHash fingerprints of a set under PRINTS hashes of its shingles, the first ``simhash``'s."""
+    return [bits_of(x.astype(">u8").view(np.uint8).reshape(-1, 8)) for x in (shingles, *(mix64(shingles ^ k) for k in _SALT))]
+
+
+def unary(prints: np.ndarray) -> np.ndarray:
+    """The counts of segments of two bits, each in unary: codes differ in as many bits as the counts' Manhattan distance."""
+    high = prints >> np.uint64(1)
+    return ((prints | high) & _ODD_BITS) | ((prints & high & _ODD_BITS) << np.uint64(1))
+
+
+def _above(n: int) -> np.ndarray:
+    """The chance that over 0, 1, … n of n fair bits are set."""
+    return 1 - np.cumsum([comb(n, k) / 2**n for k in range(n + 1)])
+
+
+def _chance(only_a: int, only_b: int, common: int) -> float:
+    """The chance that a bit of the fingerprints differs, for sets with so many shingles apart and in common."""
+    shared = np.arange(common + 1)
+    a, b = (np.where(need < 0, 1.0, _above(n)[np.clip(need, 0, n)]) for n in (only_a, only_b) for need in [(common + n) // 2 - shared])
+    return float(np.array([comb(common, k) / 2**common for k in shared.tolist()]) @ (a * (1 - b) + b * (1 - a)))
+
+
+@cache
+def reach(similarity: float, least: int) -> int:
+    """Differing bits that prints of sets of ``least`` shingles or more and this similarity exceed with a chance under MISS.
+
+    A bit differs with the chance of the angle between large sets, more often for small
+    ones, where votes are close; the dearest way to part a few dozen sizes is taken.
+    """
+    chance = acos(2 * similarity / (1 + similarity)) / pi
+    start = max(1, ceil(least * similarity))
+    for common in range(start, start + 32):
+        apart = int(common * (1 / similarity - 1) + 1e-9)
+        for n in range(max(1, apart - 2), apart + 1):
+            chance = max([chance, *(_chance(k, n - k, common) for k in range(n // 2 + 1) if common + k >= least)])
+    bits = 64 * PRINTS
+    over = 1 - np.cumsum([comb(bits, k) * chance**k * (1 - chance) ** (bits - k) for k in range(bits + 1)])
+    return int(np.flatnonzero(over <= MISS)[0])
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, fp, size, keys)."""
+    """(doc_id, node, size, fp0, fp1, …)."""
+    names = [f"fp{k}" for k in range(PRINTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in text_slices(batch.column(1)):
-                s = shingle_set(text)
-                rows.append((node_of(s), bits_of(s.astype(">u8").view(np.uint8).reshape(-1, 8)), len(s), band_keys(s)))
-            node, fp, size, keys = zip(*rows, strict=True) if rows else ([],) * 4
-            columns = [pa.array(node, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "node", "fp", "size", "keys"])
+            sets = [shingle_set(t) for t in text_slices(batch.column(1))]
+            prints = np.array([prints_of(s) for s in sets], np.uint64).reshape(-1, PRINTS).view(np.int64)
+            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in prints.T)]
+            yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "node", "size", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, fp long, size long, keys array<long>")
+    schema = ", ".join(f"{x} long" for x in ["doc_id", "node", "size", *names])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -166,48 +201,147 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return moved, label[moved]
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each group, from batches sorted by their column group."""
+    held: pa.Table | None = None
+    stream = iter(batches)
+    last = False
+    while not last:
+        batch = next(stream, None)
+        last = batch is None
+        if batch is not None:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+        if held is None or not held.num_rows:
+            continue
+        group = held.column("group").to_numpy()
+        end = len(group) if last else int(np.searchsorted(group, group[-1]))
+        if not end:  # all of one group, which may go on
+            continue
+        starts = run_starts(group[:end])
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), end], strict=True):
+            if b - a > 1:
+                yield held.slice(a, b - a)
+        held = held.slice(end)
+
+
+def _edges(nodes: np.ndarray, moved: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(moved):
+        yield pa.record_batch([pa.array(nodes[moved]), pa.array(nodes[root])], names=["src", "dst"])
+
+
 def _links(groups: DataFrame, similarity: float) -> DataFrame:
     """(src, dst): a spanning forest of the links within each group; ``groups`` has group, node, fp, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        stream = iter(batches)
-        last = False
-        while not last:
-            batch = next(stream, None)
-            last = batch is None
-            if batch is not None:
-                new = pa.Table.from_batches([batch])
-                held = new if held is None else pa.concat_tables([held, new])
-            if held is None or not held.num_rows:
-                continue
-            group = held.column("group").to_numpy()
-            end = len(group) if last else int(np.searchsorted(group, group[-1]))
-            starts = run_starts(group[:end])
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), end], strict=True):
-                if b - a < 2:
-                    continue
-                part = held.slice(a, b - a)
-                nodes = part.column("node").to_numpy()
-                sets = [unpacked_keys(x) for x in part.column("shingles").to_pylist()]
-                i, j = similar(sets, part.column("fp").to_numpy().view(np.uint64), similarity)
-                moved, root = forest(len(nodes), i, j)
-                if len(moved):
-                    yield pa.record_batch([pa.array(nodes[moved]), pa.array(nodes[root])], names=["src", "dst"])
-            held = held.slice(end)
+        for part in _groups(batches):
+            nodes = part.column("node").to_numpy()
+            sets = [unpacked_keys(x) for x in part.column("shingles").to_pylist()]
+            i, j = similar(sets, part.column("fp").to_numpy().view(np.uint64), similarity)
+            yield from _edges(nodes, *forest(len(nodes), i, j))
 
     return groups.repartition("group").sortWithinPartitions("group").mapInArrow(run, "src long, dst long")
 
 
+def near_prints(prints: np.ndarray, sizes: np.ndarray, rectangles: list[tuple[np.ndarray, np.ndarray]], far: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root): a forest of the links of at most ``far`` bits, of sets whose sizes allow the similarity, between the rows and columns of rectangles."""
+    codes = unary(prints)
+    weight = np.bitwise_count(codes).sum(1, dtype=np.int64)
+    label = np.arange(len(prints))
+    left, right = [label[:0]], [label[:0]]
+    waiting = 0
+    scratch, bits, total = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8), np.empty(TILE, np.uint16)
+
+    def settle() -> None:
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        member, root = forest(len(label), np.concatenate([moved, *left]), np.concatenate([label[moved], *right]))
+        label[member] = root
+        left[1:], right[1:] = [], []
+
+    for rows, columns in rectangles:
+        square = rows is columns
+        rows, columns = (x[np.argsort(weight[x], kind="stable")] for x in (rows, columns))
+        across = np.ascontiguousarray(codes[columns].T)
+        weights = weight[columns]
+        for a in range(0, len(rows), TILE[0]):
+            some = rows[a : a + TILE[0]]
+            first, end = np.searchsorted(weights, (weight[some[0]] - far, weight[some[-1]] + far + 1)).tolist()  # total counts within reach
+            for b in range(a if square else first, end, TILE[1]):
+                shape = len(some), min(TILE[1], end - b)
+                x, n, sum_ = (y.reshape(-1)[: shape[0] * shape[1]].reshape(shape) for y in (scratch, bits, total))
+                for k in range(PRINTS):
+                    np.bitwise_xor(codes[some, k, None], across[k, b : b + shape[1]], out=x)
+                    np.bitwise_count(x, out=n)
+                    np.add(sum_, n, out=sum_) if k else np.copyto(sum_, n)
+                i, j = np.nonzero(sum_ <= far)
+                i, j = some[i], columns[b + j]
+                new = label[i] != label[j]
+                i, j = i[new], j[new]
+                good = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
+                good &= np.bitwise_count(prints[i] ^ prints[j]).sum(1, dtype=np.int64) <= far
+                if good.any():
+                    left.append(i[good])
+                    right.append(j[good])
+                    waiting += len(left[-1])
+                    if waiting > PENDING:
+                        settle()
+                        waiting = 0
+    settle()
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return moved, label[moved]
+
+
+def print_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(src, dst): links of nodes (node, size, fp0, …) whose prints are within reach, enough of them to keep every component whole.
+
+    A node is in the cell of its size class, and in that of the class below for its members
+    to be compared with. Sets too small for a different one to be similar have no link.
+    """
+    names = [f"fp{k}" for k in range(PRINTS)]
+    width = -log(similarity) * 1.001 + 1e-9  # a little more than the ratio, so that rounding parts none
+    own = nodes.where(F.col("size") * (1 - similarity) >= similarity - 1e-9).withColumn("class", F.floor(F.log("size") / width))
+    rows = own.select("node", "size", *names, F.explode(F.array(F.struct(F.col("class").alias("cell"), F.lit(False).alias("above")), F.struct((F.col("class") - 1).alias("cell"), F.lit(True).alias("above")))).alias("x")).select("node", "size", *names, "x.*")
+    counted = rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if(~F.col("above")).alias("own_n")).where("own_n > 0")
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / GRID_ROWS), F.lit(SPREAD)), F.ceil(F.col("n") / MOST))
+    rows = rows.join(F.broadcast(counted.select(F.col("cell").alias("of"), blocks.alias("blocks"))), F.col("cell") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(6)), "blocks"))
+    other = F.when(F.col("blocks") == 1, F.array("own")).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.col("own")))
+    rows = rows.withColumn("other", F.explode(other))
+    groups = rows.select(
+        F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node", "size", "above", *names,
+        (F.col("own") > F.col("other")).alias("side"), (F.pmod(F.col("own") + 1, "blocks") == F.col("other")).alias("inner"),
+    )
+    least = ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1
+    small, large = reach(similarity, least), reach(similarity, max(least, LARGE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _groups(batches):
+            sizes = part.column("size").to_numpy()
+            above, side, inner = (part.column(x).to_numpy() for x in ("above", "side", "inner"))
+            prints = np.stack([part.column(x).to_numpy() for x in names], axis=1).view(np.uint64)
+            at = {(s, u): np.flatnonzero((side == s) & (above == u)) for s in (False, True) for u in (False, True)}
+            rectangles = [(at[False, False], at[True, False]), (at[False, False], at[True, True]), (at[False, True], at[True, False])]
+            for s in (False, True):
+                if inner[side == s].any():  # the one group that compares this block with itself
+                    rectangles += [(at[s, False], at[s, False]), (at[s, False], at[s, True])]
+            far = large if sizes.min() >= LARGE else small
+            yield from _edges(part.column("node").to_numpy(), *near_prints(prints, sizes, rectangles, far, similarity))
+
+    return groups.repartition(shuffle_partitions(nodes.sparkSession), "group").sortWithinPartitions("group").mapInArrow(run, "src long, dst long")
+
+
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(least, first): for each distinct shingle set its smallest doc_id, and the smallest of all sets that links of ``similarity`` or more reach."""
     described = materialize(_described(docs), "near")
-    nodes = materialize(described.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.first("keys").alias("keys")), "near-nodes")
+    same = [F.first(x).alias(x) for x in described.columns if x not in ("doc_id", "node")]
+    nodes = materialize(described.groupBy("node").agg(F.min("doc_id").alias("least"), *same), "near-nodes")
     discard(described)
-    keyed = materialize(nodes.select("node", "fp", "size", F.explode("keys").alias("key")), "near-keys")
-    cells = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
-    cells = cells.groupBy("n", "shingles", "members").agg(F.min("key").alias("key"))  # of cells with the same nodes one
+    linked = materialize(print_links(nodes, similarity), "near-prints")
+    free_shuffles(docs.sparkSession)
+    near = materialize(connected_components(linked).withColumnRenamed("node", "of"), "near-parts")
+    keyed = materialize(nodes.join(near, F.col("node") == F.col("of")).select("node", F.col("fp0").alias("fp"), "size", F.col("component").alias("key")), "near-keys")
+    cells = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     cells = materialize(cells.select(F.col("key").alias("cell"), F.ceil(F.greatest(F.col("n") / BLOCK_NODES, F.least(F.col("n") / 2, F.col("shingles") / BLOCK_SHINGLES))).alias("blocks")), "near-cells")
+    discard(linked, near)
     shared = keyed.join(cells, F.col("key") == F.col("cell")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "blocks"))
     other = F.when(F.col("blocks") == 1, F.array("own")).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.col("own")))
     shared = shared.select("node", "fp", "cell", "own", F.explode(other).alias("other"))

@@ -90,3 +90,81 @@ def test_similar_sets():
     assert set(zip(*near_copies.similar(few, fps[75:82], 0.8).tolist())) == want
     counts = segment_counts(fps).astype(int)
     assert all(np.abs(counts[i] - counts[j]).sum() <= int(fps[i] ^ fps[j]).bit_count() for i in range(30) for j in range(30))
+
+
+def _least(n, pairs):
+    """The smallest member that links reach, for each of n."""
+    label = list(range(n))
+    while True:
+        new = list(label)
+        for i, j in pairs:
+            new[i] = new[j] = min(new[i], new[j])
+        if new == label:
+            return label
+        label = new
+
+
+def _prints(n):
+    """Prints of which some are up to 100 bits from another, sizes, and the links to be found at 0.8."""
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 64, (n, near_copies.PRINTS), np.uint64)
+    for k in range(1, n, 2):
+        flips = np.zeros(64 * near_copies.PRINTS, np.uint8)
+        flips[rng.choice(len(flips), rng.integers(0, 100), replace=False)] = 1
+        prints[k] = prints[rng.integers(k)] ^ np.packbits(flips).view(np.uint64)
+    sizes = rng.choice([1, 3, 4, 5, 60, 70, 72, 75, 76, 90, 95, 400], n)
+    bits = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
+    return prints, sizes, bits
+
+
+def test_counts_within_reach(spark, monkeypatch):
+    """The pipeline's candidates are all pairs that the segment counts and prints leave within reach, whatever the cells and blocks."""
+    n = 150
+    prints, sizes, bits = _prints(n)
+    counts = [segment_counts(prints[:, k]).astype(int) for k in range(near_copies.PRINTS)]
+    codes = near_copies.unary(prints)
+    manhattan = sum(np.abs(c[:, None] - c[None]).sum(2) for c in counts)
+    assert (np.bitwise_count(codes[:, None] ^ codes[None]).sum(2) == manhattan).all() and (manhattan <= bits).all()
+    allowed = np.minimum(sizes[:, None], sizes[None]) >= 0.8 * np.maximum(sizes[:, None], sizes[None])
+    rows = np.arange(n)
+    for tile, pending in (((64, 4096), 1 << 18), ((3, 8), 2)):
+        monkeypatch.setattr(near_copies, "TILE", tile)
+        monkeypatch.setattr(near_copies, "PENDING", pending)
+        member, root = near_copies.near_prints(prints, sizes, [(rows, rows)], 72, 0.8)
+        found = rows.copy()
+        found[member] = root
+        assert found.tolist() == _least(n, zip(*np.nonzero((bits <= 72) & allowed), strict=True))
+    small, large = near_copies.reach(0.8, 4), near_copies.reach(0.8, near_copies.LARGE)
+    # sets of another size may be in a class with those under LARGE, so it is the wider reach that counts for them
+    use = (sizes < 50) | (sizes > 100)
+    far = np.where(np.minimum(sizes[:, None], sizes[None]) < near_copies.LARGE, small, large)
+    linked = (bits <= far) & allowed & use[:, None] & use[None] & (sizes[:, None] > 3) & (sizes[None] > 3)
+    want = _least(n, zip(*np.nonzero(linked), strict=True))
+    frame = spark.createDataFrame([(k, int(sizes[k]), *prints[k].view(np.int64).tolist()) for k in range(n) if use[k]], "node long, size long, " + ", ".join(f"fp{k} long" for k in range(near_copies.PRINTS)))
+    for block in (8192, 10):
+        monkeypatch.setattr(near_copies, "GRID_ROWS", block)
+        monkeypatch.setattr(near_copies, "SPREAD", 4)
+        links = [(r.src, r.dst) for r in near_copies.print_links(frame).collect()]
+        assert _least(n, links) == want
+
+
+def test_reach_of_similar_sets():
+    """Pairs of similarity 0.8 exactly or more, of all sizes, have prints within reach; sets apart haven't."""
+    rng = np.random.default_rng(6)
+    assert near_copies.reach(0.8, 4) < 90
+    for common, a, b in ((4, 0, 1), (8, 1, 1), (12, 0, 3), (60, 7, 8), (66, 0, 16), (200, 25, 25), (400, 0, 100)):
+        far = near_copies.reach(0.8, near_copies.LARGE if common + a >= near_copies.LARGE else 4)
+        seen = []
+        for _ in range(40):
+            x = rng.integers(0, 1 << 64, common + a + b, np.uint64)
+            one, two = (np.array(near_copies.prints_of(np.sort(y)), np.uint64) for y in (x[: common + a], np.concatenate((x[:common], x[common + a :]))))
+            seen.append(int(np.bitwise_count(one ^ two).sum()))
+        assert max(seen) <= far
+        assert abs(np.mean(seen) / (64 * near_copies.PRINTS) - near_copies._chance(a, b, common)) < 0.02
+    assert near_copies.prints_of(x)[0] == bits_of(x.astype(">u8").view(np.uint8).reshape(-1, 8))
+
+
+def test_one_pair_of_near_copies(spark):
+    words = [f"w{k}" for k in range(100)]
+    frame = spark.createDataFrame([(3, " ".join(words)), (2, " ".join([*words, "more"]))], "doc_id long, text string")
+    assert [r.doc_id for r in near_copies.distinct_documents(frame).collect()] == [2]
