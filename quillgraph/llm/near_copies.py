@@ -5,24 +5,27 @@ The steps are those of ``simhash`` with more segments and a wider reach. Sets of
 from sets with nothing in common; so a print has PRINTS times 64 bits, whose first 64 are
 ``simhash``'s. The bit counts of its segments of two are its coordinates, kept in unary: the
 Manhattan distance of two prints' counts is the bit distance of their codes. Pairs whose
-counts are within ``reach`` are candidates, verified by the bits and then by the sets. The
-grid's cells are size classes, of which each meets itself and the next, and total counts in
-them, of which those within ``reach`` meet: both are exact, so a pair is missed only if its
-prints are out of reach, with a chance under MISS (``reach`` has the arithmetic). At a reach
-so wide nearly all total counts meet: pairs compared grow with the square of a class, each
-at the cost of PRINTS words of bits.
-
-Sets whose prints are linked are a cell, verified by the exact sets. Documents of equal sets
-are one node. Classes and cells of many nodes are split into blocks, any two of which meet in
-one group, so no task holds more than two blocks; of a group's links only a spanning forest
-leaves the task. Sets travel only for nodes in a cell, made anew from the texts.
+counts are within ``reach`` are candidates, verified by the bits and then by the sets.
+
+A grid over prints so far apart leaves nearly all pairs to be compared (``print_links`` does,
+by size classes). So the grid is that of portions: a set's shingles are dealt to portions by
+a hash, about as many portions for sets of one scale (a power of two of their sizes), each
+portion has a fingerprint, and its segment counts are a cell. Similar sets have portions
+without a shingle that only one of them has, whose counts are equal; enough portions are
+taken that none is with a chance under MISS (``portions`` has the arithmetic). A set has
+some dozens of cells however large the table, and only sets that share a cell are compared.
+
+Sets whose prints are linked are verified by the exact sets. Documents of equal sets are one
+node. Cells of over GRID_ROWS nodes, and groups of linked ones of many, are split into blocks,
+any two of which meet in one group, so no task holds more than two blocks; of a large group's
+links only a spanning forest leaves the task. Sets travel only for nodes in a cell, made anew from the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from math import acos, ceil, comb, log, pi
+from math import acos, ceil, comb, exp, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +35,21 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.arrays import LOWER, mix64, packed_keys, run_starts, text_slices, unpacked_keys
 from quillgraph.llm.columns import rows_of
-from quillgraph.llm.simhash import bits_of, segment_counts
+from quillgraph.llm.simhash import SMALL, bits_of, segment_counts
 from quillgraph.operators.components import connected_components
 from quillgraph.scratch import discard, free_shuffles, materialize, shuffle_partitions
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Words of 64 bits of a print, and the chance that the prints of two similar sets are out of reach.
+#: Words of 64 bits of a print, and the chance that the prints of two similar sets are out of reach, or that no portion has them meet.
 PRINTS = 4
 MISS = 1e-7
-#: Prints of a block of a size class; of many more, a class has SPREAD blocks, and more again where they would exceed MOST.
+#: Portions of sets from SINGLE shingles on, at least; of smaller sets, each shingle is a portion.
+PORTIONS, SINGLE = 64, 16
+#: Prints of a block of a cell or size class; of many more, it has SPREAD blocks, and more again where they would exceed MOST.
 GRID_ROWS, SPREAD, MOST = 8192, 32, 1 << 18
+#: Texts whose sets are held at once.
+TEXTS = 512
 #: Rows and columns compared at once, and links kept before they are joined.
 TILE = 64, 4096
 PENDING = 1 << 18
@@ -55,6 +62,7 @@ LARGE, FAR = 64, 28
 CELLS = 1 << 23
 
 _SALT = np.random.default_rng(11).integers(0, 1 << 63, PRINTS - 1, np.uint64)
+_PORTION = np.uint64(0x9E3779B97F4A7C15)
 _ODD_BITS = np.uint64(0x5555555555555555)
 
 
@@ -114,18 +122,69 @@ def reach(similarity: float, least: int) -> int:
     return int(np.flatnonzero(over <= MISS)[0])
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, size, fp0, fp1, …)."""
+@cache
+def portions(scale: int, similarity: float) -> tuple[int, int]:
+    """How many portions sets of 2 ** scale shingles or more have, and how many of them are used; 0: each shingle is one.
+
+    With m shingles of either set to a portion, it is equal and not empty with a chance of
+    exp(-(1 - similarity) * m) * (1 - exp(-similarity * m)), m being from ``each`` to twice
+    that over the similarity; the worst m decides how many are used. Of few portions all
+    are: fewer than all hold a shingle apart, and all shingles in common would have to be
+    in those (for 16 shingles of similarity 0.5 or more a chance of 8 ** -8 at most).
+    """
+    each = 1 << max(0, int(0.5 / max(1 - similarity, 0.01)).bit_length() - 1)
+    worst = min(exp(-(1 - similarity) * m) * (1 - exp(-similarity * m)) for m in np.linspace(each, 2 * each / similarity, 64).tolist())
+    used = ceil(log(MISS) / log(1 - worst))
+    if 1 << scale >= each * max(PORTIONS, used):
+        return (1 << scale) // each, used
+    return (PORTIONS, PORTIONS) if 1 << scale >= SINGLE and similarity >= 0.5 else (0, 0)
+
+
+def portion_cells(shingles: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The cells of a set: segment counts of its portions' fingerprints, for each scale that a similar set of its size or less may have.
+
+    Sets too small for a different one to be similar have none.
+    """
+    size = len(shingles)
+    if size * (1 - similarity) < similarity - 1e-9:
+        return np.empty(0, np.int64)
+    dealt = mix64(shingles ^ _PORTION)
+    out = []
+    for scale in range(max(1, ceil(similarity * size - 1e-9)).bit_length() - 1, size.bit_length()):
+        n, used = portions(scale, similarity)
+        if n:
+            portion = dealt & np.uint64(n - 1)
+            at = np.flatnonzero(portion < used)
+            at = at[np.argsort(portion[at], kind="stable")]
+            portion = portion[at]
+            starts = run_starts(portion)
+            if not len(starts):
+                continue
+            counts = np.add.reduceat(np.unpackbits(shingles[at].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), starts, axis=0, dtype=np.int64)
+            members = np.diff(np.append(starts, len(at)))
+            prints = np.packbits(2 * counts > members[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+            of = portion[starts]
+        else:
+            prints, of = shingles, np.zeros(size, np.uint64)
+        out.append(mix64(unary(prints) ^ mix64(of + np.uint64(scale << 32) + np.uint64(1))))
+    return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
+
+
+def _described(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, node, size, fp0, fp1, …, cells)."""
     names = [f"fp{k}" for k in range(PRINTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in text_slices(batch.column(1))]
-            prints = np.array([prints_of(s) for s in sets], np.uint64).reshape(-1, PRINTS).view(np.int64)
-            columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in prints.T)]
-            yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "node", "size", *names])
-
-    schema = ", ".join(f"{x} long" for x in ["doc_id", "node", "size", *names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):  # sets of so many texts are held at once
+                batch = whole.slice(at, TEXTS)
+                sets = [shingle_set(t) for t in text_slices(batch.column(1))]
+                prints = np.array([prints_of(s) for s in sets], np.uint64).reshape(-1, PRINTS).view(np.int64)
+                columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in prints.T)]
+                columns.append(pa.array([portion_cells(s, similarity) for s in sets], pa.list_(pa.int64())))
+                yield pa.record_batch([batch.column(0), *columns], names=["doc_id", "node", "size", *names, "cells"])
+
+    schema = ", ".join(f"{x} long" for x in ["doc_id", "node", "size", *names]) + ", cells array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -292,8 +351,9 @@ def near_prints(prints: np.ndarray, sizes: np.ndarray, rectangles: list[tuple[np
 
 
 def print_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(src, dst): links of nodes (node, size, fp0, …) whose prints are within reach, enough of them to keep every component whole.
+    """(src, dst): links of any nodes (node, size, fp0, …) whose prints are within reach, enough of them to keep every component whole.
 
+    This compares all pairs of a size class, for small tables and to test ``cell_links`` by.
     A node is in the cell of its size class, and in that of the class below for its members
     to be compared with. Sets too small for a different one to be similar have no link.
     """
@@ -301,6 +361,18 @@ def print_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     width = -log(similarity) * 1.001 + 1e-9  # a little more than the ratio, so that rounding parts none
     own = nodes.where(F.col("size") * (1 - similarity) >= similarity - 1e-9).withColumn("class", F.floor(F.log("size") / width))
     rows = own.select("node", "size", *names, F.explode(F.array(F.struct(F.col("class").alias("cell"), F.lit(False).alias("above")), F.struct((F.col("class") - 1).alias("cell"), F.lit(True).alias("above")))).alias("x")).select("node", "size", *names, "x.*")
+    return _meetings(rows, similarity)
+
+
+def _reaches(similarity: float) -> tuple[int, int]:
+    """Reach for pairs with a set of under LARGE shingles, and for others."""
+    least = ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1
+    return reach(similarity, least), reach(similarity, max(least, LARGE))
+
+
+def _meetings(rows: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): links within cells; ``rows`` has cell, above (not to be compared with each other), node, size, fp0, …"""
+    names = [f"fp{k}" for k in range(PRINTS)]
     counted = rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if(~F.col("above")).alias("own_n")).where("own_n > 0")
     blocks = F.greatest(F.least(F.ceil(F.col("n") / GRID_ROWS), F.lit(SPREAD)), F.ceil(F.col("n") / MOST))
     rows = rows.join(F.broadcast(counted.select(F.col("cell").alias("of"), blocks.alias("blocks"))), F.col("cell") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(6)), "blocks"))
@@ -310,8 +382,7 @@ def print_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node", "size", "above", *names,
         (F.col("own") > F.col("other")).alias("side"), (F.pmod(F.col("own") + 1, "blocks") == F.col("other")).alias("inner"),
     )
-    least = ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1
-    small, large = reach(similarity, least), reach(similarity, max(least, LARGE))
+    small, large = _reaches(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches):
@@ -326,16 +397,98 @@ def print_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             far = large if sizes.min() >= LARGE else small
             yield from _edges(part.column("node").to_numpy(), *near_prints(prints, sizes, rectangles, far, similarity))
 
-    return groups.repartition(shuffle_partitions(nodes.sparkSession), "group").sortWithinPartitions("group").mapInArrow(run, "src long, dst long")
+    return groups.repartition(shuffle_partitions(rows.sparkSession), "group").sortWithinPartitions("group").mapInArrow(run, "src long, dst long")
+
+
+def near_in_cells(cell: np.ndarray, prints: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the cells of sorted rows: all of small cells, a forest of large ones."""
+    small, large = _reaches(similarity)
+    starts = run_starts(cell)
+    lengths = np.diff(np.append(starts, len(cell)))
+    few = np.repeat(lengths <= SMALL, lengths)
+    codes = unary(prints)
+    left, right = [starts[:0]], [starts[:0]]
+    for s in range(1, int(min(SMALL, lengths.max(initial=1)))):
+        i = np.flatnonzero((cell[s:] == cell[:-s]) & few[s:])
+        j = i + s
+        less = np.minimum(sizes[i], sizes[j])
+        far = np.where(less >= LARGE, large, small)
+        near = less >= similarity * np.maximum(sizes[i], sizes[j])
+        near &= np.bitwise_count(codes[i] ^ codes[j]).sum(1, dtype=np.int64) <= far
+        near &= np.bitwise_count(prints[i] ^ prints[j]).sum(1, dtype=np.int64) <= far
+        left.append(i[near])
+        right.append(j[near])
+    for k in np.flatnonzero(lengths > SMALL):
+        part = slice(starts[k], starts[k] + lengths[k])
+        rows = np.arange(lengths[k])
+        member, root = near_prints(prints[part], sizes[part], [(rows, rows)], large if sizes[part].min() >= LARGE else small, similarity)
+        left.append(member + starts[k])
+        right.append(root + starts[k])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _in_cells(rows: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): links within cells that fit a task; ``rows`` has cell, node, size, fp0, …"""
+    names = [f"fp{k}" for k in range(PRINTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        stream = iter(batches)
+        last = False
+        while not last:
+            batch = next(stream, None)
+            last = batch is None
+            if batch is not None:
+                new = pa.Table.from_batches([batch])
+                held = new if held is None else pa.concat_tables([held, new])
+            if held is None or not held.num_rows:
+                continue
+            cell = held.column("cell").to_numpy()
+            end = len(cell) if last else int(np.searchsorted(cell, cell[-1]))
+            if not end:  # all of one cell, which may go on
+                continue
+            part, held = held.slice(0, end), held.slice(end)
+            node = part.column("node").to_numpy()
+            prints = np.stack([part.column(x).to_numpy() for x in names], axis=1).view(np.uint64)
+            i, j = near_in_cells(cell[:end], prints, part.column("size").to_numpy(), similarity)
+            if len(i):
+                found = np.unique(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))), axis=1)
+                yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in found], names=["src", "dst"])
+
+    dealt = rows.select("cell", "node", "size", *names).repartition(shuffle_partitions(rows.sparkSession), "cell")
+    return dealt.sortWithinPartitions("cell").mapInArrow(run, "src long, dst long")
+
+
+def cell_links(nodes: DataFrame, owned: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(src, dst): links of nodes (node, size, fp0, …) that share a cell (``owned``: node, cells; rows may repeat) and whose prints are within reach, enough of them to keep every component whole.
+
+    Rows are as many as cells, unless one has over GRID_ROWS nodes: it is dealt to blocks.
+    """
+    spark = nodes.sparkSession
+    names = [f"fp{k}" for k in range(PRINTS)]
+    each = owned.select("node", F.explode("cells").alias("cell")).repartition(shuffle_partitions(spark), "cell")  # dealt once for all that follows
+    shared = each.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(F.col("cell").alias("of"))
+    met = materialize(each.join(shared, F.col("cell") == F.col("of")).select("cell", F.col("node").alias("member")).distinct(), "near-met")
+    free_shuffles(spark)
+    hot = materialize(met.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > GRID_ROWS).select(F.col("cell").alias("of")), "near-hot")
+    rows = met.join(nodes.select("node", "size", *names), F.col("member") == F.col("node")).select("cell", "node", "size", *names)
+    if hot.isEmpty():
+        links = _in_cells(rows, similarity)
+    else:
+        links = _in_cells(rows.join(hot, F.col("cell") == F.col("of"), "left_anti"), similarity)
+        links = links.unionByName(_meetings(rows.join(hot, F.col("cell") == F.col("of"), "left_semi").withColumn("above", F.lit(False)), similarity))
+    found = materialize(links.distinct(), "near-prints")
+    discard(met, hot)
+    return found
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(least, first): for each distinct shingle set its smallest doc_id, and the smallest of all sets that links of ``similarity`` or more reach."""
-    described = materialize(_described(docs), "near")
-    same = [F.first(x).alias(x) for x in described.columns if x not in ("doc_id", "node")]
+    described = materialize(_described(docs, similarity), "near")
+    same = [F.first(x).alias(x) for x in described.columns if x not in ("doc_id", "node", "cells")]
     nodes = materialize(described.groupBy("node").agg(F.min("doc_id").alias("least"), *same), "near-nodes")
+    linked = cell_links(nodes, described, similarity)
     discard(described)
-    linked = materialize(print_links(nodes, similarity), "near-prints")
     free_shuffles(docs.sparkSession)
     near = materialize(connected_components(linked).withColumnRenamed("node", "of"), "near-parts")
     keyed = materialize(nodes.join(near, F.col("node") == F.col("of")).select("node", F.col("fp0").alias("fp"), "size", F.col("component").alias("key")), "near-keys")

@@ -168,3 +168,80 @@ def test_one_pair_of_near_copies(spark):
     words = [f"w{k}" for k in range(100)]
     frame = spark.createDataFrame([(3, " ".join(words)), (2, " ".join([*words, "more"]))], "doc_id long, text string")
     assert [r.doc_id for r in near_copies.distinct_documents(frame).collect()] == [2]
+
+
+def _generated(spark, job):
+    """Rows that the Generate nodes of a job's plans put out."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        found = store.executionsList()
+        return {found.apply(k).executionId() for k in range(found.size())}
+
+    before = executions()
+    job()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    rows = 0
+    for one in executions() - before:
+        values, each = {}, store.executionMetrics(one).iterator()
+        while each.hasNext():
+            pair = each.next()
+            values[pair._1()] = pair._2()
+        nodes = store.planGraph(one).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if node.name() == "Generate":
+                metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                rows += sum(int(values.get(m.accumulatorId(), "0").replace(",", "")) for m in metrics if m.name() == "number of output rows")
+    return rows
+
+
+def test_rows_grow_with_the_table(spark, monkeypatch):
+    """The pipeline's near_duplicates: unrelated documents of one size aren't dealt to blocks that all meet."""
+    monkeypatch.setattr(near_copies, "GRID_ROWS", 50)
+    rng = random.Random(9)
+    rows = {}
+    for n in (200, 800):
+        frame = spark.createDataFrame([(d, " ".join(f"w{rng.randrange(10**6)}" for _ in range(75))) for d in range(n)], "doc_id long, text string")
+        rows[n] = _generated(spark, lambda frame=frame: near_copies.similar_groups(frame))
+    assert 0 < rows[200] and rows[800] < 5 * rows[200]
+
+
+def test_similar_sets_share_cells():
+    """Sets of similarity 0.8 share several cells, whatever their sizes and the scales between them; sets apart share none."""
+    rng = np.random.default_rng(10)
+    sizes = [(4, 0, 1), (8, 1, 1), (12, 0, 3), (13, 1, 2), (52, 13, 0), (51, 0, 12), (60, 7, 8), (102, 0, 25), (127, 16, 15), (103, 0, 25), (203, 51, 0), (204, 25, 26), (411, 0, 102), (1640, 200, 200)]
+    for common, a, b in sizes:
+        for _ in range(40):
+            x = rng.integers(0, 1 << 64, common + a + b, np.uint64)
+            one, two = (np.sort(y) for y in (x[: common + a], np.concatenate((x[:common], x[common + a :]))))
+            shared = np.intersect1d(near_copies.portion_cells(one), near_copies.portion_cells(two))
+            assert len(shared) >= 4
+            other = near_copies.portion_cells(np.sort(rng.integers(0, 1 << 64, common + a, np.uint64)))
+            assert not len(np.intersect1d(shared, other))
+    assert not len(near_copies.portion_cells(x[:3])) and not len(near_copies.portion_cells(x[:0]))
+    for scale in range(16):
+        for similarity in (0.3, 0.5, 0.8, 0.95, 1):
+            n, used = near_copies.portions(scale, similarity)
+            assert 0 <= used <= n and n & (n - 1) == 0
+    half = np.sort(rng.integers(0, 1 << 64, 300, np.uint64))
+    assert len(np.intersect1d(near_copies.portion_cells(half[:200], 0.3), near_copies.portion_cells(half[100:], 0.3)))
+
+
+def test_links_in_cells():
+    """Within cells, small or large, sets are linked that the prints leave within reach and no others."""
+    n = 150
+    prints, sizes, bits = _prints(n)
+    cell = np.sort(np.random.default_rng(7).choice([1, 2, 2, 2, 3, 4, 5, 5, 5, 5], n))
+    small, large = near_copies.reach(0.8, 4), near_copies.reach(0.8, near_copies.LARGE)
+    allowed = np.minimum(sizes[:, None], sizes[None]) >= 0.8 * np.maximum(sizes[:, None], sizes[None])
+    for which, far in ((sizes < 50, small), (sizes > 100, large)):
+        at = np.flatnonzero(which)
+        linked = ((bits <= far) & allowed & (cell[:, None] == cell[None]))[np.ix_(at, at)]
+        found = near_copies.near_in_cells(cell[at], prints[at], sizes[at], 0.8)
+        assert _least(len(at), zip(*found, strict=True)) == _least(len(at), zip(*np.nonzero(linked), strict=True))
+
+
+def test_near_copies_in_hot_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "GRID_ROWS", 3)
+    monkeypatch.setattr(near_copies, "SPREAD", 3)
+    test_near_copies(spark)
