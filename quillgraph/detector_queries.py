@@ -132,7 +132,7 @@ def _files(spark: SparkSession, d: str, formats: list[Format], single: bool = Fa
     for detector, name, begin, record, between, end, _, _ in formats:
         folder = F.lit("") if single else F.concat((F.col("p_partkey") % FOLDERS).cast("string"), F.lit("/"))
         rows = part.select(F.concat(F.lit(f"/srv/{detector}/"), folder, _filled(name)).alias("path"), F.struct(F.col("p_partkey").alias("k"), _filled(record).alias("record")).alias("x"))
-        files = rows.groupBy("path").agg(F.concat(F.lit(begin), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.record), between), F.lit(end)).cast("binary").alias("content"))
+        files = lockfiles.dealt(rows).groupBy("path").agg(F.concat(F.lit(begin), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.record), between), F.lit(end)).cast("binary").alias("content"))
         out = files if out is None else out.unionByName(files)
     return out
 
