@@ -79,13 +79,14 @@ def unignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     Of the rules that fit a path, the one of the nearest folder counts, of these the last.
     What lies in an ignored folder stays ignored, whatever keeps it. Paths meet rules by
     an equi-join on the folder, so a rule is tried on what lies below its folder only.
+    What grows with the paths is never broadcast: a path makes many rows, which no estimate knows.
     """
     each = files.select("path").distinct()
     prefixes = F.concat(F.transform(F.filter(_ancestors(F.col("path")), lambda a: a != ""), lambda a: F.concat(a, F.lit("/"))), F.array("path"))
     asked = each.select("path", F.explode(prefixes).alias("prefix"))
     asked = asked.select("path", "prefix", F.explode(_ancestors(F.regexp_replace("prefix", "/$", ""))).alias("folder"))
     below = F.when(F.col("folder") == "", F.col("prefix")).otherwise(F.expr("substring(prefix, length(folder) + 2)"))
-    hits = asked.join(rules, "folder").withColumn("below", below).where(F.expr("below rlike pattern"))
+    hits = asked.hint("merge").join(rules, "folder").withColumn("below", below).where(F.expr("below rlike pattern"))
     last = hits.groupBy("path", "prefix").agg(F.max_by("keeps", F.struct(F.length("folder"), "place")).alias("keeps"))
     gone = last.where("not keeps").select("path").distinct()
-    return files.join(gone, "path", "left_anti")
+    return files.hint("merge").join(gone.hint("merge"), "path", "left_anti")

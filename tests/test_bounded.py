@@ -1,6 +1,13 @@
 """What grows with the tables stays off the driver and out of single tasks."""
 
 from quillgraph.operators import matching as M
+from quillgraph.sources import ignores
+
+
+def plan(df):
+    """The physical plan before it adapts, and after it has run."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_constants_across_slices_and_blocks(spark, monkeypatch):
@@ -12,3 +19,9 @@ def test_constants_across_slices_and_blocks(spark, monkeypatch):
     constants = spark.createDataFrame([("a", w, 0.5) for w in words] + [("b", "cdefgh", 0.25)], "library string, value string, precision double")
     got = {(r.subject, r.library): (r.hits, r.confidence) for r in M.constant_hits(blobs, constants).collect()}
     assert got == {(1, "a"): (3, 0.85), (1, "b"): (1, 0.25), (2, "a"): (1, 0.5), (6, "a"): (1, 0.5)}
+
+
+def test_paths_are_not_broadcast(spark):
+    files = spark.range(1000).selectExpr("concat('a', id % 3, '/f', id, '.', if(id % 2 = 0, 'log', 'txt')) as path")
+    rules = spark.createDataFrame([("", 0, r"^(?:.*/)?[^/]*\.log/?$", False)], ignores.RULES)
+    assert "BroadcastHashJoin" not in plan(ignores.unignored(files, rules))
