@@ -195,10 +195,10 @@ def manifest_relations(spark: SparkSession, d: str) -> DataFrame:
     for name, begin, record, between, end, need, comma, _ in LINKS:
         fill = lambda text, mark, value: F.concat(*(value if x == mark else F.lit(x) for x in re.split(f"({re.escape(mark)})", text) if x))
         needs = F.array_join(F.transform(F.sort_array(F.collect_list("dst")), lambda t: fill(need, "{t}", t.cast("string"))), comma)  # noqa: B023
-        per = links.groupBy("src").agg(needs.alias("needs"))
+        per = lockfiles.dealt(links, "src").groupBy("src").agg(needs.alias("needs"))
         head, tail = record.split("{needs}")
-        own = per.select((F.col("src") % FOLDERS).alias("f"), F.struct("src", F.concat(fill(head, "{s}", F.col("src").cast("string")), "needs", F.lit(tail)).alias("record")).alias("x"))
-        files = own.groupBy(F.concat(F.lit("/srv/"), F.col("f").cast("string"), F.lit(f"/{name}")).alias("path")).agg(F.concat(F.lit(begin), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.record), between), F.lit(end)).cast("binary").alias("content"))
+        own = per.select(F.concat(F.lit("/srv/"), (F.col("src") % FOLDERS).cast("string"), F.lit(f"/{name}")).alias("path"), F.struct("src", F.concat(fill(head, "{s}", F.col("src").cast("string")), "needs", F.lit(tail)).alias("record")).alias("x"))
+        files = lockfiles.dealt(own).groupBy("path").agg(F.concat(F.lit(begin), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.record), between), F.lit(end)).cast("binary").alias("content"))
         out = files if out is None else out.unionByName(files)
     return relations(out).select("path", F.coalesce("source", "error").alias("source"), "target", "requested")
 

@@ -98,10 +98,10 @@ def matches(spec: Spec, path: str) -> bool:
     return fnmatch.fnmatchcase(path, spec.match) if "/" in spec.match else fnmatch.fnmatchcase(path.rsplit("/", 1)[-1], spec.match)
 
 
-def dealt(files: DataFrame) -> DataFrame:
-    """The files over all tasks by path: reading is work for the processor, which the files' bytes don't tell, so few small partitions won't do."""
+def dealt(files: DataFrame, key: str = "path") -> DataFrame:
+    """The files over all tasks by path, or other rows by a key: reading is work for the processor, which the files' bytes don't tell, so few small partitions won't do."""
     spark = files.sparkSession
-    return files.repartition(max(shuffle_partitions(spark), 4 * spark.sparkContext.defaultParallelism), "path")
+    return files.repartition(max(shuffle_partitions(spark), 4 * spark.sparkContext.defaultParallelism), key)
 
 
 #: Rows of a batch that is handed back; what a task holds doesn't grow with its files.

@@ -1,7 +1,15 @@
 """What grows with the tables stays off the driver and out of single tasks."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from quillgraph import detector_queries, lookup_queries, store_queries
+from quillgraph import queries as core
+from quillgraph.operators import graph as G
 from quillgraph.operators import matching as M
-from quillgraph.sources import ignores
+from quillgraph.sources import ignores, poms
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -25,3 +33,31 @@ def test_paths_are_not_broadcast(spark):
     files = spark.range(1000).selectExpr("concat('a', id % 3, '/f', id, '.', if(id % 2 = 0, 'log', 'txt')) as path")
     rules = spark.createDataFrame([("", 0, r"^(?:.*/)?[^/]*\.log/?$", False)], ignores.RULES)
     assert "BroadcastHashJoin" not in plan(ignores.unignored(files, rules))
+
+
+@pytest.mark.parametrize(("module", "query"), [(G, core.paths_to_roots), (G, lookup_queries.range_resolution), (poms, detector_queries.effective_poms)])
+def test_steps_are_not_broadcast(spark, monkeypatch, module, query):
+    plans, write = [], module.materialize
+
+    def noting(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(module, "materialize", noting)
+    plans.append(query(spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+@pytest.mark.parametrize("query", [detector_queries.manifest_relations, store_queries.canonical_purls])
+def test_rows_are_worked_on_by_all_tasks(spark, query):
+    assert query(spark, SF).select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_votes_are_dealt_by_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(M, "PAIRS", 10)
+    found = spark.createDataFrame([(s, m) for s in (1, 2, None) for m in range(6)] + [(3, 0), (3, 0)], "subject int, mark int")
+    signatures = spark.createDataFrame([(lib, m) for lib in "abcd" for m in range(8)] + [("e", 1), (None, 1)], "library string, mark int")
+    hits = M.votes(found, signatures, least=2)
+    assert hits.rdd.getNumPartitions() == 8  # 3 subjects, 6 marks, 4 libraries: 72 pairs
+    assert sorted(map(tuple, hits.collect()), key=repr) == sorted(((s, lib, 6, 0.75) for s in (1, 2, None) for lib in "abcd"), key=repr)
