@@ -25,12 +25,12 @@ def paths_to_roots(edges: DataFrame, targets: DataFrame, max_depth: int = MAX_DE
     yet comes with complete false: the ways on from there aren't enumerated. A target with
     only cyclic parents has none. One table is written a round.
     """
-    links = edges.select("src", "dst").distinct()
-    below = links.select(F.col("dst").alias("below")).distinct()
+    links = materialize(edges.select("src", "dst").distinct(), "links").hint("merge")
+    below = links.select(F.col("dst").alias("below")).distinct().hint("merge")
     ways = targets.select(F.col("id").alias("target"), F.array(F.col("id").cast("long")).alias("path"), F.col("id").cast("long").alias("head"))
     done = None
     for depth in range(1, max_depth + 1):
-        marked = ways.join(below, F.col("head") == F.col("below"), "left").select("target", "path", "head", F.col("below").isNull().alias("complete"))
+        marked = ways.hint("merge").join(below, F.col("head") == F.col("below"), "left").select("target", "path", "head", F.col("below").isNull().alias("complete"))
         ways = materialize(marked, "paths")
         ends = ways.select("target", "path", "complete")
         ends = ends if depth == max_depth else ends.where("complete")
@@ -38,7 +38,7 @@ def paths_to_roots(edges: DataFrame, targets: DataFrame, max_depth: int = MAX_DE
         ways = ways.where("not complete")
         if depth == max_depth or ways.isEmpty():
             break
-        ways = ways.join(links, F.col("head") == F.col("dst")).where(~F.array_contains("path", F.col("src"))).select("target", F.concat(F.array(F.col("src").cast("long")), "path").alias("path"), F.col("src").cast("long").alias("head"))
+        ways = ways.hint("merge").join(links, F.col("head") == F.col("dst")).where(~F.array_contains("path", F.col("src"))).select("target", F.concat(F.array(F.col("src").cast("long")), "path").alias("path"), F.col("src").cast("long").alias("head"))
     return done
 
 
@@ -160,20 +160,20 @@ def resolved_ranges(declared: DataFrame, published: DataFrame, dependencies: Dat
         asked = materialize(asked, "ranges")
         if asked.isEmpty():
             break
-        picked = materialize(asked.join(published, "name", "left").withColumn("own", semver_max_satisfying("versions", "wanted")).withColumn("known", F.coalesce(F.size("versions"), F.lit(0)) > 0).drop("versions"), "ranges-own")
-        first = picked.where("own is not null").groupBy("name").agg(F.min_by("own", "way").alias("main")).join(chosen, "name", "left_anti")
+        picked = materialize(asked.hint("merge").join(published.hint("merge"), "name", "left").withColumn("own", semver_max_satisfying("versions", "wanted")).withColumn("known", F.coalesce(F.size("versions"), F.lit(0)) > 0).drop("versions"), "ranges-own")
+        first = picked.where("own is not null").groupBy("name").agg(F.min_by("own", "way").alias("main")).hint("merge").join(chosen.hint("merge"), "name", "left_anti")
         chosen = materialize(chosen.unionByName(first), "ranges-chosen")
-        both = picked.join(chosen, "name", "left").withColumn("fits", F.coalesce(semver_satisfies("main", "wanted"), F.lit(False)))
+        both = picked.hint("merge").join(chosen.hint("merge"), "name", "left").withColumn("fits", F.coalesce(semver_satisfies("main", "wanted"), F.lit(False)))
         version = F.when(F.col("fits"), F.col("main")).otherwise(F.col("own"))
         done = materialize(both.withColumn("version", version), "ranges-done")
         found = done.where("version is not null").select("parent", "name", "wanted", "version")
         missing = done.where("version is null").select("name", "wanted", F.when(F.col("known"), "no published version fits").otherwise("no metadata").alias("reason"))
         edges = found if edges is None else edges.unionByName(found)
         gaps = missing if gaps is None else gaps.unionByName(missing)
-        fresh = done.where("version is not null").groupBy("name", "version").agg(F.min("way").alias("way")).join(grown, ["name", "version"], "left_anti")
+        fresh = done.where("version is not null").groupBy("name", "version").agg(F.min("way").alias("way")).hint("merge").join(grown.hint("merge"), ["name", "version"], "left_anti")
         fresh = materialize(fresh, "ranges-new")
         grown = grown.unionByName(fresh.select("name", "version"))
-        asked = fresh.join(dependencies, ["name", "version"]).select(F.col("name").alias("parent"), F.col("dep_name").alias("name"), F.col("dep_wanted").alias("wanted"), F.concat("way", F.array("dep_name")).alias("way"))
+        asked = fresh.hint("merge").join(dependencies.hint("merge"), ["name", "version"]).select(F.col("name").alias("parent"), F.col("dep_name").alias("name"), F.col("dep_wanted").alias("wanted"), F.concat("way", F.array("dep_name")).alias("way"))
     else:
         gaps = gaps.unionByName(asked.select("name", "wanted", F.lit("deeper than the limit").alias("reason")))
     if edges is None:
