@@ -15,6 +15,7 @@ from quillgraph.queries import COMPONENTS, EDGES, query
 from quillgraph.scratch import scratch_dir
 from quillgraph.sources import derived as D
 from quillgraph.sources import sbom, sbom_formats
+from quillgraph.sources.lockfiles import dealt
 from quillgraph.sources.store import Store, imported
 
 
@@ -196,4 +197,5 @@ def grafted_image(spark: SparkSession, d: str) -> DataFrame:
 def canonical_purls(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     raw = F.when(k % 5 == 0, _text("pkg:PyPI/My_Lib", k, "@1.0?B=", F.col("p_size"), "&c=&A=x")).when(k % 5 == 1, _text("pkg:npm/@Scope/Name", k, "@1.0")).when(k % 5 == 2, _text("PKG://GitHub/Own/Repo", k, "#sub/dir")).when(k % 5 == 3, _text("pkg:deb//debian/Lib++", k, "@1%3A2")).otherwise("pkg:only")
-    return D.table(spark, d, "part").select(k.alias("id"), X.canonical_purl(raw).alias("purl"))
+    rows = dealt(D.table(spark, d, "part").select(k.alias("id"), raw.alias("raw")), "id")
+    return rows.select("id", X.canonical_purl(F.col("raw")).alias("purl"))
