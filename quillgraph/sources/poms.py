@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.scratch import materialize
 from quillgraph.sources.grammars_locks import parsed_xml
+from quillgraph.sources.lockfiles import dealt
 
 _ENTRY = "struct<grp:string,name:string,version:string,scope:string,kind:string,optional:boolean>"
 _POM = f"path string, grp string, name string, version string, parent struct<grp:string,name:string,version:string>, properties map<string,string>, managed array<{_ENTRY}>, needs array<{_ENTRY}>"
@@ -37,7 +38,7 @@ def read_poms(files: DataFrame) -> DataFrame:
                 rows.append((path, root.findtext("groupId") or (parent or {}).get("grp"), root.findtext("artifactId"), root.findtext("version") or (parent or {}).get("version"), parent, own, entries("dependencyManagement/dependencies/dependency"), entries("dependencies/dependency")))
             yield pd.DataFrame(rows, columns=["path", "grp", "name", "version", "parent", "properties", "managed", "needs"])
 
-    return files.where(F.col("path").rlike(r"(^|/)pom\.xml$|\.pom$")).select("path", "content").mapInPandas(run, _POM)
+    return dealt(files.where(F.col("path").rlike(r"(^|/)pom\.xml$|\.pom$")).select("path", "content")).mapInPandas(run, _POM)
 
 
 def _filled(text: Column, properties: Column, times: int = 3) -> Column:
@@ -68,7 +69,7 @@ def inherited(poms: DataFrame) -> DataFrame:
         done = ends if done is None else done.unionByName(ends)
         if open_ones.isEmpty():
             break
-        up = open_ones.withColumn("up", _key("next.")).join(known, F.col("up") == F.col("key"), "left")
+        up = open_ones.withColumn("up", _key("next.")).hint("merge").join(known.hint("merge"), F.col("up") == F.col("key"), "left")
         again = F.array_contains("seen", F.col("up"))
         rows = up.select("path", "grp", "name", "version", "parent", F.when(F.col("key").isNull() | again, F.col("properties")).otherwise(_over(F.coalesce("more", F.create_map().cast("map<string,string>")), F.col("properties"))).alias("properties"), F.when(F.col("key").isNull() | again, F.col("managed")).otherwise(F.concat("managed", F.coalesce("theirs", F.array().cast(f"array<{_ENTRY}>")))).alias("managed"), "needs", F.concat("seen", F.array("up")).alias("seen"), F.when(~again, F.col("above")).alias("next"))
     whole = F.map_from_arrays(F.array(*map(F.lit, ("project.version", "project.groupId", "project.artifactId", "project.parent.version", "project.parent.groupId"))), F.array(*(F.coalesce(F.col(c), F.lit("")) for c in ("version", "grp", "name", "parent.version", "parent.grp"))))
@@ -82,7 +83,7 @@ def effective_needs(files: DataFrame) -> DataFrame:
     imported list (in the order of imports, their own imports after them). No version
     where nobody tells.
     """
-    closed = materialize(inherited(read_poms(files)), "poms-closed")
+    closed = materialize(inherited(materialize(read_poms(files), "poms-read")), "poms-closed")
     entry = lambda e, p: F.struct(_filled(e.grp, p).alias("grp"), _filled(e["name"], p).alias("name"), _filled(e.version, p).alias("version"), e.scope.alias("scope"), e.kind.alias("kind"), e.optional.alias("optional"))
     filled = closed.select("path", _key().alias("key"), F.transform("managed", lambda e: entry(e, F.col("properties"))).alias("managed"), F.transform("needs", lambda e: entry(e, F.col("properties"))).alias("needs"))
     filled = materialize(filled, "poms-filled")
@@ -95,14 +96,14 @@ def effective_needs(files: DataFrame) -> DataFrame:
         plain = level.where("m.scope is null or m.scope <> 'import'").select("path", "order", "m")
         out = plain if out is None else out.unionByName(plain)
         asked = level.where("m.scope = 'import'").select("path", "order", F.concat_ws(":", "m.grp", "m.name", "m.version").alias("list")).groupBy("path", "list").agg(F.min("order").alias("order"))
-        asked = asked if seen is None else asked.join(seen, ["path", "list"], "left_anti")
+        asked = asked if seen is None else asked.hint("merge").join(seen.hint("merge"), ["path", "list"], "left_anti")
         asked = materialize(asked, "poms-imports")
         if asked.isEmpty():
             break
         mine = asked.select("path", "list")
         seen = mine if seen is None else seen.unionByName(mine)
-        level = asked.join(lists, F.col("list") == F.col("key")).select("path", "order", F.posexplode("managed").alias("turn", "m")).select("path", F.concat("order", F.array("turn")).alias("order"), "m")
+        level = asked.hint("merge").join(lists.hint("merge"), F.col("list") == F.col("key")).select("path", "order", F.posexplode("managed").alias("turn", "m")).select("path", F.concat("order", F.array("turn")).alias("order"), "m")
     best = out.groupBy("path", F.col("m.grp").alias("grp"), F.col("m.name").alias("name")).agg(F.min_by(F.struct(F.col("m.version").alias("version"), F.col("m.scope").alias("scope")), F.struct(F.size("order"), "order")).alias("told"))
     needs = filled.select("path", F.explode("needs").alias("n")).select("path", "n.grp", "n.name", F.col("n.version").alias("own"), F.col("n.scope").alias("own_scope"), "n.optional")
-    joined = needs.join(best, ["path", "grp", "name"], "left")
+    joined = needs.hint("merge").join(best.hint("merge"), ["path", "grp", "name"], "left")
     return joined.select("path", F.concat_ws(":", "grp", "name").alias("name"), F.coalesce("own", "told.version").alias("version"), F.coalesce("own_scope", "told.scope", F.lit("compile")).alias("scope"), F.coalesce("optional", F.lit(False)).alias("optional"))
