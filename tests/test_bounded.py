@@ -61,3 +61,10 @@ def test_votes_are_dealt_by_their_pairs(spark, monkeypatch):
     hits = M.votes(found, signatures, least=2)
     assert hits.rdd.getNumPartitions() == 8  # 3 subjects, 6 marks, 4 libraries: 72 pairs
     assert sorted(map(tuple, hits.collect()), key=repr) == sorted(((s, lib, 6, 0.75) for s in (1, 2, None) for lib in "abcd"), key=repr)
+
+
+def test_directories_of_equal_position(spark):
+    needed = spark.createDataFrame([("b", "l")], "binary string, soname string")
+    directories = spark.createDataFrame([("b", d, 1) for d in ("z", "y", "x", "a")], "binary string, dir string, position int").repartition(4, "dir")
+    files = spark.createDataFrame([(d, "l", o) for d in ("z", "y", "x") for o in ("q", "p")], "dir string, soname string, owner string")
+    assert [tuple(r) for r in M.resolved_links(needed, directories, files).collect()] == [("b", "l", "x/l", "p")]
